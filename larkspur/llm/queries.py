@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspur.llm import chat_format, decontaminate, jaccard_join, lexicon_bpe, token_store, url_rules
+from larkspur.llm import chat_format, decontaminate, jaccard_join, language_id, lexicon_bpe, token_store, url_rules
 from larkspur.llm._spark import shared_folder, table
 from larkspur.llm.tokens import Coder
 from larkspur.llm.url_rules import HostRule
@@ -24,6 +25,21 @@ def tokenizer() -> Coder:
     return Coder.load(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+def language_model(docs: DataFrame) -> language_id.Model:
+    """Learnt from the documents that aren't held out."""
+    return language_id.fit(docs.where(F.coalesce(~held_out(), F.lit(True))).select("text", "lang"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = language_id.identify(docs.select("doc_id", "text"), language_model(docs))
+    return judged.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
     token_store.write_store(table(spark, sf_dir, "documents"), path, tokenizer(), END_ID)
@@ -54,7 +70,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_store, op6_chat_format, op7_decontaminate, op8_url_rules, op9_lexicon_bpe, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op4_language_id, op5_token_store, op6_chat_format, op7_decontaminate, op8_url_rules, op9_lexicon_bpe, op10_jaccard_join)}
 
 
 def _url_sql() -> str:
