@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat_format, decontaminate, jaccard_join, language_id, lexicon_bpe, token_store, url_rules
+from larkspur.llm import chat_format, decontaminate, jaccard_join, language_id, lexicon_bpe, perplexity, token_store, url_rules
 from larkspur.llm._spark import shared_folder, table
 from larkspur.llm.tokens import Coder
 from larkspur.llm.url_rules import HostRule
@@ -25,6 +25,10 @@ def tokenizer() -> Coder:
     return Coder.load(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
 
@@ -70,7 +74,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_language_id, op5_token_store, op6_chat_format, op7_decontaminate, op8_url_rules, op9_lexicon_bpe, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_perplexity, op4_language_id, op5_token_store, op6_chat_format, op7_decontaminate, op8_url_rules, op9_lexicon_bpe, op10_jaccard_join)}
 
 
 def _url_sql() -> str:
