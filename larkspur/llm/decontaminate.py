@@ -17,7 +17,6 @@ benchmark gives no hits.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -254,5 +253,14 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> str:
     return b"\n".join([*parts, text[at:]]).decode() if spans else text.decode()
 
 
-def item_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def remove(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_words, n_hit, items, text): the text without its hit words and what stands between them."""
+    found = scan(documents, benchmark, keep_text=True, **options).select("doc_id", "n_words", "n_hit", "items", "spans", "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column("spans").to_pylist()
+            texts = [cut(t, [(x["s"], x["e"]) for x in own]) for t, own in zip(as_bytes(batch.column("text")), spans)]
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "n_words", "n_hit", "items")} | {"text": pa.array(texts, pa.string())})
+
+    return found.mapInArrow(work, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, text string")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat_format, decontaminate, jaccard_join, language_id, lexicon_bpe, perplexity, suffix_dedup, token_store, url_rules
+from larkspur.llm import chat_format, decontaminate, jaccard_join, language_id, lexicon_bpe, line_dedup, perplexity, suffix_dedup, token_store, url_rules
 from larkspur.llm._spark import shared_folder, table
 from larkspur.llm.tokens import Coder
 from larkspur.llm.url_rules import HostRule
@@ -29,6 +29,11 @@ def op1_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", "n_links", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents")).drop("removed")
 
@@ -78,7 +83,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_perplexity, op3_suffix_dedup, op4_language_id, op5_token_store, op6_chat_format, op7_decontaminate, op8_url_rules, op9_lexicon_bpe, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_perplexity, op2_line_dedup, op3_suffix_dedup, op4_language_id, op5_token_store, op6_chat_format, op7_decontaminate, op8_url_rules, op9_lexicon_bpe, op10_jaccard_join)}
 
 
 def _url_sql() -> str:
