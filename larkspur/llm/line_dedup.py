@@ -125,6 +125,24 @@ def _probes(size: int, edits: int, level: int) -> tuple[tuple[int, int, tuple[tu
     return tuple(out)
 
 
+_NIBBLE = np.array([pow(0x9E3779B1, b + 1, 1 << 32) >> 28 for b in range(256)], np.uint8)
+
+
+def _tally(line: bytes) -> int:
+    """Bytes of 16 classes, counted modulo 16."""
+    counts = np.bincount(_NIBBLE[np.frombuffer(line, np.uint8)], minlength=16) & 15
+    return int((counts.astype(np.uint64) << np.arange(0, 64, 4, dtype=np.uint64)).sum())
+
+
+def _tally_apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """What the counts differ by, in all; an edit changes it by two at most."""
+    out = np.zeros(len(one), np.int64)
+    for k in range(0, 64, 4):
+        d = ((one >> np.uint64(k)) - (two >> np.uint64(k)) & np.uint64(15)).astype(np.int64)
+        out += np.minimum(d, 16 - d)
+    return out
+
+
 def _lines(text: bytes, least: int) -> Iterator[tuple[int, bytes]]:
     for k, line in enumerate(text.split(b"\n")):
         if len(line) >= least:
@@ -159,14 +177,17 @@ def _entries(least: int, edits: int, level: int, wanted, bits: int, crowd: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask, mask, done = None if wanted is None else _bits(wanted), (1 << bits) - 1, set()
         for batch in batches:
-            keys, lines, roles = [], [], []
+            keys, lines, roles, tallies = [], [], [], []
             for text in as_bytes(batch.column("text")):
                 for _, x in _lines(text, least):
                     line = _hash(x)
                     if line in done or ask is not None and not ask[line & mask]:
                         continue
                     done.add(line)
+                    tally = _tally(x) if level > 1 else 0
                     for role, number, spots in _probes(len(x), edits, level):
+                        if level > 1:
+                            tallies.append(tally)
                         keys.append(_hash(b"\0".join([x[s:e] for s, e in spots]), number))
                         lines.append(line)
                         roles.append(role)
@@ -179,38 +200,53 @@ def _entries(least: int, edits: int, level: int, wanted, bits: int, crowd: int):
             moved = np.unique(line[over])
             marks = key[edge[size > crowd]]
             gone = pa.array(np.concatenate([key[~over], marks, moved]).view(np.int64), mask=np.concatenate([np.zeros((~over).sum() + len(marks), bool), np.ones(len(moved), bool)]))
+            more = {}
+            if level > 1:
+                tally = np.array(tallies, np.uint64)[order][~over]
+                more["tally"] = pa.array(np.concatenate([tally, np.zeros(len(marks) + len(moved), np.uint64)]).view(np.int64))
             yield pa.RecordBatch.from_pydict({
                 "key": gone, "line": pa.array(np.concatenate([line[~over], np.zeros(len(marks), np.uint64), moved]).view(np.int64)),
                 "role": pa.array(np.concatenate([role[~over], np.full(len(marks) + len(moved), _CROWD, np.int8)]), pa.int8()),
-            })
+            } | more)
 
     return work
 
 
-def _pairs(crowd: int):
-    """Candidate pairs (a, b) of each key; of a crowded key its lines, with b null.  The input is dealt by key."""
+def _pairs(crowd: int, edits: int):
+    """Candidate pairs (a, b) of each key; of a crowded key its lines, with b null.  The input is dealt by key.
+
+    Pairs whose byte counts (sent from the second level on) exclude a link are left out.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [b for b in batches if b.num_rows]
         if not kept:
             return
         whole = pa.Table.from_batches(kept)
-        key, line, role = (whole.column(c).to_numpy() for c in ("key", "line", "role"))
+        key = whole.column("key").to_numpy()
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]  # keys with two entries at least
+        key, line, role = (whole.column(c).to_numpy()[order] for c in ("key", "line", "role"))
+        tally = whole.column("tally").to_numpy()[order].view(np.uint64) if "tally" in whole.column_names else None
         order = np.lexsort((role, line, key))
         key, line, role = key[order], line[order], role[order]
-        same_key = np.concatenate(([False], key[1:] == key[:-1]))
-        again = same_key & np.concatenate(([False], line[1:] == line[:-1])) & (role != _CROWD)
+        again = np.concatenate(([False], (key[1:] == key[:-1]) & (line[1:] == line[:-1]))) & (role != _CROWD) if len(key) else np.zeros(0, bool)
         key, line, role = key[~again], line[~again], role[~again]
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        tally = tally[order][~again] if tally is not None else None
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(edge, len(key)))
         left, right, moved = [], [], []
         for s, n in zip(edge[size > 1].tolist(), size[size > 1].tolist()):
             own, kind = line[s : s + n], role[s : s + n]
-            if n > crowd or (kind == _CROWD).any():
+            if n > crowd or kind.max() == _CROWD:
                 moved.append(own[kind != _CROWD])
                 continue
-            x, y = np.triu_indices(n, 1)
+            x, y = _TRIANGLES[n] if n < len(_TRIANGLES) else np.triu_indices(n, 1)
             good = (kind[x] == _INDEX) | (kind[y] == _INDEX)
+            if tally is not None:
+                good &= _tally_apart(tally[s + x], tally[s + y]) <= 2 * edits
             left.append(own[x[good]])
             right.append(own[y[good]])
         for k in range(0, len(left), 4096):
@@ -224,6 +260,9 @@ def _pairs(crowd: int):
     return work
 
 
+_TRIANGLES = [np.triu_indices(n, 1) for n in range(20)]
+
+
 def _texts(least: int, wanted, bits: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask, mask, done = _bits(wanted), (1 << bits) - 1, set()
@@ -257,8 +296,8 @@ def line_links(rows: DataFrame, least: int, edits: int, crowd: int, bits: int =
     for level in range(1, _LAST_LEVEL + 1):
         last = level == _LAST_LEVEL
         own = crowd if not last else 1 << 40  # segments of a few bytes: what is left differs in place and number of single letters
-        entries = texts.mapInArrow(_entries(least, edits, level, wanted, bits, own), "key long, line long, role byte")
-        found = entries.where("key is not null").repartition("key").mapInArrow(_pairs(own), "a long, b long")
+        entries = texts.mapInArrow(_entries(least, edits, level, wanted, bits, own), "key long, line long, role byte" + (", tally long" if level > 1 else ""))
+        found = entries.where("key is not null").repartition("key").mapInArrow(_pairs(own, edits), "a long, b long")
         moved = entries.where("key is null").select(F.col("line").alias("a"), F.lit(None).cast("long").alias("b"))
         found = checkpointed(found.union(moved).distinct())
         links.append(found.where("b is not null"))
@@ -291,7 +330,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | {"kept": pa.array(kept, pa.string()), "n_lines": pa.array(n, pa.int64())})
 
 
-def dedup_lines(documents: DataFrame, min_bytes: int = 40, edits: int = 2, crowd: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(documents: DataFrame, min_bytes: int = 40, edits: int = 2, crowd: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``documents`` with kept (the text without removed lines), n_lines, n_removed and n_links added.
 
     n_links counts the links between lines of the document and other lines
