@@ -108,19 +108,25 @@ def _members(size: int, wanted, bits: int):
     return work
 
 
-def _postings(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, n, grp): grp is the least node with the same size and prefix; (token, grp, n) of the groups."""
-    nodes = signed.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    nodes = checkpointed(nodes.withColumn("own", F.struct(F.xxhash64("n", "prefix").alias("a"), F.hash("prefix").alias("b"))))
-    least = nodes.groupBy("own", "n").agg(F.min("node").alias("grp"))
-    grouped = nodes.select("node", "n", "own").join(least, ["own", "n"]).select("node", "n", "grp")
-    heads = nodes.join(least.select(F.col("grp").alias("node")), "node", "left_semi")
-    return grouped, heads.select(F.explode("prefix").alias("token"), F.col("node").alias("grp"), "n")
+def _posted(shared, bits: int):
+    """(token, grp, n) of the prefix shingles that the bitmap lets through."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
+        for batch in batches:
+            lists = batch.column("prefix")
+            token = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            good = ask[token & (1 << bits) - 1]
+            at = pa.array(row[good])
+            yield pa.RecordBatch.from_pydict({"token": pa.array(token[good]), "grp": batch.column("grp").take(at), "n": batch.column("n").take(at)})
+
+    return work
 
 
 def similar_components(
     documents: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text",
-    hot_bits: int = 20, node_bits: int = 23, star_rounds: int = 3,
+    hot_bits: int = 22, node_bits: int = 23, star_rounds: int = 2, crowd_least: int = 8,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: documents link from ``percent`` % Jaccard similarity on.
 
@@ -133,25 +139,34 @@ def similar_components(
     form = f"doc_id {id_type}, n long, node long, prefix array<long>"
 
     signed = checkpointed(rows.mapInArrow(_signatures(size, percent, None, 0), form))
-    counted = signed.where("n > 0").dropDuplicates(["node"]).select(F.explode("prefix").alias("token")).groupBy("token").count()
-    counted = counted.where("count > 1")
-    entries = counted.agg(F.sum("count")).first()[0] or 0
-    crowd = max(200, entries >> (hot_bits - 3))
-    hot = counted.where(F.col("count") > crowd)
+    counted = signed.select(F.explode("prefix").alias("token")).groupBy("token").count()
+    counted = counted.where(F.col("count") > crowd_least)
+    entries = signed.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    crowd = max(crowd_least, entries >> (hot_bits - 3))
+    hot = checkpointed(counted.where(F.col("count") > crowd).select("token"))
     if not hot.isEmpty():
         common = spark.sparkContext.broadcast(bit_filter(hot, "token", hot_bits))
         signed = checkpointed(rows.mapInArrow(_signatures(size, percent, common, hot_bits), form))
 
-    grouped, posted = _postings(signed)
-    grouped = checkpointed(grouped)
-    shared = posted.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
-    posted = checkpointed(posted.join(shared, "token"))
-    crowded = grouped.groupBy("grp").agg(F.count("*").alias("many")).where("many > 1").select("grp")
+    # A group is the nodes of one size and prefix, named by the least of them.
+    marks = signed.where("n > 0").select("node", "n", F.xxhash64("prefix").alias("own"), F.hash("prefix").alias("own2"))
+    groups = marks.groupBy("own", "own2", "n").agg(F.min("node").alias("grp"))
+    grouped = checkpointed(marks.distinct().join(groups, ["own", "own2", "n"]).select("node", "n", "grp"))
+    heads = signed.where("n > 0").join(grouped.where("node = grp").select("node", "grp"), "node").dropDuplicates(["node"]).select("grp", "n", "prefix")
+    heads = checkpointed(heads)
+    shared = heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
+    common = spark.sparkContext.broadcast(bit_filter(shared, "token", node_bits))
+    posted = heads.mapInArrow(_posted(common, node_bits), "token long, grp long, n long")
+    # Sizes that allow the similarity differ by one step of this scale at most: entries stand under their step and the next.
+    step = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))))
+    posted = posted.select(F.explode(F.array(F.xxhash64("token", step), F.xxhash64("token", step + 1))).alias("token"), "grp", "n")
+    many = posted.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
+    posted = checkpointed(posted.join(many, "token"))
+    crowded = checkpointed(grouped.groupBy("grp").agg(F.count("*").alias("many")).where("many > 1").select("grp"))
     active = checkpointed(posted.select("grp").union(crowded).distinct().join(grouped, "grp").select("node", "n", "grp"))
     asked = spark.sparkContext.broadcast(bit_filter(active, "node", node_bits))
     sets = rows.select("text").mapInArrow(_members(size, asked, node_bits), "node long, members array<long>")
-    sets = sets.groupBy("node").agg(F.first("members").alias("members")).join(active.select("node"), "node", "left_semi")
-    sets = checkpointed(sets)
+    sets = checkpointed(sets.groupBy("node").agg(F.first("members").alias("members")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
