@@ -106,29 +106,33 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
 
 
-def _common(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """How many leading columns of each row equal those of ``one``."""
+def _common(rows: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: int) -> np.ndarray:
+    """How many leading bytes of each row equal those of ``one``."""
     differ = rows != one
-    return np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    return np.minimum(np.where(differ.any(1), differ.argmax(1), rows.shape[1]), np.minimum(sizes, size))
 
 
 class Levels:
-    """Suffix arrays whose sizes fall geometrically.  An entry is (suffix from its anchor on, reversed text before it, a, c)."""
+    """Suffix arrays whose sizes fall geometrically.  An entry is [suffix from its anchor on, reversed text before it, a, c]."""
 
     def __init__(self, length: int):
         self.length, self.levels = length, []
 
-    def add(self, batch: list[tuple[bytes, bytes, int, int]]) -> Iterator[tuple[int, int, int, int]]:
-        """Index a batch; yields (a, c, start, end) of the covered bytes, from a stretch's start on."""
-        own = sorted(batch)
-        yield from self._scan(own, [])
+    def add(self, batch: list[tuple[bytes, bytes, int, int]]) -> dict[tuple[int, int], tuple[int, int]]:
+        """Index a batch; gives (a, c): (start, end) of the covered bytes, from a stretch's start on.
+
+        All strings of a stretch hold its anchor, so what they cover is one span.
+        """
+        own, self.found = sorted(batch), {}
+        self._scan(own, [])
         for level in self.levels:
-            yield from self._scan(own, level)
+            self._scan(own, level)
         self.levels.append(own)
         while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
             self.levels[-2:] = [sorted(self.levels[-2] + self.levels[-1])]  # two sorted runs: a merge
+        return self.found
 
-    def _scan(self, new: list, old: list) -> Iterator[tuple[int, int, int, int]]:
+    def _scan(self, new: list, old: list) -> None:
         """Walk both arrays in step, anchor by anchor; matches of new entries with old ones, or among themselves without old ones."""
         i = j = 0
         while i < len(new):
@@ -147,30 +151,36 @@ class Levels:
             else:
                 there = here
             if there and (old or len(here) > 1):
-                yield from self._match(here, there, not old)
+                self._match(here, there, not old)
             i = stop
 
-    def _match(self, here: list, there: list, same: bool) -> Iterator[tuple[int, int, int, int]]:
-        right = max(len(x[0]) for x in (*here, *there))
-        left = max(len(x[1]) for x in (*here, *there))
-
-        def table(rows: list, k: int, width: int) -> np.ndarray:
-            out = np.full((len(rows), width + 1), -1, np.int16)
-            for n, x in enumerate(rows):
-                out[n, : len(x[k])] = np.frombuffer(x[k], np.uint8)
-            return out
-
-        ends, backs = table(there, 0, right), table(there, 1, left)
+    def _cover(self, entry: tuple, low: int, high: int) -> None:
+        start, end = len(entry[1]) - high, len(entry[1]) - low + self.length
+        before = self.found.get(entry[2:], (start, end))
+        self.found[entry[2:]] = min(start, before[0]), max(end, before[1])
+
+    def _match(self, here: list, there: list, same: bool) -> None:
+        sizes = [np.array([len(x[k]) for x in there]) for k in (0, 1)]
+        tables = [np.zeros((len(there), max(int(sizes[k].max()), max(len(x[k]) for x in here))), np.uint8) for k in (0, 1)]
+        for k in (0, 1):
+            for n, x in enumerate(there):
+                tables[k][n, : len(x[k])] = np.frombuffer(x[k], np.uint8)
+        far, near = np.full(len(there), -1), np.full(len(there), self.length + 1)  # offsets of the anchor in shared strings
         for n, x in enumerate(here):
-            one, two = (ends[n], backs[n]) if same else (table([x], 0, right)[0], table([x], 1, left)[0])
-            after, before = np.minimum(_common(ends, one), len(x[0])), np.minimum(_common(backs, two), len(x[1]))
-            for m in np.flatnonzero(after + before >= self.length).tolist():
-                y = there[m]
-                if same and m <= n:
-                    continue
-                low, high = max(0, self.length - int(after[m])), int(before[m])  # offsets of the anchor in the strings
-                for z in (x, y):
-                    yield z[2], z[3], len(z[1]) - high, len(z[1]) - low + self.length
+            common = []
+            for k in (0, 1):
+                one = np.zeros(tables[k].shape[1], np.uint8)
+                one[: len(x[k])] = np.frombuffer(x[k], np.uint8)
+                common.append(_common(tables[k], sizes[k], one, len(x[k])))
+            good = common[0] + common[1] >= self.length
+            if same:
+                good[n] = False
+            if good.any():
+                low, high = np.maximum(0, self.length - common[0][good]), common[1][good]
+                self._cover(x, int(low.min()), int(high.max()))
+                far[good], near[good] = np.maximum(far[good], high), np.minimum(near[good], low)
+        for n in [] if same else np.flatnonzero(far >= 0):
+            self._cover(there[n], int(near[n]), int(far[n]))
 
 
 def _index(length: int):
@@ -180,8 +190,8 @@ def _index(length: int):
             rows = []
             for a, c, o, piece in zip(*(batch.column(x).to_pylist() for x in ("a", "c", "o", "piece"))):
                 rows.append((piece[o:], piece[:o][::-1], a, c))
-            found = {(a, c, s, e) for a, c, s, e in levels.add(rows)}
-            a, c, s, e = zip(*found) if found else ((), (), (), ())
+            found = levels.add(rows)
+            a, c, s, e = zip(*[(*k, *v) for k, v in found.items()]) if found else ((), (), (), ())
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "c": pa.array(c, pa.int64()), "s": pa.array(s, pa.int64()), "e": pa.array(e, pa.int64())})
 
     return work
@@ -261,7 +271,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
 
 
-def repeated_spans(documents: DataFrame, length: int = 400, crowd: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(documents: DataFrame, length: int = 400, crowd: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed) for each row; removed lists the byte spans."""
     if length < 2 * ANCHOR:
         raise ValueError(f"length must be at least {2 * ANCHOR}")
@@ -291,9 +301,9 @@ def repeated_spans(documents: DataFrame, length: int = 400, crowd: int = 64, id_
     if not kinds.where(F.col("kinds") > crowd).isEmpty():
         covered = covered.union(_crowded(pieces.where("crowded"), length))
     whole = each.where("times > 1").select("a", "c", F.lit(0).cast("long").alias("s"), (F.col("n") - 1 + length).cast("long").alias("e"))
-    covered = checkpointed(covered.union(whole).groupBy("a", "c").agg(F.collect_set(F.struct("s", "e")).alias("cover")))
-    spans = found.select("a", "c", "doc_id", "h", "start").join(covered, ["a", "c"]).select("doc_id", "h", F.explode(F.transform("cover", lambda x: F.struct((x["s"] + F.col("start")).alias("s"), (x["e"] + F.col("start")).alias("e")))).alias("x"))
-    spans = spans.groupBy("doc_id", "h").agg(F.collect_list("x").alias("spans"))
+    covered = checkpointed(covered.union(whole).groupBy("a", "c").agg(F.min("s").alias("s"), F.max("e").alias("e")))
+    spans = found.select("a", "c", "doc_id", "h", "start").join(covered, ["a", "c"])
+    spans = spans.groupBy("doc_id", "h").agg(F.collect_list(F.struct((F.col("s") + F.col("start")).alias("s"), (F.col("e") + F.col("start")).alias("e"))).alias("spans"))
     return with_texts(spans, "left").select("doc_id", "text", "spans").mapInArrow(
         _apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<s:long,e:long>>"
     )
