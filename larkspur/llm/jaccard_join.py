@@ -126,7 +126,7 @@ def _posted(shared, bits: int):
 
 def similar_components(
     documents: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text",
-    hot_bits: int = 22, node_bits: int = 23, star_rounds: int = 2, crowd_least: int = 8,
+    hot_bits: int = 22, node_bits: int = 23, star_rounds: int = 2, crowd_least: int = 8, few_pairs: int = 100_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: documents link from ``percent`` % Jaccard similarity on.
 
@@ -159,7 +159,7 @@ def similar_components(
     posted = heads.mapInArrow(_posted(common, node_bits), "token long, grp long, n long")
     # Sizes that allow the similarity differ by one step of this scale at most: entries stand under their step and the next.
     step = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))))
-    posted = posted.select(F.explode(F.array(F.xxhash64("token", step), F.xxhash64("token", step + 1))).alias("token"), "grp", "n")
+    posted = posted.select(F.explode(F.array(F.struct(F.xxhash64("token", step).alias("token"), F.lit(False).alias("next")), F.struct(F.xxhash64("token", step + 1).alias("token"), F.lit(True).alias("next")))).alias("p"), "grp", "n").select("p.token", "p.next", "grp", "n")
     many = posted.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
     posted = checkpointed(posted.join(many, "token"))
     crowded = checkpointed(grouped.groupBy("grp").agg(F.count("*").alias("many")).where("many > 1").select("grp"))
@@ -169,32 +169,42 @@ def similar_components(
     sets = checkpointed(sets.groupBy("node").agg(F.first("members").alias("members")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        both = both.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        pairs = checkpointed(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+        if pairs.count() <= few_pairs:  # 16 bytes each
+            both = left.join(F.broadcast(pairs), "a").join(right.join(F.broadcast(pairs), "b"), ["a", "b"])
+        else:
+            both = pairs.join(left, "a").join(right, "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
     fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
     # A node under each shingle of its group; the group itself counts as one more shingle.
-    places = posted.select("token", "grp").join(active, "grp").select("token", "node", "n", "grp")
-    own = active.join(crowded, "grp").select(F.xxhash64("grp", F.lit("group")).alias("token"), "node", "n", "grp")
+    places = posted.select("token", "grp", "next").join(active, "grp").select("token", "node", "n", "next", F.lit(1).alias("worth"))
+    own = active.join(crowded, "grp").select(F.xxhash64("grp", F.lit("group")).alias("token"), "node", "n", F.lit(False).alias("next"), F.lit(1 << 30).alias("worth"))
     places = checkpointed(places.union(own))
     labels = active.select("node", F.col("node").alias("root"))
     links = spark.createDataFrame([], "a long, b long")
     for turn in range(star_rounds + 1):
         at = places.join(labels, "node")
-        mixed = at.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-        at = checkpointed(at.join(mixed, "token"))
+        kinds = at.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).where("low < high")
+        final = turn == star_rounds
+        if not final:
+            kinds = kinds.where(F.col("many") > crowd_least)
+        at = checkpointed(at.join(kinds.select("token"), "token"))
         if at.isEmpty():
-            break
-        if turn < star_rounds:
+            continue
+        if final:
+            # Two sets whose prefixes share c shingles have at most c more in common than the larger rest behind a prefix.
+            pairs = at.alias("x").join(at.alias("y"), "token").where(f"x.root <> y.root and {fits} and x.node < y.node and not (x.next and y.next)")
+            counted = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.sum(F.col("x.worth").cast("long")).alias("c"), F.first("x.n").alias("nx"), F.first("y.n").alias("ny"))
+            rest = F.ceil(percent * F.greatest("nx", "ny") / 100) - 1
+            pairs = counted.where(F.col("c") + rest >= F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))).select("a", "b")
+        else:
             draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("d"), "node", "n", "root")
             centre = at.groupBy("token").agg(F.min(draw).alias("c")).select("token", F.col("c.node").alias("node"), F.col("c.n").alias("n"), F.col("c.root").alias("root"))
-        else:
-            centre = at
-        pairs = at.alias("x").join(centre.alias("y"), "token").where(f"x.root <> y.root and {fits}" + (" and x.node < y.node" if turn == star_rounds else ""))
-        found = verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-        links = checkpointed(links.union(found))
+            pairs = at.alias("x").join(centre.alias("y"), "token").where(f"x.root <> y.root and {fits}").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        links = checkpointed(links.union(verified(pairs)))
         roots = connected_components(links)
         labels = checkpointed(active.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
 
