@@ -161,7 +161,7 @@ class Levels:
 
     def _match(self, here: list, there: list, same: bool) -> None:
         sizes = [np.array([len(x[k]) for x in there]) for k in (0, 1)]
-        tables = [np.zeros((len(there), max(int(sizes[k].max()), max(len(x[k]) for x in here))), np.uint8) for k in (0, 1)]
+        tables = [np.zeros((len(there), 1 + max(int(sizes[k].max()), max(len(x[k]) for x in here))), np.uint8) for k in (0, 1)]
         for k in (0, 1):
             for n, x in enumerate(there):
                 tables[k][n, : len(x[k])] = np.frombuffer(x[k], np.uint8)
