@@ -58,6 +58,15 @@ def _node(sets: np.ndarray) -> int:
     return int(mix(sets + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) ^ np.uint64(len(sets))) if len(sets) else 0
 
 
+def _sketch(sets: np.ndarray) -> np.ndarray:
+    """For each of 256 classes of shingles, whether their number is odd.
+
+    Two sets differ in at least as many shingles as their sketches in bits.
+    """
+    odd = (np.bincount((sets >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -71,19 +80,21 @@ def _signatures(size: int, percent: int, hot, bits: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = None if hot is None else np.unpackbits(np.frombuffer(hot.value, np.uint8), bitorder="little").view(bool)
         for batch in batches:
-            n, nodes, prefixes = [], [], []
+            n, nodes, prefixes, sketches = [], [], [], []
             for hashes, long in shingles(as_bytes(batch.column("text")), size):
                 sets, at = np.unique(hashes, return_index=True)
                 rank = -np.minimum(long[at], 255)
                 if common is not None:
                     rank = rank + 256 * common[(sets & np.uint64((1 << bits) - 1)).astype(np.int64)]
                 keep = len(sets) - -(-percent * len(sets) // 100) + 1 if len(sets) else 0
+                sketches.append(_sketch(sets))
                 n.append(len(sets))
                 nodes.append(_node(sets))
                 prefixes.append(sets[np.argsort(rank, kind="stable")[:keep]])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()),
                 "node": pa.array(_signed(np.array(nodes, np.uint64))), "prefix": _lists(prefixes),
+                **{f"s{k}": pa.array(np.array([x[k] for x in sketches], np.int64)) for k in range(4)},
             })
 
     return work
@@ -136,17 +147,15 @@ def similar_components(
     spark = documents.sparkSession
     rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    form = f"doc_id {id_type}, n long, node long, prefix array<long>"
-
-    signed = checkpointed(rows.mapInArrow(_signatures(size, percent, None, 0), form))
-    counted = signed.select(F.explode("prefix").alias("token")).groupBy("token").count()
-    counted = counted.where(F.col("count") > crowd_least)
-    entries = signed.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    crowd = max(crowd_least, entries >> (hot_bits - 3))
-    hot = checkpointed(counted.where(F.col("count") > crowd).select("token"))
-    if not hot.isEmpty():
-        common = spark.sparkContext.broadcast(bit_filter(hot, "token", hot_bits))
-        signed = checkpointed(rows.mapInArrow(_signatures(size, percent, common, hot_bits), form))
+    form = f"doc_id {id_type}, n long, node long, prefix array<long>, s0 long, s1 long, s2 long, s3 long"
+
+    plain = rows.mapInArrow(_signatures(size, percent, None, 0), form)
+    counted = plain.select(F.explode("prefix").alias("token")).groupBy("token").count()
+    hot, crowd = checkpointed(counted.where(F.col("count") > crowd_least)), crowd_least
+    while hot.where(F.col("count") > crowd).count() > 1 << (hot_bits - 3):  # else the bitmap is too full to tell
+        crowd *= 2
+    common = spark.sparkContext.broadcast(bit_filter(hot.where(F.col("count") > crowd), "token", hot_bits))
+    signed = checkpointed(rows.mapInArrow(_signatures(size, percent, common, hot_bits), form))
 
     # A group is the nodes of one size and prefix, named by the least of them.
     marks = signed.where("n > 0").select("node", "n", F.xxhash64("prefix").alias("own"), F.hash("prefix").alias("own2"))
@@ -161,15 +170,21 @@ def similar_components(
     step = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))))
     posted = posted.select(F.explode(F.array(F.struct(F.xxhash64("token", step).alias("token"), F.lit(False).alias("next")), F.struct(F.xxhash64("token", step + 1).alias("token"), F.lit(True).alias("next")))).alias("p"), "grp", "n").select("p.token", "p.next", "grp", "n")
     many = posted.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
-    posted = checkpointed(posted.join(many, "token"))
-    crowded = checkpointed(grouped.groupBy("grp").agg(F.count("*").alias("many")).where("many > 1").select("grp"))
-    active = checkpointed(posted.select("grp").union(crowded).distinct().join(grouped, "grp").select("node", "n", "grp"))
-    asked = spark.sparkContext.broadcast(bit_filter(active, "node", node_bits))
-    sets = rows.select("text").mapInArrow(_members(size, asked, node_bits), "node long, members array<long>")
-    sets = checkpointed(sets.groupBy("node").agg(F.first("members").alias("members")))
+    # A node under each shingle of its group; the group itself counts as one more shingle.
+    places = posted.join(many, "token").join(grouped.select("node", "grp"), "grp").select("token", "node", "n", "next", F.lit(1).alias("worth"))
+    crowded = grouped.groupBy("grp").agg(F.count("*").alias("many")).where("many > 1").select("grp")
+    own = grouped.join(crowded, "grp").select(F.xxhash64("grp", F.lit("group")).alias("token"), "node", "n", F.lit(False).alias("next"), F.lit(1 << 30).alias("worth"))
+    places = checkpointed(places.union(own))
+    crowds = places.groupBy("token").agg(F.count("*").alias("many"))
+    # What a node shares with others: most for the document that copies were made from.
+    shares = places.join(crowds, "token").groupBy("node").agg(F.sum("many").alias("shares"))
+    sketches = signed.where("n > 0").groupBy("node").agg(*[F.first(f"s{k}").alias(f"s{k}") for k in range(4)])
+    active = checkpointed(sketches.join(shares, "node"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = checkpointed(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        asked = spark.sparkContext.broadcast(bit_filter(pairs.select("a").union(pairs.select("b")), "a", node_bits))
+        sets = rows.select("text").mapInArrow(_members(size, asked, node_bits), "node long, members array<long>").groupBy("node").agg(F.first("members").alias("members"))
         left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
         if pairs.count() <= few_pairs:  # 16 bytes each
             both = left.join(F.broadcast(pairs), "a").join(right.join(F.broadcast(pairs), "b"), ["a", "b"])
@@ -178,12 +193,9 @@ def similar_components(
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
-    fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    # A node under each shingle of its group; the group itself counts as one more shingle.
-    places = posted.select("token", "grp", "next").join(active, "grp").select("token", "node", "n", "next", F.lit(1).alias("worth"))
-    own = active.join(crowded, "grp").select(F.xxhash64("grp", F.lit("group")).alias("token"), "node", "n", F.lit(False).alias("next"), F.lit(1 << 30).alias("worth"))
-    places = checkpointed(places.union(own))
-    labels = active.select("node", F.col("node").alias("root"))
+    apart = " + ".join(f"bit_count(x.s{k} ^ y.s{k})" for k in range(4))
+    fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {apart} <= x.n + y.n - 2 * ceil({percent} * (x.n + y.n) / {100 + percent})"
+    labels = active.withColumn("root", F.col("node"))
     links = spark.createDataFrame([], "a long, b long")
     for turn in range(star_rounds + 1):
         at = places.join(labels, "node")
@@ -191,9 +203,10 @@ def similar_components(
         final = turn == star_rounds
         if not final:
             kinds = kinds.where(F.col("many") > crowd_least)
-        at = checkpointed(at.join(kinds.select("token"), "token"))
-        if at.isEmpty():
+        kinds = checkpointed(kinds.select("token"))
+        if kinds.isEmpty():
             continue
+        at = at.join(kinds, "token")
         if final:
             # Two sets whose prefixes share c shingles have at most c more in common than the larger rest behind a prefix.
             pairs = at.alias("x").join(at.alias("y"), "token").where(f"x.root <> y.root and {fits} and x.node < y.node and not (x.next and y.next)")
@@ -201,12 +214,13 @@ def similar_components(
             rest = F.ceil(percent * F.greatest("nx", "ny") / 100) - 1
             pairs = counted.where(F.col("c") + rest >= F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))).select("a", "b")
         else:
-            draw = F.struct(F.xxhash64("node", F.lit(turn)).alias("d"), "node", "n", "root")
-            centre = at.groupBy("token").agg(F.min(draw).alias("c")).select("token", F.col("c.node").alias("node"), F.col("c.n").alias("n"), F.col("c.root").alias("root"))
+            first = F.xxhash64("node", F.lit(turn)) if turn % 2 else -F.col("shares")
+            draw = F.struct(first.alias("d"), "node", "n", "root", "s0", "s1", "s2", "s3")
+            centre = at.groupBy("token").agg(F.min(draw).alias("c")).select("token", "c.*")
             pairs = at.alias("x").join(centre.alias("y"), "token").where(f"x.root <> y.root and {fits}").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         links = checkpointed(links.union(verified(pairs)))
         roots = connected_components(links)
-        labels = checkpointed(active.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+        labels = checkpointed(active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
 
     known = signed.select("doc_id", "n", "node")
     linked = labels.where("node <> root").select("node", "root")
