@@ -1,0 +1,42 @@
+"""Select, insert, delete and count on named tables kept as Parquet versions in a folder."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class Shell:
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.tables = spark, folder, {}
+
+    def register(self, name: str, df: DataFrame) -> None:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.tables[name] = path
+
+    def select(self, table: str, cols: str = "*", condition: str = "", orderby: str = "") -> DataFrame:
+        df = self.spark.read.parquet(self.tables[table])
+        df = df.where(condition) if condition else df
+        df = df.orderBy(*[c.strip() for c in orderby.split(",")]) if orderby else df
+        return df if cols == "*" else df.selectExpr(*[c.strip() for c in cols.split(",")])
+
+    def insert(self, table: str, rows: DataFrame) -> bool:
+        if table not in self.tables:
+            return False
+        rows.write.mode("append").parquet(self.tables[table])
+        return True
+
+    def delete(self, table: str, condition: str) -> bool:
+        """Rows for which the condition is true go."""
+        if not table or not condition:
+            return False
+        self.register(table, self.select(table).where(f"not coalesce({condition}, false)"))
+        return True
+
+    def delete_all(self, table: str) -> bool:
+        return self.delete(table, "true")
+
+    def count(self, table: str, condition: str = "") -> int:
+        return self.select(table, condition=condition).count()
