@@ -212,9 +212,9 @@ def _parts(length: int):
                 strings = span_hash(prefix, at, at + length).view(np.int64)
                 for part in range((o - n + 1) // _PART, o // _PART + 1):
                     first, last = max(0, o - part * _PART - _PART + 1), min(n - 1, o - part * _PART)
-                    core, whole = (int(span_hash(prefix, np.array([s]), np.array([e])).view(np.int64)[0]) for s, e in ((last, first + length), (first, last + length)))
-                    full = int(first == o - part * _PART - _PART + 1) * 2 + int(last == o - part * _PART)
-                    out.append((a, part, core if full == 3 else 0, whole, c, first, strings[first : last + 1].tolist(), o))
+                    # Every string of the part holds the bytes that all its possible strings share.
+                    core, whole = (int(span_hash(prefix, np.array([s]), np.array([e])).view(np.int64)[0]) for s, e in ((o - part * _PART, o - part * _PART - _PART + 1 + length), (first, last + length)))
+                    out.append((a, part, core, whole, c, first, strings[first : last + 1].tolist(), o))
             columns = list(zip(*out)) if out else [()] * 8
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32())
             yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for k, v, t in zip(("a", "part", "core", "whole", "c", "first", "each", "o"), columns, kinds)})
@@ -230,17 +230,11 @@ def _crowded(pieces: DataFrame, length: int) -> DataFrame:
     wholes = parts.groupBy(*keys, size.alias("size")).agg(F.count("*").alias("n"), F.first("core").alias("core"), F.first("each").alias("each"), F.first(F.col("o") - F.col("first")).alias("far"))
     twice = wholes.where("n > 1").select(*keys, "size")
     equal = parts.withColumn("size", size).join(twice, [*keys, "size"]).select("a", "c", F.col("first").cast("long").alias("s"), (F.col("first") + F.col("size") - 1 + length).cast("long").alias("e"))
-    # Strings of parts that are alone as a whole, but not in their core; parts at a stretch's end (core 0) all go on.
-    shared = wholes.groupBy("a", "part", "core").agg(F.count("*").alias("k"))
-    mixed = shared.where("k > 1").select("a", "part", "core").union(shared.where("core = 0").select("a", "part", "core")).distinct()
-    open_parts = wholes.where("core <> 0").join(mixed, ["a", "part", "core"], "left_semi").select("a", "part", "far", "each")
-    open_parts = open_parts.union(wholes.where("core = 0").select("a", "part", "far", "each"))
-    # A part at an end meets whole parts too.
-    ends = wholes.where("core = 0").select("a", "part").distinct()
-    met = wholes.where("core <> 0").join(ends, ["a", "part"], "left_semi").join(mixed.where("core <> 0"), ["a", "part", "core"], "left_anti").select("a", "part", "far", "each")
-    strings = open_parts.union(met).select("a", F.posexplode("each").alias("k", "string"), "far").select("a", (F.col("far") - F.col("k")).alias("offset"), "string")
+    # Of the others, only parts that share a core can share a string.
+    mixed = wholes.groupBy("a", "part", "core").agg(F.count("*").alias("k")).where("k > 1").select("a", "part", "core")
+    strings = wholes.join(mixed, ["a", "part", "core"], "left_semi").select("a", F.posexplode("each").alias("k", "string"), "far").select("a", (F.col("far") - F.col("k")).alias("offset"), "string")
     again = strings.groupBy("a", "offset", "string").agg(F.count("*").alias("n")).where("n > 1").select("a", "offset", "string")
-    single = parts.select("a", "c", "o", "first", F.posexplode("each").alias("k", "string")).withColumn("offset", F.col("o") - F.col("first") - F.col("k"))
+    single = parts.join(mixed, ["a", "part", "core"], "left_semi").select("a", "c", "o", "first", F.posexplode("each").alias("k", "string")).withColumn("offset", F.col("o") - F.col("first") - F.col("k"))
     some = single.join(again, ["a", "offset", "string"]).select("a", "c", (F.col("o") - F.col("offset")).cast("long").alias("s"), (F.col("o") - F.col("offset") + length).cast("long").alias("e"))
     return equal.union(some)
 
