@@ -137,7 +137,7 @@ def _posted(shared, bits: int):
 
 def similar_components(
     documents: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text",
-    hot_bits: int = 22, node_bits: int = 23, star_rounds: int = 2, crowd_least: int = 8, few_pairs: int = 100_000,
+    hot_bits: int = 22, node_bits: int = 23, star_rounds: int = 1, crowd_least: int = 8, few_pairs: int = 100_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: documents link from ``percent`` % Jaccard similarity on.
 
