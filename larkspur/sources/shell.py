@@ -17,10 +17,13 @@ class Shell:
         self.tables[name] = path
 
     def select(self, table: str, cols: str = "*", condition: str = "", orderby: str = "") -> DataFrame:
-        df = self.spark.read.parquet(self.tables[table])
-        df = df.where(condition) if condition else df
-        df = df.orderBy(*[c.strip() for c in orderby.split(",")]) if orderby else df
-        return df if cols == "*" else df.selectExpr(*[c.strip() for c in cols.split(",")])
+        view = f"shell_{uuid.uuid4().hex}"
+        self.spark.read.parquet(self.tables[table]).createOrReplaceTempView(view)
+        where, order = f" WHERE {condition}" if condition else "", f" ORDER BY {orderby}" if orderby else ""
+        try:
+            return self.spark.sql(f"SELECT {cols} FROM {view}{where}{order}")
+        finally:
+            self.spark.catalog.dropTempView(view)
 
     def insert(self, table: str, rows: DataFrame) -> bool:
         if table not in self.tables:
