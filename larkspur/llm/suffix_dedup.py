@@ -227,15 +227,16 @@ def _crowded(pieces: DataFrame, length: int) -> DataFrame:
     parts = checkpointed(pieces.mapInArrow(_parts(length), "a long, part int, core long, whole long, c long, first int, each array<long>, o int"))
     size = F.size("each")
     keys = ["a", "part", "whole"]
-    wholes = parts.groupBy(*keys, size.alias("size")).agg(F.count("*").alias("n"), F.first("core").alias("core"), F.first("each").alias("each"), F.first(F.col("o") - F.col("first")).alias("far"))
+    names = [F.first(x).alias(x) for x in ("core", "each", "c", "o", "first")]
+    wholes = parts.groupBy(*keys, size.alias("size")).agg(F.count("*").alias("n"), *names)
     twice = wholes.where("n > 1").select(*keys, "size")
     equal = parts.withColumn("size", size).join(twice, [*keys, "size"]).select("a", "c", F.col("first").cast("long").alias("s"), (F.col("first") + F.col("size") - 1 + length).cast("long").alias("e"))
-    # Of the others, only parts that share a core can share a string.
-    mixed = wholes.groupBy("a", "part", "core").agg(F.count("*").alias("k")).where("k > 1").select("a", "part", "core")
-    strings = wholes.join(mixed, ["a", "part", "core"], "left_semi").select("a", F.posexplode("each").alias("k", "string"), "far").select("a", (F.col("far") - F.col("k")).alias("offset"), "string")
-    again = strings.groupBy("a", "offset", "string").agg(F.count("*").alias("n")).where("n > 1").select("a", "offset", "string")
-    single = parts.join(mixed, ["a", "part", "core"], "left_semi").select("a", "c", "o", "first", F.posexplode("each").alias("k", "string")).withColumn("offset", F.col("o") - F.col("first") - F.col("k"))
-    some = single.join(again, ["a", "offset", "string"]).select("a", "c", (F.col("o") - F.col("offset")).cast("long").alias("s"), (F.col("o") - F.col("offset") + length).cast("long").alias("e"))
+    # Of the different wholes, only those that share a core can share a string; those found twice are covered already.
+    mixed = wholes.groupBy("a", "part", "core").agg(F.count("*").alias("k"), F.min("n").alias("n")).where("k > 1 and n = 1").select("a", "part", "core")
+    strings = wholes.join(mixed, ["a", "part", "core"], "left_semi").select("a", "c", "n", (F.col("o") - F.col("first")).alias("far"), "first", F.posexplode("each").alias("k", "string"))
+    strings = checkpointed(strings.select("a", "c", "n", (F.col("far") - F.col("k")).alias("offset"), "string", (F.col("first") + F.col("k")).cast("long").alias("s")))
+    again = strings.groupBy("a", "offset", "string").agg(F.count("*").alias("found")).where("found > 1").select("a", "offset", "string")
+    some = strings.where("n = 1").join(again, ["a", "offset", "string"]).select("a", "c", "s", (F.col("s") + length).alias("e"))
     return equal.union(some)
 
 
