@@ -43,3 +43,31 @@ def last_tokens(tokens: Column, size: int, pad: str = "") -> Column:
     """The last ``size`` tokens, padded on the left."""
     kept = F.slice(tokens, F.greatest(F.size(tokens) - size + 1, F.lit(1)), F.lit(size))
     return F.concat(F.array_repeat(F.lit(pad), F.greatest(F.lit(size) - F.size(kept), F.lit(0))), kept)
+
+
+def _each(text: Column, pattern: str, to) -> Column:
+    """Every match of the (total) pattern in turn, replaced by ``to``."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), to), "")
+
+
+def tag_hashtags(text: Column) -> Column:
+    """A tag in capitals as its lower-case word and a mark; any other cut before its capitals."""
+    def to(part: Column) -> Column:
+        body = F.substr(part, F.lit(2))
+        words = F.array_join(F.regexp_extract_all(body, F.lit("([A-Z]+[^A-Z]*|[^A-Z]+)"), F.lit(1)), " ")
+        loud = F.concat(F.lit(" <hashtag> "), F.lower(body), F.lit(" <allcaps> "))
+        return F.when(~part.rlike(r"^#\S"), part).when(F.upper(body) == body, loud).otherwise(F.concat(F.lit(" <hashtag> "), F.lower(words)))
+
+    return _each(text, r"(#\S+|[^#]+|#)", to)
+
+
+def tag_capitals(text: Column) -> Column:
+    """Runs of two or more characters other than small letters, digits and some marks, in lower case with a mark."""
+    plain = r"a-z0-9()<>' `\-"
+    return _each(text, rf"([^{plain}]{{2,}}|[{plain}]+|[^{plain}])", lambda part: F.when(part.rlike(rf"^[^{plain}]{{2,}}$"), F.concat(F.lower(part), F.lit(" <allcaps> "))).otherwise(part))
+
+
+def char_ids(text: Column, alphabet: str) -> Column:
+    """The place of each character in the alphabet; null where it isn't there."""
+    chars = F.array(*[F.lit(c) for c in alphabet])
+    return F.transform(F.split(text, ""), lambda c: F.nullif(F.array_position(chars, c), F.lit(0)) - 1)

@@ -1,0 +1,105 @@
+"""Rounds of federated training of a linear softmax model.
+
+Samples are (client_id, x, label).  Parameters are one small vector (classes by
+features plus a bias), so they travel with the task; samples never leave their
+partition.  Gradients are sums over samples, so the pooled and the
+federated full-batch step need one partial sum for each task; local steps need
+a client's samples together, and a client is one device's data.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def _design(x) -> np.ndarray:
+    rows = np.array(list(x), float)
+    return np.hstack([rows, np.ones((len(rows), 1))])
+
+
+def _gradient(w: np.ndarray, x: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
+    """Sums over the samples: gradient and cross entropy."""
+    z = x @ w.T
+    z -= z.max(1, keepdims=True)
+    p = np.exp(z)
+    p /= p.sum(1, keepdims=True)
+    rows = np.arange(len(label))
+    loss = -np.log(np.maximum(p[rows, label], 1e-300)).sum()
+    p[rows, label] -= 1
+    return p.T @ x, float(loss)
+
+
+def full_gradient(samples: DataFrame, w: np.ndarray) -> tuple[np.ndarray, float, int]:
+    """(mean gradient, mean loss, samples) over all clients, weighted by their sizes: one row for each task reaches the driver's sum."""
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, loss, n = np.zeros_like(w), 0.0, 0
+        for f in frames:
+            if len(f):
+                g, more = _gradient(w, _design(f["x"]), f["label"].to_numpy(int))
+                total, loss, n = total + g, loss + more, n + len(f)
+        yield pd.DataFrame({"pos": np.arange(w.size), "g": total.ravel(), "loss": loss, "n": n})
+
+    parts = samples.select("x", "label").mapInPandas(work, "pos int, g double, loss double, n long")
+    out = parts.groupBy("pos").agg(F.sum("g").alias("g"), F.sum("loss").alias("loss"), F.sum("n").alias("n")).orderBy("pos").toPandas()
+    n = max(int(out["n"].iloc[0]), 1) if len(out) else 1
+    if not len(out):
+        return np.zeros_like(w), 0.0, 0
+    return out["g"].to_numpy().reshape(w.shape) / n, float(out["loss"].iloc[0]) / n, int(out["n"].iloc[0])
+
+
+def fed_sgd(samples: DataFrame, classes: int, features: int, rounds: int, lr: float = 0.5) -> tuple[np.ndarray, list[float]]:
+    """Full-batch rounds over all clients; gives the weights and the loss before each round."""
+    w, losses = np.zeros((classes, features + 1)), []
+    for _ in range(rounds):
+        g, loss, _ = full_gradient(samples, w)
+        w, losses = w - lr * g, [*losses, loss]
+    return w, losses
+
+
+def local_updates(samples: DataFrame, w: np.ndarray, epochs: int = 1, batch: int = 32, lr: float = 0.5, mu: float = 0.0, seed: int = 0) -> DataFrame:
+    """(client_id, layer, pos, value, n_train) after local mini-batch steps from ``w``; ``mu`` pulls towards ``w``."""
+    def fit(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.assign(key=f["x"].map(lambda v: np.asarray(v).tobytes())).sort_values(["label", "key"])
+        x, label, own = _design(f["x"]), f["label"].to_numpy(int), w.copy()
+        rng = np.random.default_rng([seed, int(f["client_id"].iloc[0])])
+        for _ in range(epochs):
+            order = rng.permutation(len(f))
+            for at in range(0, len(f), batch):
+                k = order[at : at + batch]
+                g, _ = _gradient(own, x[k], label[k])
+                own = own - lr * (g / len(k) + mu * (own - w))
+        layer, pos = np.indices(w.shape).reshape(2, -1)
+        return pd.DataFrame({"client_id": f["client_id"].iloc[0], "layer": layer, "pos": pos, "value": own.ravel(), "n_train": len(f)})
+
+    return samples.select("client_id", "x", "label").groupBy("client_id").applyInPandas(fit, "client_id long, layer int, pos int, value double, n_train long")
+
+
+def fed_avg(samples: DataFrame, classes: int, features: int, rounds: int, share: float = 1.0, **local) -> np.ndarray:
+    """Rounds of local training on a share of the clients (in md5 order of id and round) and their size-weighted mean."""
+    w = np.zeros((classes, features + 1))
+    clients = samples.select("client_id").distinct()
+    n = max(1, int(clients.count() * share))
+    for k in range(rounds):
+        chosen = clients.orderBy(F.md5(F.concat_ws("-", F.col("client_id"), F.lit(k))), "client_id").limit(n)
+        own = local_updates(samples.join(chosen, "client_id", "left_semi"), w, seed=k, **local)
+        v, size = F.col("value"), F.col("n_train")
+        f = own.groupBy("layer", "pos").agg((F.sum(v * size) / F.sum(size)).alias("value")).toPandas()
+        w = np.zeros_like(w)
+        w[f["layer"], f["pos"]] = f["value"]
+    return w
+
+
+def evaluate(samples: DataFrame, w: np.ndarray) -> DataFrame:
+    """(client_id, n, accuracy)."""
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            right = (_design(f["x"]) @ w.T).argmax(1) == f["label"].to_numpy(int) if len(f) else np.zeros(0, bool)
+            yield pd.DataFrame({"client_id": f["client_id"], "right": right.astype(int)})
+
+    judged = samples.select("client_id", "x", "label").mapInPandas(work, "client_id long, right int")
+    return judged.groupBy("client_id").agg(F.count("*").alias("n"), F.avg("right").alias("accuracy"))
