@@ -107,13 +107,16 @@ def _probes(size: int, edits: int, level: int) -> tuple[tuple[int, int, tuple[tu
         for chosen in combinations(range(parts), level):
             number = short << 16 | sum(1 << k for k in chosen)
 
+            # Edits lie in segments that aren't chosen (what is put in between two belongs to one that isn't):
+            # a shift arises only where there is such a segment, and the last one leads to the line's end.
             def shifts(k: int, done: tuple[int, ...], spent: int):
                 at = done[-1] if done else 0
                 if k == level:
-                    if spent + abs(less - at) <= edits:
+                    if spent + abs(less - at) <= edits and (less == at or chosen[-1] < parts - 1):
                         yield done
                     return
-                for s in range(at - edits + spent, at + edits - spent + 1):
+                free = chosen[k] > (chosen[k - 1] + 1 if k else 0)
+                for s in range(at - edits + spent, at + edits - spent + 1) if free else (at,):
                     yield from shifts(k + 1, (*done, s), spent + abs(s - at))
 
             for shift in shifts(0, (), 0):
