@@ -174,26 +174,44 @@ def _bits(shared) -> np.ndarray:
     return np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
 
 
-def _entries(least: int, edits: int, level: int, wanted, bits: int, crowd: int):
-    """(key, line, role): each line once a task.  Keys that are crowded within the task already send one mark; their lines get key null."""
+def _lines_once(least: int):
+    """(line, bytes) of each batch of documents, each line once a task."""
+    done: set[int] = set()
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+        for text in as_bytes(batch.column("text")):
+            for _, x in _lines(text, least):
+                line = _hash(x)
+                if line not in done:
+                    done.add(line)
+                    yield line, x
+
+    return read
+
+
+def _lines_given(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
+    return zip(batch.column("line").to_numpy().view(np.uint64).tolist(), batch.column("words").to_pylist())
+
+
+def _entries(least: int, edits: int, level: int, crowd: int):
+    """(key, line, role), from documents at level 1 and from different lines beyond it.
+
+    Keys that are crowded within a batch already send one mark; their lines get key null.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask, mask, done = None if wanted is None else _bits(wanted), (1 << bits) - 1, set()
+        read = _lines_once(least) if level == 1 else _lines_given
         for batch in batches:
             keys, lines, roles, tallies = [], [], [], []
-            for text in as_bytes(batch.column("text")):
-                for _, x in _lines(text, least):
-                    line = _hash(x)
-                    if line in done or ask is not None and not ask[line & mask]:
-                        continue
-                    done.add(line)
-                    tally = _tally(x) if level > 1 else 0
-                    for role, number, spots in _probes(len(x), edits, level):
-                        if level > 1:
-                            tallies.append(tally)
-                        keys.append(_hash(b"\0".join([x[s:e] for s, e in spots]), number))
-                        lines.append(line)
-                        roles.append(role)
+            for line, x in read(batch):
+                probes = _probes(len(x), edits, level)
+                if level == 1:
+                    keys += [_hash(x[s:e], number) for _, number, ((s, e),) in probes]
+                else:
+                    keys += [_hash(b"\0".join([x[s:e] for s, e in spots]), number) for _, number, spots in probes]
+                    tallies += [_tally(x)] * len(probes)
+                lines += [line] * len(probes)
+                roles += [role for role, _, _ in probes]
             key, line, role = np.array(keys, np.uint64), np.array(lines, np.uint64), np.array(roles, np.int8)
             order = np.argsort(key)
             key, line, role = key[order], line[order], role[order]
@@ -215,6 +233,20 @@ def _entries(least: int, edits: int, level: int, wanted, bits: int, crowd: int):
     return work
 
 
+def _group_pairs(n: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x < y) of all pairs of ``n``, block by block."""
+    if n < len(_TRIANGLES):
+        yield _TRIANGLES[n]
+        return
+    for s in range(0, n, block):
+        own = min(block, n - s)
+        x, y = np.triu_indices(own, 1)
+        yield s + x, s + y
+        for t in range(s + block, n, block):
+            x, y = np.indices((own, min(block, n - t))).reshape(2, -1)
+            yield s + x, t + y
+
+
 def _pairs(crowd: int, edits: int):
     """Candidate pairs (a, b) of each key; of a crowded key its lines, with b null.  The input is dealt by key.
 
@@ -246,12 +278,14 @@ def _pairs(crowd: int, edits: int):
             if n > crowd or kind.max() == _CROWD:
                 moved.append(own[kind != _CROWD])
                 continue
-            x, y = _TRIANGLES[n] if n < len(_TRIANGLES) else np.triu_indices(n, 1)
-            good = (kind[x] == _INDEX) | (kind[y] == _INDEX)
-            if tally is not None:
-                good &= _tally_apart(tally[s + x], tally[s + y]) <= 2 * edits
-            left.append(own[x[good]])
-            right.append(own[y[good]])
+            for x, y in _group_pairs(n):
+                good = (kind[x] == _INDEX) | (kind[y] == _INDEX)
+                x, y = x[good], y[good]
+                if tally is not None:
+                    good = _tally_apart(tally[s + x], tally[s + y]) <= 2 * edits
+                    x, y = x[good], y[good]
+                left.append(own[x])
+                right.append(own[y])
         for k in range(0, len(left), 4096):
             a, b = np.concatenate(left[k : k + 4096]), np.concatenate(right[k : k + 4096])
             pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
@@ -293,27 +327,34 @@ def _verify(edits: int):
 
 
 def line_links(rows: DataFrame, least: int, edits: int, crowd: int, bits: int = 23) -> DataFrame:
-    """(a, b): all pairs of different lines (by hash) within the distance."""
+    """(a, b): all pairs of different lines (by hash) within the distance.
+
+    Documents are read for the first level, and once for the texts of lines that
+    it found in a pair or under a crowded key; further levels read those only.
+    There, byte counts come with the keys, so groups may be larger.
+    """
     spark = rows.sparkSession
-    texts, wanted, links = rows.select("text"), None, []
+    texts, lines, links = rows.select("text"), None, []
     for level in range(1, _LAST_LEVEL + 1):
         last = level == _LAST_LEVEL
-        own = crowd if not last else 1 << 40  # segments of a few bytes: what is left differs in place and number of single letters
-        entries = texts.mapInArrow(_entries(least, edits, level, wanted, bits, own), "key long, line long, role byte" + (", tally long" if level > 1 else ""))
+        own = 1 << 40 if last else crowd if level == 1 else crowd * 32  # the last: what is left differs in place and number of single letters
+        source = texts if level == 1 else lines.join(crowded.select(F.col("a").alias("line")), "line", "left_semi")
+        entries = source.mapInArrow(_entries(least, edits, level, own), "key long, line long, role byte" + (", tally long" if level > 1 else ""))
         found = entries.where("key is not null").repartition("key").mapInArrow(_pairs(own, edits), "a long, b long")
         moved = entries.where("key is null").select(F.col("line").alias("a"), F.lit(None).cast("long").alias("b"))
         found = checkpointed(found.union(moved).distinct())
         links.append(found.where("b is not null"))
         crowded = found.where("b is null").select("a")
+        if level == 1:
+            asked = spark.sparkContext.broadcast(bit_filter(found.select("a").union(found.where("b is not null").select("b")), "a", bits))
+            lines = texts.mapInArrow(_texts(least, asked, bits), "line long, words binary").groupBy("line").agg(F.first("words").alias("words"))
+            lines = checkpointed(lines)
         if last or crowded.isEmpty():
             break
-        wanted = spark.sparkContext.broadcast(bit_filter(crowded, "a", bits))
     pairs = links[0]
     for more in links[1:]:
         pairs = pairs.union(more)
     pairs = pairs.distinct()
-    asked = spark.sparkContext.broadcast(bit_filter(pairs.select("a").union(pairs.select("b")), "a", bits))
-    lines = texts.mapInArrow(_texts(least, asked, bits), "line long, words binary").groupBy("line").agg(F.first("words").alias("words"))
     both = pairs.join(lines.toDF("a", "x"), "a").join(lines.toDF("b", "y"), "b")
     return checkpointed(both.mapInArrow(_verify(edits), "a long, b long"))
 
