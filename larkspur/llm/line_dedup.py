@@ -10,7 +10,8 @@ one of them whole, at a place and for a length that the distance allows, so each
 line probes the index with just those substrings.  Under a key with more than
 ``crowd`` lines no pairs are made: its lines go on to the next level, where
 edits + 2 segments mean that two must match and the keys are pairs of segments,
-and so on, which parts any group that differs anywhere.  Candidates are verified
+and so on, which parts any group that differs anywhere.  Beyond the first level,
+byte counts come with the keys and ``crowd`` is 32 times as large; the last has none.  Candidates are verified
 with banded bit-parallel edit distance.
 
 Null texts have no lines.  Rows that repeat an id and text are treated alike (as

@@ -86,7 +86,7 @@ def test_op2_against_all_pairs(spark):
             if len(x) >= 20:
                 first.setdefault(x, (i, k))
     near = {x: [y for y in first if y != x and distance(x, y) <= 2] for x in first}
-    for crowd in (16, 2):
+    for crowd in (16, 2, 0):
         got = {r["doc_id"]: r["kept"] for r in line_dedup.dedup_lines(df, min_bytes=20, crowd=crowd).collect()}
         for i, t in texts:
             want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if x not in first or first[x] == (i, k) and not any(first[y] < first[x] for y in near[x]))
