@@ -2,8 +2,8 @@
 
 The set of a document is its distinct word shingles, as 64-bit hashes.  Equal
 sets collapse first (a node for each different set).  Any total order of
-shingles makes prefix filtering exact; ours puts long shingles first, which are
-rare, and shingles found in many prefixes last (a bitmap of fixed size says
+shingles makes prefix filtering exact; ours puts shingles of long words first
+(bytes of the words alone, ties by hash), which are rare, and shingles found in many prefixes last (a bitmap of fixed size says
 which), so few documents meet under one shingle.  Nodes of the same size and
 prefix form a group; groups that share a prefix shingle and whose sizes allow
 the similarity are candidates; groups are expanded and members verified on
@@ -37,19 +37,23 @@ _FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 65)],
 
 
 def shingles(texts: list[bytes], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text, (hashes of its shingles, their lengths in bytes), repeats included."""
+    """For each text, (hashes of its shingles, the bytes of their words), repeats included.
+
+    Both depend on the words alone, not on what stands between them.
+    """
     for first, last in runs(texts):
         word, start, end, begin = words_of(texts[first:last], *_TABLE)
         n = max(0, len(word) - size + 1)
         whole = np.zeros(n, np.uint64)
         for k in range(size):
             whole += word[k : k + n] * _FACTORS[k]
-        whole, long = mix(whole), end[size - 1 : size - 1 + n] - start[:n]
+        spent = np.concatenate(([0], np.cumsum(end - start)))
+        whole, long = mix(whole), spent[size : size + n] - spent[:n]
         for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
             if b - a >= size:
                 yield whole[a : b - size + 1], long[a : b - size + 1]
             elif b > a:
-                yield mix((word[a:b] * _FACTORS[: b - a]).sum(keepdims=True) + np.uint64(b - a)), end[b - 1 : b] - start[a]
+                yield mix((word[a:b] * _FACTORS[: b - a]).sum(keepdims=True) + np.uint64(b - a)), spent[b : b + 1] - spent[a]
             else:
                 yield whole[:0], long[:0]
 

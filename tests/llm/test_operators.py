@@ -226,6 +226,41 @@ def test_op10_against_all_pairs(spark):
         assert got == {k: (len(s), find(k)) for k, s in enumerate(sets)}
 
 
+def plain_components(texts, size, percent):
+    """(size of the set, least place in the component) of each text, by all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return [(len(s), r) for s, r in zip(sets, root)]
+
+
+def test_op10_white_space_between_words(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(40):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 6))) for _ in range(rng.randint(60, 200))]
+        for k in range(4):
+            own = list(words)
+            for _ in range(k and rng.randint(0, 3)):
+                own[rng.randrange(len(own))] = "q" * rng.randint(1, 9)
+            gaps = [" "] * len(own)
+            for _ in range(k and 12):
+                gaps[rng.randrange(len(own))] = rng.choice(["  ", "\n\n", "\r\n", "\n" + " " * 30, "\t" * 9])
+            texts.append("".join(w + g for w, g in zip(own, gaps)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = dict(enumerate(plain_components(texts, 3, 90)))
+    for least in (8, 1):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_components(df, crowd_least=least).collect()}
+        assert got == want
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert jaccard_join.similar_components(none).count() == 0
