@@ -20,6 +20,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document needs this score in the language found.
 LEAST_SCORE = 0.5
 MIN_LINE_BYTES = 40
+#: Documents are near copies from this percentage of shingles of so many words on.
+SHINGLE_WORDS, LEAST_SIMILAR = 5, 80
 
 
 def _columns(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -45,11 +47,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id in each component of similar ones."""
+    """Keeps one row of each component of similar documents: that of least id (null last), then of least hash."""
     ship(spark)
-    found = jaccard_join.similar_components(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(COLUMNS)
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*COLUMNS).alias("h"))
+    ranked = docs.select(COLUMNS).withColumn("_rank", rank)
+    found = jaccard_join.similar_components(ranked.select("_rank", "text"), SHINGLE_WORDS, LEAST_SIMILAR, id_col="_rank")
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_rank")).distinct()
+    return ranked.dropDuplicates(["_rank"]).join(kept, "_rank", "left_semi").select(COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

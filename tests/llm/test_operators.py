@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -261,6 +262,29 @@ def test_op10_white_space_between_words(spark):
         assert got == want
 
 
+def test_pipeline_near_duplicates(spark):
+    rng = random.Random(7)
+    texts = []
+    for _ in range(12):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) for _ in range(250)]
+        texts.append(" ".join(words))
+        for edits in (5, 9, 20):
+            own = list(words)
+            for k in range(edits):
+                own[(2 * k + 1) * 125 // edits] = "q" * rng.randint(1, 9)
+            texts.append(" ".join(own))
+    rows = [(None if k % 3 == 0 else k, t) for k, t in enumerate(texts)]
+    rows += [rows[1], rows[1], rows[0], rows[0], (1, texts[-1]), (None, "alone"), (None, "alone too")]
+    rng.shuffle(rows)
+    component = [r for _, r in plain_components([t for _, t in rows], 5, 80)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    place = {row: c for row, c in zip(rows, component)}
+    assert sorted(place[row] for row in got) == sorted(set(component))
+    low = {c: min((i is None, i or 0) for (i, _), own in zip(rows, component) if own == c) for c in component}
+    assert all((i is None, i or 0) == low[place[i, t]] for i, t in got)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert jaccard_join.similar_components(none).count() == 0
