@@ -39,11 +39,10 @@ def find_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated lines, and documents that lost lines and have none of the judged length left."""
+    """Removes repeated lines, and documents that were nothing else."""
     ship(spark)
     judged = line_dedup.dedup_lines(docs.select(COLUMNS), MIN_LINE_BYTES)
-    longest = F.array_max(F.transform(F.split("kept", "\n", -1), F.octet_length))
-    return _columns(judged.where((F.col("n_removed") == 0) | (longest >= MIN_LINE_BYTES)), "kept")
+    return _columns(judged.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^ \t\n\x0B\f\r]")), "kept")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

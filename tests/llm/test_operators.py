@@ -262,6 +262,16 @@ def test_op10_white_space_between_words(spark):
         assert got == want
 
 
+def test_pipeline_keeps_short_lines(spark):
+    license = "Permission is hereby granted to copy this text, free of charge, to anyone."
+    verse = [f"{license}\n" + "\n".join(f"line {k} of verse {d}" for k in range(30)) for d in range(4)]
+    texts = [license, *verse, f" \n{license}\n\t\n", f"{license}\nend", None, "", " "]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    want = [license, *[v.removeprefix(license + "\n") for v in verse], None, "end", None, "", " "]
+    assert got == {k: (t, None if t is None else len(t)) for k, t in enumerate(want) if k != 5}
+
+
 def test_pipeline_near_duplicates(spark):
     rng = random.Random(7)
     texts = []
