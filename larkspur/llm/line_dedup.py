@@ -1,7 +1,7 @@
 """Line dedup by a segment-partition edit join.
 
 Lines of at least ``min_bytes`` bytes take part.  Two different lines link when
-their edit distance, over UTF-8 bytes, is at most ``edits``.  A line is removed
+their edit distance, over code points, is at most ``edits``.  A line is removed
 where an equal line stands earlier, or where it links with a line that stands
 earlier (order: id, a hash of the text, place in the text).
 
@@ -12,7 +12,8 @@ line probes the index with just those substrings.  Under a key with more than
 edits + 2 segments mean that two must match and the keys are pairs of segments,
 and so on, which parts any group that differs anywhere.  Beyond the first level,
 byte counts come with the keys and ``crowd`` is 32 times as large; the last has none.  Candidates are verified
-with banded bit-parallel edit distance.
+with banded bit-parallel edit distance.  Linked and equal lines form classes
+(connected components), named by the least line hash.
 
 Null texts have no lines.  Rows that repeat an id and text are treated alike (as
 one document).  Ids may be null.  An empty table gives an empty result.
@@ -30,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm._graph import connected_components
 from larkspur.llm._spark import bit_filter, checkpointed
 from larkspur.llm._words import as_bytes
 
@@ -42,7 +44,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def within(one: bytes, two: bytes, edits: int) -> bool:
+def _units(line: bytes) -> bytes | str:
+    """The line as a sequence of code points: bytes do for ASCII, and hash alike."""
+    return line if line.isascii() else line.decode()
+
+
+def within(one: bytes | str, two: bytes | str, edits: int) -> bool:
     """Whether the edit distance is at most ``edits``.
 
     Columns of the distance table are kept as bit vectors of vertical steps,
@@ -98,7 +105,7 @@ def _segments(size: int, parts: int) -> tuple[tuple[int, int], ...]:
 
 @cache
 def _probes(size: int, edits: int, level: int) -> tuple[tuple[int, int, tuple[tuple[int, int], ...]], ...]:
-    """(role, number that stands for length and segments, substrings) of all keys of a line of ``size`` bytes."""
+    """(role, number that stands for length and segments, substrings) of all keys of a line of ``size`` code points."""
     parts, out = edits + level, []
     for less in range(edits + 1):
         short = size - less
@@ -132,9 +139,10 @@ def _probes(size: int, edits: int, level: int) -> tuple[tuple[int, int, tuple[tu
 _NIBBLE = np.array([pow(0x9E3779B1, b + 1, 1 << 32) >> 28 for b in range(256)], np.uint8)
 
 
-def _tally(line: bytes) -> int:
-    """Bytes of 16 classes, counted modulo 16."""
-    counts = np.bincount(_NIBBLE[np.frombuffer(line, np.uint8)], minlength=16) & 15
+def _tally(line: bytes | str) -> int:
+    """Code points of 16 classes, counted modulo 16."""
+    points = np.frombuffer(line, np.uint8) if isinstance(line, bytes) else np.frombuffer(line.encode("utf-32-le"), np.uint32) & 255
+    counts = np.bincount(_NIBBLE[points], minlength=16) & 15
     return int((counts.astype(np.uint64) << np.arange(0, 64, 4, dtype=np.uint64)).sum())
 
 
@@ -205,11 +213,13 @@ def _entries(least: int, edits: int, level: int, crowd: int):
         for batch in batches:
             keys, lines, roles, tallies = [], [], [], []
             for line, x in read(batch):
+                x = _units(x)
                 probes = _probes(len(x), edits, level)
                 if level == 1:
                     keys += [_hash(x[s:e], number) for _, number, ((s, e),) in probes]
                 else:
-                    keys += [_hash(b"\0".join([x[s:e] for s, e in spots]), number) for _, number, spots in probes]
+                    gap = "\0" if isinstance(x, str) else b"\0"
+                    keys += [_hash(gap.join([x[s:e] for s, e in spots]), number) for _, number, spots in probes]
                     tallies += [_tally(x)] * len(probes)
                 lines += [line] * len(probes)
                 roles += [role for role, _, _ in probes]
@@ -320,7 +330,7 @@ def _texts(least: int, wanted, bits: int):
 def _verify(edits: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [within(x, y, edits) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
+            good = [within(x, y, edits) if x.isascii() and y.isascii() else within(x.decode(), y.decode(), edits) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())]
             at = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_pydict({"a": batch.column("a").take(at), "b": batch.column("b").take(at)})
 
@@ -375,12 +385,13 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | {"kept": pa.array(kept, pa.string()), "n_lines": pa.array(n, pa.int64())})
 
 
-def dedup_lines(documents: DataFrame, min_bytes: int = 40, edits: int = 2, crowd: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(documents: DataFrame, min_bytes: int = 40, edits: int = 2, crowd: int = 16, id_col: str = "doc_id", text_col: str = "text", classes: bool = False) -> DataFrame:
     """All columns of ``documents`` with kept (the text without removed lines), n_lines, n_removed and n_links added.
 
     n_links counts the links between lines of the document and other lines
-    (each once for each line of the document that has it).  Columns of the
-    added names are replaced.
+    (each once for each line of the document that has it).  With ``classes``,
+    there is also classes: (place, class_id) of each line of the document that
+    repeats or links, in order.  Columns of the added names are replaced.
     """
     if min_bytes < edits + _LAST_LEVEL:
         raise ValueError("lines must be longer than the number of segments")
@@ -395,13 +406,15 @@ def dedup_lines(documents: DataFrame, min_bytes: int = 40, edits: int = 2, crowd
     nearest = ends.join(lines.select(F.col("line").alias("other"), F.col("at").alias("there")), "other").groupBy("line").agg(F.min("there").alias("there"), F.count("*").alias("n"))
     judged = lines.join(nearest, "line", "left").where("times > 1 or n is not null")
     judged = judged.select("line", F.col("at").alias("kept_at"), (F.col("there") < F.col("at")).alias("later"), F.coalesce("n", F.lit(0)).alias("n"))
+    if classes:
+        judged = judged.join(connected_components(links).toDF("line", "class_id"), "line", "left").withColumn("class_id", F.coalesce("class_id", "line"))
     gone = F.coalesce("later", F.lit(False)) | (F.col("kept_at") != where)
-    marked = places.join(judged, "line").select("doc_id", "h", F.when(gone, F.col("place")).alias("gone"), "n")
-    by_doc = marked.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("gone").alias("gone"), F.sum("n").alias("n_links"))
-    rest = documents.drop("kept", "n_lines", "n_removed", "n_links", "gone", "_id", "_h", "_n")
+    marked = places.join(judged, "line").select("doc_id", "h", F.when(gone, F.col("place")).alias("gone"), "n", *([F.struct("place", "class_id").alias("own")] if classes else []))
+    by_doc = marked.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("gone").alias("gone"), F.sum("n").alias("n_links"), *([F.array_sort(F.collect_set("own")).alias("classes")] if classes else []))
+    rest = documents.drop("kept", "n_lines", "n_removed", "n_links", *(["classes"] if classes else []), "gone", "_id", "_h", "_n")
     full = rest.withColumn("_n", F.xxhash64(text)).join(by_doc.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_h")), "left")
     keep = [c for c in rest.columns if c != text_col]
-    full = full.select(*keep, F.col(text_col).alias("text"), "gone", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    full = full.select(*keep, F.col(text_col).alias("text"), "gone", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), *([F.coalesce("classes", F.array()).alias("classes")] if classes else []))
     schema = full.drop("text", "gone")._jdf.schema().toDDL()
     return full.mapInArrow(_strip, f"{schema}, kept string, n_lines long")
 

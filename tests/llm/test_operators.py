@@ -94,6 +94,42 @@ def test_op2_against_all_pairs(spark):
             assert got[i] == want
 
 
+def test_op2_code_points_and_classes(spark):
+    rng = random.Random(2)
+    letters = "日本語中文字абвгdeé😀 "
+    base = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(8)]
+    lines = []
+    for _ in range(80):
+        s = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(s))
+            s[k : k + rng.randint(0, 1)] = rng.choice(["", "語", "😀", "a"])
+        lines.append("".join(s))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    near = {x: {y for y in lines if y != x and distance(x, y) <= 2} for x in lines}
+    root = {x: x for x in lines}
+    for x in lines:
+        for y in near[x]:
+            a, b = sorted((root[x], root[y]))
+            root = {k: a if v == b else v for k, v in root.items()}
+    df = spark.createDataFrame([(k, "\n".join(lines[4 * k : 4 * k + 4])) for k in range(20)], "doc_id long, text string")
+    for crowd in (16, 0):
+        got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, crowd=crowd, classes=True).collect()}
+        assert [r["n_links"] for _, r in sorted(got.items())] == [sum(len(near[x]) for x in lines[4 * k : 4 * k + 4]) for k in range(20)]
+        found = {4 * i + place: c for i, r in got.items() for place, c in r["classes"]}
+        assert set(found) == {k for k, x in enumerate(lines) if near[x] or lines.count(x) > 1}
+        assert len({(found[k], root[lines[k]]) for k in found}) == len(set(found.values())) == len({root[lines[k]] for k in found})
+
+
 def test_op3_against_all_strings(spark, docs):
     for crowd in (512, 1):
         got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.repeated_spans(docs, crowd=crowd).collect())
