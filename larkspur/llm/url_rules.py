@@ -2,7 +2,7 @@
 
 Host rules (host, path prefix) decide first; the longest that fits wins.  All
 other urls go through pattern rules: each rule is indexed under the one of its
-literal tokens that the fewest urls hold, the tokens of a url fetch candidate
+literal tokens that the fewest urls hold, or under one for each of its branches, the tokens of a url fetch candidate
 rules from that index, and only those candidates run their regular expression.
 Everything is DataFrame functions.
 
@@ -33,10 +33,14 @@ class HostRule(NamedTuple):
 
 
 class PatternRule(NamedTuple):
-    """A blocking pattern over the lower-cased url.  Every match holds all ``tokens`` as whole [a-z0-9]+ tokens."""
+    """A blocking pattern over the lower-cased url.
+
+    Every match holds all ``tokens`` as whole [a-z0-9]+ tokens, and one of ``branches`` if there are any.
+    """
 
     pattern: str
     tokens: tuple[str, ...]
+    branches: tuple[str, ...] = ()
 
 
 def _label(name: str) -> PatternRule:
@@ -45,7 +49,7 @@ def _label(name: str) -> PatternRule:
 
 #: Sites that advertise, gamble, sell pills or show adult pictures.
 PATTERNS = [_label(x) for x in ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")] + [
-    PatternRule("://([^/?#]*[.])?(porn|xxx)[.-]", ()),
+    PatternRule("://([^/?#]*[.])?(porn|xxx)[.-]", (), ("porn", "xxx")),
     PatternRule("/wp-login[.]php", ("wp", "login", "php")),
 ]
 
@@ -79,6 +83,11 @@ def rarest_tokens(urls: DataFrame, rules: Sequence[PatternRule]) -> list[str | N
     return [min(r.tokens, key=lambda t: (seen.get(t, 0), t)) if r.tokens else None for r in rules]
 
 
+def index_tokens(keys: Sequence[str | None], rules: Sequence[PatternRule]) -> list[tuple[str, ...]]:
+    """For each rule, the tokens that fetch it; none if it must run over every url."""
+    return [(k,) if k else r.branches for k, r in zip(keys, rules)]
+
+
 def judge_urls(
     pages: DataFrame, host_rules: Sequence[HostRule], patterns: Sequence[PatternRule] = PATTERNS,
     id_col: str = "page_id", url_col: str = "url",
@@ -99,12 +108,13 @@ def judge_urls(
 
     urls = judged.where("rule is null and url is not null").select("url", lower_ascii(F.col("url")).alias("low"))
     keys = rarest_tokens(urls.select(F.col("low").alias("url")), patterns)
-    index = spark.createDataFrame([(k, r.pattern) for k, r in zip(keys, patterns) if k], "token string, pattern string")
+    fetch = index_tokens(keys, patterns)
+    index = spark.createDataFrame([(t, r.pattern) for own, r in zip(fetch, patterns) for t in own], "token string, pattern string")
     hits = (
         urls.select("url", "low", F.explode(_tokens(F.col("low"))).alias("token"))
         .join(F.broadcast(index), "token").where("low rlike pattern").select("url")
     )
-    always = [r.pattern for k, r in zip(keys, patterns) if not k]
+    always = [r.pattern for own, r in zip(fetch, patterns) if not own]  # no literal token in any match
     if always:
         hits = hits.union(urls.where(F.greatest(*[F.col("low").rlike(p) for p in [*always, *always]])).select("url"))
     blocked = hits.distinct().withColumn("hit", F.lit(True))

@@ -263,6 +263,17 @@ def test_op10_against_all_pairs(spark):
         assert got == {k: (len(s), find(k)) for k, s in enumerate(sets)}
 
 
+def test_op8_all_patterns_go_through_the_index(spark):
+    urls = ["http://porn.a.com/", "http://a.XXX.b.com/", "http://x.xxx-y.org", "http://aporn.com/", "http://b.com/porn.html", "http://free-bets.com/", "http://c.com/wp-login.php", "//xxx."]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(frame, []).collect()}
+    assert got == {k: "block" if any(re.search(p.pattern, u.lower()) for p in url_rules.PATTERNS) else "allow" for k, u in enumerate(urls)}
+    keys = url_rules.rarest_tokens(frame, url_rules.PATTERNS)
+    assert all(url_rules.index_tokens(keys, url_rules.PATTERNS))
+    plan = url_rules.judge_urls(frame, [])._jdf.queryExecution().optimizedPlan().toString()
+    assert "porn" not in plan and "Union" not in plan
+
+
 def plain_components(texts, size, percent):
     """(size of the set, least place in the component) of each text, by all pairs."""
     sets = []
