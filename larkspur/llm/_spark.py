@@ -33,20 +33,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_batches(df: DataFrame, work, schema: str) -> DataFrame:
+    """``mapInArrow`` whose Python worker gives its freed memory back at the end of each task.
+
+    Workers outlive tasks and stages, so what one stage needed would otherwise
+    stay beside the needs of all later ones.
+    """
+
+    def slim(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return df.mapInArrow(slim, schema)
+
+
+def filter_bits(n: int, most: int = 26) -> int:
+    """Bits (as a power of two) of a bitmap that lets about one in eight strangers through, up to 8 MB."""
+    return min(most, max(16, (8 * n).bit_length()))
+
+
 def bit_filter(values: DataFrame, column: str, bits: int) -> bytes:
     """A bitmap of ``2**bits`` bits with bit ``value mod 2**bits`` set for each value.
 
     Its size is fixed by ``bits``, whatever the number of values, and at most
-    ``2**bits / 8`` rows reach the driver.  It only ever lets too much through,
-    so what it guards stays exact.
+    ``2**bits / 64`` rows reach the driver.  It only ever lets too much through,
+    so what it guards stays exact: callers join with the values themselves after it.
     """
     import numpy as np
 
     slot = F.pmod(F.col(column), F.lit(1 << bits))
     rows = (
-        values.select(F.shiftright(slot, 3).alias("at"), F.expr(f"shiftleft(1, cast(pmod({column}, 8) as int))").alias("bit"))
+        values.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("bit"))
         .groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas()
     )
-    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    out[rows["at"].to_numpy(dtype=np.int64)] = rows["bit"].to_numpy(dtype=np.uint8)
-    return out.tobytes()
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    out[rows["at"].to_numpy(dtype=np.int64)] = rows["bit"].to_numpy(dtype=np.int64)
+    return out.astype("<i8").tobytes()

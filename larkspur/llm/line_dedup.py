@@ -1,19 +1,27 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least ``min_bytes`` bytes take part.  Two different lines link when
-their edit distance, over code points, is at most ``edits``.  A line is removed
-where an equal line stands earlier, or where it links with a line that stands
-earlier (order: id, a hash of the text, place in the text).
+Every line with a word takes part.  Equal lines form a class; so do different
+lines of at least ``min_chars`` code points whose edit distance, over code
+points, is at most ``edits``, and whatever chains of such links hold together.
+Shorter lines have a threshold of 0: two edits would make another line of them.
+Of a class the line that stands first stays (order: id, a hash of the text,
+place in the text); all its other places are removed.
 
 A line is split into edits + 1 even segments; a line within the distance holds
 one of them whole, at a place and for a length that the distance allows, so each
-line probes the index with just those substrings.  Under a key with more than
-``crowd`` lines no pairs are made: its lines go on to the next level, where
-edits + 2 segments mean that two must match and the keys are pairs of segments,
-and so on, which parts any group that differs anywhere.  Beyond the first level,
-byte counts come with the keys and ``crowd`` is 32 times as large; the last has none.  Candidates are verified
-with banded bit-parallel edit distance.  Linked and equal lines form classes
-(connected components), named by the least line hash.
+line probes the index with just those substrings.  Candidates are verified with
+banded bit-parallel edit distance.
+
+* Under a key with up to ``crowd`` lines all candidate pairs are made.
+* Under a key with more, the lines are paired with a few centres first.  Then
+  only those that still lie in different classes, and whose letter counts allow
+  a link, are paired; so a group of near copies costs a few pairs a line.
+* A key with more than ``group`` lines isn't held in one task: its lines go on to
+  the next level, where edits + 2 segments mean that two must match and keys are
+  pairs of segments, and so on.  The last level deals such keys out in blocks.
+
+No link between classes is lost on any way.  Lines are told apart by 128-bit
+hashes, and candidates by their texts.
 
 Null texts have no lines.  Rows that repeat an id and text are treated alike (as
 one document).  Ids may be null.  An empty table gives an empty result.
@@ -32,16 +40,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm._graph import connected_components
-from larkspur.llm._spark import bit_filter, checkpointed
+from larkspur.llm._spark import bit_filter, checkpointed, filter_bits, in_batches
 from larkspur.llm._words import as_bytes
 
 _hash = xxhash.xxh3_64_intdigest
-_INDEX, _PROBE, _CROWD = 0, 1, 2
+#: A line that a crowded key passes on, the mark of such a key, and the two roles of a line under a key.
+_MOVED, _CROWD, _INDEX, _PROBE = -2, -1, 0, 1
+#: What a task finds: a pair of lines, a line under a key whose lines aren't all paired yet, a line for the next level.
+_PAIR, _WAITS, _NEXT = 0, 1, 2
 _LAST_LEVEL = 6
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+_CENTRES = 4
+_BLANK = b" \t\v\f\r"
 
 
 def _units(line: bytes) -> bytes | str:
@@ -155,174 +164,230 @@ def _tally_apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lines(text: bytes, least: int) -> Iterator[tuple[int, bytes]]:
-    for k, line in enumerate(text.split(b"\n")):
-        if len(line) >= least:
-            yield k, line
+def _named(line: bytes) -> bytes:
+    """128 bits that stand for a line; the first eight bytes are its short number."""
+    return xxhash.xxh3_128_digest(line)
 
 
-def _occurrences(least: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, place, line = [], [], []
-            for r, text in enumerate(as_bytes(batch.column("text"))):
-                for k, x in _lines(text, least):
+def _short(name: bytes) -> int:
+    return int.from_bytes(name[:8], "little", signed=True)
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, place, line = [], [], []
+        for r, text in enumerate(as_bytes(batch.column("text"))):
+            for k, x in enumerate(text.split(b"\n")):
+                if x.strip(_BLANK):
                     row.append(r)
                     place.append(k)
-                    line.append(_hash(x))
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id").take(at), "h": batch.column("h").take(at), "place": pa.array(place, pa.int64()),
-                "line": pa.array(np.array(line, np.uint64).view(np.int64)),
-            })
+                    line.append(_named(x))
+        at = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_pydict({
+            "doc_id": batch.column("doc_id").take(at), "h": batch.column("h").take(at), "place": pa.array(place, pa.int64()), "line": pa.array(line, pa.binary()),
+        })
 
-    return work
 
+def _long_lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[tuple[bytes, bytes]]]:
+    """(name, bytes) of the lines of ``least`` code points or more of each batch of texts, most of them once a task."""
+    done: set[bytes] = set()
+    for batch in batches:
+        out = []
+        for text in as_bytes(batch.column("text")):
+            for x in text.split(b"\n"):
+                if len(x) >= least and (x.isascii() or len(x.decode()) >= least) and x.strip(_BLANK):
+                    name = _named(x)
+                    if name not in done:
+                        done.add(name)
+                        out.append((name, x))
+        if len(done) > 200_000:  # whatever comes twice is merged later
+            done.clear()
+        yield out
 
-def _bits(shared) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little").view(bool)
 
+def _entries(least: int, edits: int, level: int, group: int):
+    """(key, line, role), from texts at level 1 and from different lines beyond it; lines by their short numbers.
 
-def _lines_once(least: int):
-    """(line, bytes) of each batch of documents, each line once a task."""
-    done: set[int] = set()
+    A key that has more than ``group`` lines in one batch sends one mark, and its lines move on.
+    """
 
-    def read(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-        for text in as_bytes(batch.column("text")):
-            for _, x in _lines(text, least):
-                line = _hash(x)
-                if line not in done:
-                    done.add(line)
-                    yield line, x
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _long_lines(batches, least) if level == 1 else (list(zip(b.column("line").to_pylist(), b.column("words").to_pylist())) for b in batches)
+        for found in read:
+            for at in range(0, len(found), 20_000):
+                yield _keyed(found[at : at + 20_000], edits, level, group)
 
-    return read
+    return work
 
 
-def _lines_given(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-    return zip(batch.column("line").to_numpy().view(np.uint64).tolist(), batch.column("words").to_pylist())
+def _keyed(found: list[tuple[bytes, bytes]], edits: int, level: int, group: int) -> pa.RecordBatch:
+    keys: list[int] = []
+    each, kinds = [], []
+    for _, x in found:
+        x = _units(x)
+        probes = _probes(len(x), edits, level)
+        if level == 1:
+            keys += [_hash(x[s:e], number) for _, number, ((s, e),) in probes]
+        else:
+            gap = "\0" if isinstance(x, str) else b"\0"
+            keys += [_hash(gap.join([x[s:e] for s, e in spots]), number) for _, number, spots in probes]
+        each.append(len(probes))
+        kinds += [role for role, _, _ in probes]
+    key, role = np.array(keys, np.uint64).view(np.int64), np.array(kinds, np.int8)
+    line = np.repeat(np.array([_short(n) for n, _ in found], np.int64), each)
+    if len(key) > group:
+        order = np.argsort(key)
+        key, line, role = key[order], line[order], role[order]
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        size = np.diff(np.append(edge, len(key)))
+        if (size > group).any():
+            over = np.repeat(size > group, size)
+            moved, marks = np.unique(line[over]), key[edge[size > group]]
+            key, line = np.concatenate([key[~over], marks, moved]), np.concatenate([line[~over], np.zeros(len(marks), np.int64), moved])
+            role = np.concatenate([role[~over], np.full(len(marks), _CROWD, np.int8), np.full(len(moved), _MOVED, np.int8)])
+    return pa.RecordBatch.from_pydict({"key": pa.array(key), "line": pa.array(line), "role": pa.array(role)})
 
 
-def _entries(least: int, edits: int, level: int, crowd: int):
-    """(key, line, role), from documents at level 1 and from different lines beyond it.
+def _whole_keys(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+    """Rows of whole keys, from batches sorted by key; rows of a key of more than ``limit`` come in pieces, marked True.
 
-    Keys that are crowded within a batch already send one mark; their lines get key null.
+    Only the rows of the key that is still open are kept from batch to batch.
     """
+    held, over = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = {c: _values(batch.column(c)) for c in batch.schema.names}
+        if over is not None:
+            n = int(np.searchsorted(rows["key"], over, "right"))
+            if n:
+                yield {c: x[:n] for c, x in rows.items()}, True
+                rows = {c: x[n:] for c, x in rows.items()}
+            if not len(rows["key"]):
+                continue
+            over = None
+        if held is not None:
+            rows = {c: np.concatenate([held[c], x]) for c, x in rows.items()}
+        cut = int(np.searchsorted(rows["key"], rows["key"][-1]))
+        if cut:
+            yield {c: x[:cut] for c, x in rows.items()}, False
+        held = {c: x[cut:].copy() for c, x in rows.items()}
+        if len(held["key"]) > limit:
+            over = held["key"][-1]
+            yield held, True
+            held = None
+    if held is not None:
+        yield held, False
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = _lines_once(least) if level == 1 else _lines_given
-        for batch in batches:
-            keys, lines, roles, tallies = [], [], [], []
-            for line, x in read(batch):
-                x = _units(x)
-                probes = _probes(len(x), edits, level)
-                if level == 1:
-                    keys += [_hash(x[s:e], number) for _, number, ((s, e),) in probes]
-                else:
-                    gap = "\0" if isinstance(x, str) else b"\0"
-                    keys += [_hash(gap.join([x[s:e] for s, e in spots]), number) for _, number, spots in probes]
-                    tallies += [_tally(x)] * len(probes)
-                lines += [line] * len(probes)
-                roles += [role for role, _, _ in probes]
-            key, line, role = np.array(keys, np.uint64), np.array(lines, np.uint64), np.array(roles, np.int8)
-            order = np.argsort(key)
-            key, line, role = key[order], line[order], role[order]
-            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-            size = np.diff(np.append(edge, len(key)))
-            over = np.repeat(size > crowd, size)
-            moved = np.unique(line[over])
-            marks = key[edge[size > crowd]]
-            gone = pa.array(np.concatenate([key[~over], marks, moved]).view(np.int64), mask=np.concatenate([np.zeros((~over).sum() + len(marks), bool), np.ones(len(moved), bool)]))
-            more = {}
-            if level > 1:
-                tally = np.array(tallies, np.uint64)[order][~over]
-                more["tally"] = pa.array(np.concatenate([tally, np.zeros(len(marks) + len(moved), np.uint64)]).view(np.int64))
-            yield pa.RecordBatch.from_pydict({
-                "key": gone, "line": pa.array(np.concatenate([line[~over], np.zeros(len(marks), np.uint64), moved]).view(np.int64)),
-                "role": pa.array(np.concatenate([role[~over], np.full(len(marks) + len(moved), _CROWD, np.int8)]), pa.int8()),
-            } | more)
 
-    return work
+def _values(column: pa.Array) -> np.ndarray:
+    """Numbers as they are; 16-byte names as rows of two numbers."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)
+    return column.to_numpy()
+
 
+def _edges(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, rows) of each run of equal keys."""
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return edge, np.diff(np.append(edge, len(key)))
 
-def _group_pairs(n: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (x < y) of all pairs of ``n``, block by block."""
-    if n < len(_TRIANGLES):
-        yield _TRIANGLES[n]
-        return
-    for s in range(0, n, block):
-        own = min(block, n - s)
-        x, y = np.triu_indices(own, 1)
-        yield s + x, s + y
-        for t in range(s + block, n, block):
-            x, y = np.indices((own, min(block, n - t))).reshape(2, -1)
-            yield s + x, t + y
 
+def _found(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(a), kind, np.int8)), "key": pa.array(key), "a": pa.array(a), "b": pa.array(b)})
 
-def _pairs(crowd: int, edits: int):
-    """Candidate pairs (a, b) of each key; of a crowded key its lines, with b null.  The input is dealt by key.
 
-    Pairs whose byte counts (sent from the second level on) exclude a link are left out.
+def _pairs(crowd: int, group: int, blocks: bool):
+    """(kind, key, a, b) from entries sorted by key: pairs, lines that wait under their key (b is the role), lines for the next level.
+
+    With ``blocks``, entries of a key that is dealt out have a side: pairs are of different sides, or of side 0.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [b for b in batches if b.num_rows]
-        if not kept:
-            return
-        whole = pa.Table.from_batches(kept)
-        key = whole.column("key").to_numpy()
-        order = np.argsort(key)
-        key = key[order]
-        same = key[1:] == key[:-1]
-        order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]  # keys with two entries at least
-        key, line, role = (whole.column(c).to_numpy()[order] for c in ("key", "line", "role"))
-        tally = whole.column("tally").to_numpy()[order].view(np.uint64) if "tally" in whole.column_names else None
-        order = np.lexsort((role, line, key))
-        key, line, role = key[order], line[order], role[order]
-        again = np.concatenate(([False], (key[1:] == key[:-1]) & (line[1:] == line[:-1]))) & (role != _CROWD) if len(key) else np.zeros(0, bool)
-        key, line, role = key[~again], line[~again], role[~again]
-        tally = tally[order][~again] if tally is not None else None
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        size = np.diff(np.append(edge, len(key)))
-        left, right, moved = [], [], []
-        for s, n in zip(edge[size > 1].tolist(), size[size > 1].tolist()):
-            own, kind = line[s : s + n], role[s : s + n]
-            if n > crowd or kind.max() == _CROWD:
-                moved.append(own[kind != _CROWD])
-                continue
-            for x, y in _group_pairs(n):
-                good = (kind[x] == _INDEX) | (kind[y] == _INDEX)
-                x, y = x[good], y[good]
-                if tally is not None:
-                    good = _tally_apart(tally[s + x], tally[s + y]) <= 2 * edits
-                    x, y = x[good], y[good]
-                left.append(own[x])
-                right.append(own[y])
-        for k in range(0, len(left), 4096):
-            a, b = np.concatenate(left[k : k + 4096]), np.concatenate(right[k : k + 4096])
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(pair[:, 0].copy()), "b": pa.array(pair[:, 1].copy())})
-        if moved:
-            own = np.unique(np.concatenate(moved))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(own), "b": pa.nulls(len(own), pa.int64())})
+        limit = 1 << 30 if blocks else group  # blocks are of bounded size
+        for rows, over in _whole_keys(batches, limit):
+            key, line, role = rows["key"], rows["line"], rows["role"]
+            moved = role == _MOVED
+            if over or moved.any():
+                gone = np.unique(line[moved | (role >= _INDEX)] if over else line[moved])
+                yield _found(_NEXT, gone, gone, gone)
+                if over:
+                    continue
+            order = np.lexsort((role, line, key))
+            key, line, role = key[order], line[order], role[order]
+            again = np.concatenate(([False], (key[1:] == key[:-1]) & (line[1:] == line[:-1]))) if len(key) else np.zeros(0, bool)
+            keep = ~again & (role != _MOVED)
+            key, line, role = key[keep], line[keep], role[keep]
+            side = rows["side"][order][keep] if blocks else None
+            edge, size = _edges(key)
+            marked = np.zeros(len(edge), bool)
+            marked[np.searchsorted(edge, np.flatnonzero(role == _CROWD), "right") - 1] = True
+            left, right = [], []
+            for n in range(2, crowd + 1):
+                first = edge[(size == n) & ~marked][:, None]
+                x, y = np.triu_indices(n, 1)
+                left.append((first + x).ravel())
+                right.append((first + y).ravel())
+            for s, n, mark in zip(*(x[(size > crowd) | marked].tolist() for x in (edge, size, marked))):
+                own = np.arange(s, s + n)
+                own = own[role[own] != _CROWD]
+                if mark or n > limit:
+                    yield _found(_NEXT, line[own], line[own], line[own])
+                    continue
+                centres = own[role[own] == _INDEX]
+                if not len(centres):
+                    continue
+                centres = np.unique(centres[np.linspace(0, len(centres) - 1, _CENTRES).astype(np.int64)])
+                left.append(np.repeat(centres, len(own)))
+                right.append(np.tile(own, len(centres)))
+                yield _found(_WAITS, key[own], line[own], role[own].astype(np.int64) | (side[own].astype(np.int64) << 8 if blocks else 0))
+            x, y = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (left, right))
+            good = ((role[x] == _INDEX) | (role[y] == _INDEX)) & (line[x] != line[y])
+            if blocks:
+                good &= (side[x] != side[y]) | (side[x] == 0)
+            a, b = line[x[good]], line[y[good]]
+            for k in range(0, len(a), 100_000):
+                yield _found(_PAIR, a[k : k + 100_000], np.minimum(a, b)[k : k + 100_000], np.maximum(a, b)[k : k + 100_000])
 
     return work
 
 
-_TRIANGLES = [np.triu_indices(n, 1) for n in range(20)]
+def _apart(edits: int, group: int):
+    """Pairs (a, b) of names under the keys whose lines wait: of different classes, and such that lengths and letter counts allow a link."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _ in _whole_keys(batches, 1 << 30):
+            for s, n in zip(*(x.tolist() for x in _edges(rows["key"]))):
+                own = {c: x[s : s + n] for c, x in rows.items()}
+                root, tally, size, role, side, line = (own[c] for c in ("root", "tally", "size", "role", "side", "line"))
+                if (root == root[0]).all():
+                    continue
+                tally = tally.view(np.uint64)
+                for at in range(0, n, 256):
+                    x, y = np.meshgrid(np.arange(at, min(n, at + 256)), np.arange(at, n), indexing="ij")
+                    x, y = x.ravel(), y.ravel()
+                    good = (x < y) & (root[x] != root[y]).any(1) & ((role[x] == _INDEX) | (role[y] == _INDEX)) & (np.abs(size[x] - size[y]) <= edits) & ((side[x] != side[y]) | (side[x] == 0))
+                    x, y = x[good], y[good]
+                    good = _tally_apart(tally[x], tally[y]) <= 2 * edits
+                    x, y = x[good], y[good]
+                    if len(x):
+                        yield pa.RecordBatch.from_pydict({c: pa.array([v.tobytes() for v in line[i]], pa.binary()) for c, i in (("a", x), ("b", y))})
+
+    return work
 
 
 def _texts(least: int, wanted, bits: int):
+    """(short, line, words, tally, size) of the lines that the bitmap lets through."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ask, mask, done = _bits(wanted), (1 << bits) - 1, set()
-        for batch in batches:
-            found: dict[int, bytes] = {}
-            for text in as_bytes(batch.column("text")):
-                for _, x in _lines(text, least):
-                    line = _hash(x)
-                    if ask[line & mask] and line not in done:
-                        found[line] = x
-            done.update(found)
-            yield pa.RecordBatch.from_pydict({"line": pa.array(np.array(list(found), np.uint64).view(np.int64)), "words": pa.array(list(found.values()), pa.binary())})
+        ask, mask = np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little").view(bool), (1 << bits) - 1
+        for found in _long_lines(batches, least):
+            found = [x for x in found if ask[_short(x[0]) & mask]]
+            units = [_units(x) for _, x in found]
+            yield pa.RecordBatch.from_pydict({
+                "short": pa.array([_short(n) for n, _ in found], pa.int64()), "line": pa.array([n for n, _ in found], pa.binary()), "words": pa.array([x for _, x in found], pa.binary()),
+                "tally": pa.array(np.array([_tally(x) for x in units], np.uint64).view(np.int64)), "size": pa.array([len(x) for x in units], pa.int64()),
+            })
 
     return work
 
@@ -337,37 +402,63 @@ def _verify(edits: int):
     return work
 
 
-def line_links(rows: DataFrame, least: int, edits: int, crowd: int, bits: int = 23) -> DataFrame:
-    """(a, b): all pairs of different lines (by hash) within the distance.
+def _dealt(entries: DataFrame, group: int) -> DataFrame:
+    """Entries of the last level with a side: keys of more than ``group`` lines are dealt out to pairs of blocks of that size."""
+    counted = entries.where(F.col("role") >= _INDEX).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > group)
+    m = F.ceil(F.col("n") / group).cast("long")
+    own = F.pmod(F.xxhash64("line"), F.col("m"))
+    big = entries.join(counted.select("key", m.alias("m")), "key").withColumn("s", own).withColumn("t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    side = F.when(F.col("s") == F.col("t"), 0).when(F.col("s") < F.col("t"), 1).otherwise(2)
+    big = big.select(F.xxhash64("key", F.least("s", "t"), F.greatest("s", "t")).alias("key"), "line", "role", side.cast("byte").alias("side"))
+    rest = entries.join(counted.select("key"), "key", "left_anti").select("key", "line", "role", F.lit(0).cast("byte").alias("side"))
+    return rest.union(big)
+
+
+def line_links(rows: DataFrame, least: int, edits: int, crowd: int, group: int) -> DataFrame:
+    """(a, b): links between different lines (by name) that hold each class together.
 
     Documents are read for the first level, and once for the texts of lines that
     it found in a pair or under a crowded key; further levels read those only.
-    There, byte counts come with the keys, so groups may be larger.
     """
     spark = rows.sparkSession
-    texts, lines, links = rows.select("text"), None, []
+    texts, lines, links = rows.select("text"), None, None
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(lines.select(F.col("line").alias("a"), F.col("words").alias("x")), "a").join(lines.select(F.col("line").alias("b"), F.col("words").alias("y")), "b")
+        good = in_batches(both, _verify(edits), "a binary, b binary")
+        return checkpointed(good if links is None else links.union(good).distinct())
+
     for level in range(1, _LAST_LEVEL + 1):
         last = level == _LAST_LEVEL
-        own = 1 << 40 if last else crowd if level == 1 else crowd * 32  # the last: what is left differs in place and number of single letters
-        source = texts if level == 1 else lines.join(crowded.select(F.col("a").alias("line")), "line", "left_semi")
-        entries = source.mapInArrow(_entries(least, edits, level, own), "key long, line long, role byte" + (", tally long" if level > 1 else ""))
-        found = entries.where("key is not null").repartition("key").mapInArrow(_pairs(own, edits), "a long, b long")
-        moved = entries.where("key is null").select(F.col("line").alias("a"), F.lit(None).cast("long").alias("b"))
-        found = checkpointed(found.union(moved).distinct())
-        links.append(found.where("b is not null"))
-        crowded = found.where("b is null").select("a")
-        if level == 1:
-            asked = spark.sparkContext.broadcast(bit_filter(found.select("a").union(found.where("b is not null").select("b")), "a", bits))
-            lines = texts.mapInArrow(_texts(least, asked, bits), "line long, words binary").groupBy("line").agg(F.first("words").alias("words"))
-            lines = checkpointed(lines)
-        if last or crowded.isEmpty():
+        source = texts if level == 1 else lines.join(moved, "short", "left_semi").select("line", "words")
+        entries = in_batches(source, _entries(least, edits, level, 1 << 62 if last else group), "key long, line long, role byte")
+        if last:
+            entries = _dealt(checkpointed(entries), group)
+        entries = entries.repartition("key").sortWithinPartitions("key")
+        found = checkpointed(in_batches(entries, _pairs(crowd, group, last), "kind byte, key long, a long, b long"))
+        pairs = found.where(F.col("kind") == _PAIR).select("a", "b").distinct()
+        waiting = found.where(F.col("kind") == _WAITS).select("key", F.col("a").alias("short"), F.col("b").bitwiseAND(255).cast("byte").alias("role"), F.shiftright("b", 8).cast("byte").alias("side"))
+        moved = found.where(F.col("kind") == _NEXT).select(F.col("a").alias("short")).distinct()
+        if lines is None:
+            asked = pairs.select("a").union(pairs.select("b")).union(waiting.select("short")).union(moved).toDF("short")
+            asked = checkpointed(asked.distinct())
+            bits = filter_bits(asked.count())
+            shared = spark.sparkContext.broadcast(bit_filter(asked, "short", bits))
+            made = in_batches(texts, _texts(least, shared, bits), "short long, line binary, words binary, tally long, size long")
+            # Two lines of one short number both come along.
+            made = made.join(asked, "short", "left_semi").groupBy("short", "line").agg(*[F.first(c).alias(c) for c in ("words", "tally", "size")])
+            lines = checkpointed(made)
+        name = lines.select("short", "line")
+        pairs = pairs.join(name.toDF("a", "la"), "a").join(name.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        links = verified(pairs)
+        if not waiting.isEmpty():
+            roots = connected_components(links)
+            known = lines.join(roots, lines["line"] == roots["node"], "left").select("short", "line", "tally", "size", F.coalesce("root", "line").alias("root"))
+            waits = waiting.join(known, "short").select("key", "role", "side", "line", "root", "tally", "size").repartition("key").sortWithinPartitions("key")
+            links = verified(checkpointed(in_batches(waits, _apart(edits, group), "a binary, b binary").distinct()))
+        if last or moved.isEmpty():
             break
-    pairs = links[0]
-    for more in links[1:]:
-        pairs = pairs.union(more)
-    pairs = pairs.distinct()
-    both = pairs.join(lines.toDF("a", "x"), "a").join(lines.toDF("b", "y"), "b")
-    return checkpointed(both.mapInArrow(_verify(edits), "a long, b long"))
+    return links
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,36 +476,40 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | {"kept": pa.array(kept, pa.string()), "n_lines": pa.array(n, pa.int64())})
 
 
-def dedup_lines(documents: DataFrame, min_bytes: int = 40, edits: int = 2, crowd: int = 16, id_col: str = "doc_id", text_col: str = "text", classes: bool = False) -> DataFrame:
+def dedup_lines(documents: DataFrame, min_chars: int = 40, edits: int = 2, crowd: int = 16, group: int = 2048, id_col: str = "doc_id", text_col: str = "text", classes: bool = False) -> DataFrame:
     """All columns of ``documents`` with kept (the text without removed lines), n_lines, n_removed and n_links added.
 
-    n_links counts the links between lines of the document and other lines
-    (each once for each line of the document that has it).  With ``classes``,
-    there is also classes: (place, class_id) of each line of the document that
-    repeats or links, in order.  Columns of the added names are replaced.
+    n_links counts, for each line of the document, the other different lines of
+    its class.  With ``classes``, there is also classes: (place, class_id) of each
+    line of the document that repeats or links, in order; a class is named by the
+    least 128-bit hash of its lines.  Columns of the added names are replaced.
     """
-    if min_bytes < edits + _LAST_LEVEL:
+    if min_chars < edits + _LAST_LEVEL:
         raise ValueError("lines must be longer than the number of segments")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = documents.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    places = checkpointed(rows.mapInArrow(_occurrences(min_bytes), f"doc_id {kind}, h long, place long, line long"))
+    places = checkpointed(in_batches(rows, _occurrences, f"doc_id {kind}, h long, place long, line binary"))
     where = F.struct("doc_id", "h", "place")
+    links = line_links(rows, min_chars, edits, crowd, group)
     lines = places.groupBy("line").agg(F.count("*").alias("times"), F.min(where).alias("at"))
-    links = line_links(rows, min_bytes, edits, crowd)
-    ends = links.union(links.select("b", "a")).toDF("line", "other")
-    nearest = ends.join(lines.select(F.col("line").alias("other"), F.col("at").alias("there")), "other").groupBy("line").agg(F.min("there").alias("there"), F.count("*").alias("n"))
-    judged = lines.join(nearest, "line", "left").where("times > 1 or n is not null")
-    judged = judged.select("line", F.col("at").alias("kept_at"), (F.col("there") < F.col("at")).alias("later"), F.coalesce("n", F.lit(0)).alias("n"))
-    if classes:
-        judged = judged.join(connected_components(links).toDF("line", "class_id"), "line", "left").withColumn("class_id", F.coalesce("class_id", "line"))
-    gone = F.coalesce("later", F.lit(False)) | (F.col("kept_at") != where)
-    marked = places.join(judged, "line").select("doc_id", "h", F.when(gone, F.col("place")).alias("gone"), "n", *([F.struct("place", "class_id").alias("own")] if classes else []))
+    roots = connected_components(links).toDF("line", "class_id")
+    judged = lines.join(roots, "line", "left").where("times > 1 or class_id is not null")
+    judged = checkpointed(judged.select("line", "times", "at", F.coalesce("class_id", "line").alias("class_id")))
+    first = judged.groupBy("class_id").agg(F.min("at").alias("kept_at"), (F.count("*") - 1).alias("n"))
+    judged = checkpointed(judged.join(first, "class_id").select("line", "times", "kept_at", "class_id", "n"))
+    # A line with more than its share of a partition would fill one task: there are fewer such lines than partitions.
+    total, parts = places.count(), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.col("times") > max(1, total // parts // 8)
+    common = F.broadcast(judged.where(hot))
+    cold = places.join(common, "line", "left_anti").join(judged.where(~hot), "line")
+    columns = ["doc_id", "h", "place", "kept_at", "class_id", "n"]
+    marked = cold.select(columns).union(places.join(common, "line").select(columns))
+    marked = marked.select("doc_id", "h", F.when(F.col("kept_at") != where, F.col("place")).alias("gone"), "n", *([F.struct("place", F.hex("class_id").alias("class_id")).alias("own")] if classes else []))
     by_doc = marked.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("gone").alias("gone"), F.sum("n").alias("n_links"), *([F.array_sort(F.collect_set("own")).alias("classes")] if classes else []))
     rest = documents.drop("kept", "n_lines", "n_removed", "n_links", *(["classes"] if classes else []), "gone", "_id", "_h", "_n")
     full = rest.withColumn("_n", F.xxhash64(text)).join(by_doc.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_h")), "left")
     keep = [c for c in rest.columns if c != text_col]
     full = full.select(*keep, F.col(text_col).alias("text"), "gone", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), *([F.coalesce("classes", F.array()).alias("classes")] if classes else []))
     schema = full.drop("text", "gone")._jdf.schema().toDDL()
-    return full.mapInArrow(_strip, f"{schema}, kept string, n_lines long")
-
+    return in_batches(full, _strip, f"{schema}, kept string, n_lines long")

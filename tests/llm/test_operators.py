@@ -59,75 +59,84 @@ def test_op1_probabilities_sum_to_one(spark, docs):
     assert abs(p.sum() - 1) < 1e-3
 
 
-def test_op2_against_all_pairs(spark):
-    rng = random.Random(1)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(40)) for _ in range(12)]
-    lines = []
-    for _ in range(120):
-        s = list(rng.choice(base))
-        for _ in range(rng.randint(0, 4)):
-            k = rng.randrange(len(s))
-            s[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "b"])
-        lines.append("".join(s))
-    texts = [(k, "\n".join(lines[4 * k : 4 * k + 4])) for k in range(30)] + [(98, None), (99, "")]
-    df = spark.createDataFrame([(i, t, "own") for i, t in texts], "doc_id long, text string, gone string")
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def plain_line_dedup(texts, least=40, edits=2):
+    """{doc_id: (kept, n_removed, n_links)} and {(doc_id, place): class} by comparing all lines; ids differ."""
+    places = [(i, k, x) for i, t in texts for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\v\f\r")]
     first = {}
+    for i, k, x in places:
+        first.setdefault(x, (i, k))
+    root, lines = {x: x for x in first}, list(first)
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, x in enumerate(lines):
+        for y in lines[:a]:
+            if min(len(x), len(y)) >= least and abs(len(x) - len(y)) <= edits and top(x) != top(y) and distance(x, y) <= edits:
+                root[top(x)] = top(y)
+    start, members = {}, Counter()
+    for x in lines:
+        start[top(x)] = min(start.get(top(x), first[x]), first[x])
+        members[top(x)] += 1
+    times = Counter(x for _, _, x in places)
+    out = {}
     for i, t in texts:
-        for k, x in enumerate((t or "").split("\n")):
-            if len(x) >= 20:
-                first.setdefault(x, (i, k))
-    near = {x: [y for y in first if y != x and distance(x, y) <= 2] for x in first}
-    for crowd in (16, 2, 0):
-        got = {r["doc_id"]: r["kept"] for r in line_dedup.dedup_lines(df, min_bytes=20, crowd=crowd).collect()}
-        for i, t in texts:
-            want = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if x not in first or first[x] == (i, k) and not any(first[y] < first[x] for y in near[x]))
-            assert got[i] == want
+        own = [(k, x) for j, k, x in places if j == i]
+        gone = {k for k, x in own if start[top(x)] != (i, k)}
+        kept = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)
+        out[i] = kept, len(gone), sum(members[top(x)] - 1 for _, x in own)
+    return out, {(i, k): top(x) for i, k, x in places if times[x] > 1 or members[top(x)] > 1}
 
 
-def test_op2_code_points_and_classes(spark):
-    rng = random.Random(2)
-    letters = "日本語中文字абвгdeé😀 "
-    base = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(8)]
+def mutated(rng, base, n, letters, most):
     lines = []
-    for _ in range(80):
+    for _ in range(n):
         s = list(rng.choice(base))
-        for _ in range(rng.randint(0, 3)):
+        for _ in range(rng.randint(0, most)):
             k = rng.randrange(len(s))
-            s[k : k + rng.randint(0, 1)] = rng.choice(["", "語", "😀", "a"])
+            s[k : k + rng.randint(0, 1)] = rng.choice(letters)
         lines.append("".join(s))
+    return lines
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-
-    near = {x: {y for y in lines if y != x and distance(x, y) <= 2} for x in lines}
-    root = {x: x for x in lines}
-    for x in lines:
-        for y in near[x]:
-            a, b = sorted((root[x], root[y]))
-            root = {k: a if v == b else v for k, v in root.items()}
-    df = spark.createDataFrame([(k, "\n".join(lines[4 * k : 4 * k + 4])) for k in range(20)], "doc_id long, text string")
-    for crowd in (16, 0):
-        got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, crowd=crowd, classes=True).collect()}
-        assert [r["n_links"] for _, r in sorted(got.items())] == [sum(len(near[x]) for x in lines[4 * k : 4 * k + 4]) for k in range(20)]
-        found = {4 * i + place: c for i, r in got.items() for place, c in r["classes"]}
-        assert set(found) == {k for k, x in enumerate(lines) if near[x] or lines.count(x) > 1}
-        assert len({(found[k], root[lines[k]]) for k in found}) == len(set(found.values())) == len({root[lines[k]] for k in found})
+
+@pytest.mark.parametrize(("letters", "crowd", "group"), [("abcdefgh ", 16, 2048), ("abcdefgh ", 2, 2048), ("日本語中文абвгdeé😀 ", 0, 2048), ("abcdefgh ", 0, 7), ("日本語中文абвгdeé😀 ", 0, 2)])
+def test_op2_against_all_pairs(spark, letters, crowd, group):
+    rng = random.Random(crowd + group)
+    base = ["".join(rng.choice(letters) for _ in range(44)) for _ in range(9)]
+    lines = mutated(rng, base, 110, ["", *letters[:3]], 4) + ["short one", "short one", "short two", "\t", ""] * 2
+    rng.shuffle(lines)
+    texts = [(k, "\n".join(lines[4 * k : 4 * k + 4])) for k in range(30)] + [(98, None), (99, "")]
+    df = spark.createDataFrame([(i, t, "own") for i, t in texts], "doc_id long, text string, gone string")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, crowd=crowd, group=group, classes=True).collect()}
+    want, classes = plain_line_dedup(texts)
+    assert {i: (r["kept"], r["n_removed"], r["n_links"]) for i, r in got.items()} == want
+    found = {(i, place): c for i, r in got.items() for place, c in r["classes"]}
+    assert set(found) == set(classes) and len({(found[k], classes[k]) for k in found}) == len(set(found.values())) == len(set(classes.values()))
+
+
+def test_op2_work_grows_with_a_group_not_its_pairs(spark):
+    """Near copies of one line, all of different texts: a few links a line hold the class together."""
+    rng = random.Random(5)
+    line, per_line = "".join(rng.choice("abcdefghij ") for _ in range(400)), []
+    for n in (250, 500, 1000):
+        own = rng.sample([line[:k] + x + line[k + 1 :] for k in range(400) for x in "xyz"], n)  # all within two edits of each other
+        df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+        per_line.append(line_dedup.line_links(df, 40, 2, 16, 2048).count() / n)
+    got = line_dedup.dedup_lines(df, classes=True).collect()
+    assert len({x["class_id"] for r in got for x in r["classes"]}) == 1 and sum(r["kept"] != "" for r in got) == 1 and {r["n_links"] for r in got} == {999}
+    assert max(per_line) < 40 and per_line[2] < 1.5 * per_line[0]
 
 
 def test_op3_against_all_strings(spark, docs):
