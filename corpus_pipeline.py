@@ -19,7 +19,6 @@ from larkspur.llm._spark import shared_folder, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document needs this score in the language found.
 LEAST_SCORE = 0.5
-MIN_LINE_BYTES = 40
 #: Documents are near copies from this percentage of shingles of so many words on.
 SHINGLE_WORDS, LEAST_SIMILAR = 5, 80
 
@@ -39,9 +38,9 @@ def find_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated lines, and documents that were nothing else."""
+    """Keeps one line of each class of equal or near lines, and drops documents that were nothing else."""
     ship(spark)
-    judged = line_dedup.dedup_lines(docs.select(COLUMNS), MIN_LINE_BYTES)
+    judged = line_dedup.dedup_lines(docs.select(COLUMNS))
     return _columns(judged.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^ \t\n\x0B\f\r]")), "kept")
 
 
