@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm._spark import in_batches
 from larkspur.llm._words import as_bytes
 
 _WORD = bytes(range(48, 58)) + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -202,7 +203,7 @@ def scan(
     for k, block in enumerate(blocks):
         last = k == len(blocks) - 1
         fields = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ("" if last and not keep_text else "text string, ") + (f"n_words long, n_hit long, items array<string>, spans {span}" if last else f"words {span}, items array<string>")
-        rows = rows.mapInArrow(_searcher(block, last, keep_text), fields)
+        rows = in_batches(rows, _searcher(block, last, keep_text), fields)
     return rows
 
 
@@ -263,4 +264,4 @@ def remove(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
             texts = [cut(t, [(x["s"], x["e"]) for x in own]) for t, own in zip(as_bytes(batch.column("text")), spans)]
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "n_words", "n_hit", "items")} | {"text": pa.array(texts, pa.string())})
 
-    return found.mapInArrow(work, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, text string")
+    return in_batches(found, work, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>, text string")

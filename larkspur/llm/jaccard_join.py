@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm._graph import connected_components
-from larkspur.llm._spark import bit_filter, checkpointed
+from larkspur.llm._spark import bit_filter, checkpointed, in_batches
 from larkspur.llm._words import NOT_SPACE, as_bytes, byte_table, mix, runs, words_of
 
 _TABLE = byte_table(NOT_SPACE)
@@ -153,13 +153,13 @@ def similar_components(
     id_type = rows.schema["doc_id"].dataType.simpleString()
     form = f"doc_id {id_type}, n long, node long, prefix array<long>, s0 long, s1 long, s2 long, s3 long"
 
-    plain = rows.mapInArrow(_signatures(size, percent, None, 0), form)
+    plain = in_batches(rows, _signatures(size, percent, None, 0), form)
     counted = plain.select(F.explode("prefix").alias("token")).groupBy("token").count()
     hot, crowd = checkpointed(counted.where(F.col("count") > crowd_least)), crowd_least
     while hot.where(F.col("count") > crowd).count() > 1 << (hot_bits - 3):  # else the bitmap is too full to tell
         crowd *= 2
     common = spark.sparkContext.broadcast(bit_filter(hot.where(F.col("count") > crowd), "token", hot_bits))
-    signed = checkpointed(rows.mapInArrow(_signatures(size, percent, common, hot_bits), form))
+    signed = checkpointed(in_batches(rows, _signatures(size, percent, common, hot_bits), form))
 
     # A group is the nodes of one size and prefix, named by the least of them.
     marks = signed.where("n > 0").select("node", "n", F.xxhash64("prefix").alias("own"), F.hash("prefix").alias("own2"))
@@ -169,7 +169,7 @@ def similar_components(
     heads = checkpointed(heads)
     shared = heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
     common = spark.sparkContext.broadcast(bit_filter(shared, "token", node_bits))
-    posted = heads.mapInArrow(_posted(common, node_bits), "token long, grp long, n long")
+    posted = in_batches(heads, _posted(common, node_bits), "token long, grp long, n long")
     # Sizes that allow the similarity differ by one step of this scale at most: entries stand under their step and the next.
     step = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))))
     posted = posted.select(F.explode(F.array(F.struct(F.xxhash64("token", step).alias("token"), F.lit(False).alias("next")), F.struct(F.xxhash64("token", step + 1).alias("token"), F.lit(True).alias("next")))).alias("p"), "grp", "n").select("p.token", "p.next", "grp", "n")
@@ -188,7 +188,7 @@ def similar_components(
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = checkpointed(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         asked = spark.sparkContext.broadcast(bit_filter(pairs.select("a").union(pairs.select("b")), "a", node_bits))
-        sets = rows.select("text").mapInArrow(_members(size, asked, node_bits), "node long, members array<long>").groupBy("node").agg(F.first("members").alias("members"))
+        sets = in_batches(rows.select("text"), _members(size, asked, node_bits), "node long, members array<long>").groupBy("node").agg(F.first("members").alias("members"))
         left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
         if pairs.count() <= few_pairs:  # 16 bytes each
             both = left.join(F.broadcast(pairs), "a").join(right.join(F.broadcast(pairs), "b"), ["a", "b"])

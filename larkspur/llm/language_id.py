@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm._spark import in_batches
 from larkspur.llm._words import as_bytes, runs
 
 UNKNOWN = "und"
@@ -137,4 +138,4 @@ def identify(documents: DataFrame, model: Model, ambiguous_below: float = 0.6, t
             columns = {c: batch.column(c) for c in batch.schema.names}
             yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(score), "ambiguous": pa.array(score < ambiguous_below)})
 
-    return rows.mapInArrow(work, fields)
+    return in_batches(rows, work, fields)

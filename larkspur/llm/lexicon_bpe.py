@@ -29,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm._spark import in_batches
 from larkspur.llm._words import as_bytes
 from larkspur.llm.tokens import SPLIT, Coder
 
 #: Letters and digits stay; all else parts words.
 _PART = bytes(x if 48 <= x < 58 or 65 <= x < 91 or 97 <= x < 123 or x > 127 else 32 for x in range(256))
-_HELD = 400_000
+_HELD = 100_000
 
 
 def frequent_words(documents: DataFrame, text_col: str = "text", top: int = 50_000, share: float = 2e-6) -> list[bytes]:
@@ -48,7 +49,7 @@ def frequent_words(documents: DataFrame, text_col: str = "text", top: int = 50_0
                 words = text.translate(_PART).split()
                 total += len(words)
                 counts.update(words)
-            if len(counts) > 2_000_000:
+            if len(counts) > 500_000:
                 counts = Counter({w: c for w, c in counts.items() if c > share * total})
         kept = [(w, c) for w, c in counts.items() if c >= max(2, share * total)]
         yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in kept], pa.binary()), "n": pa.array([c for _, c in kept], pa.int64())})
@@ -229,4 +230,4 @@ def encode(documents: DataFrame, coder: Coder, top: int = 50_000, id_col: str =
                 out |= {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(left, pa.string()), "decoded_sha256": pa.array(right, pa.string())}
             yield pa.RecordBatch.from_pydict(out)
 
-    return rows.mapInArrow(work, f"doc_id {kind}, " + ("ids array<long>, decoded string" if keep else "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return in_batches(rows, work, f"doc_id {kind}, " + ("ids array<long>, decoded string" if keep else "n_tokens long, ids_sha256 string, decoded_sha256 string"))

@@ -68,10 +68,13 @@ def within(one: bytes | str, two: bytes | str, edits: int) -> bool:
         one, two = two, one
     if len(two) - len(one) > edits:
         return False
-    first = 0
+    first = last = 0
+    while first + 32 <= len(one) and one[first : first + 32] == two[first : first + 32]:
+        first += 32
     while first < len(one) and one[first] == two[first]:
         first += 1
-    last = 0
+    while last + 32 <= len(one) - first and one[-32 - last : len(one) - last] == two[-32 - last : len(two) - last]:
+        last += 32
     while last < len(one) - first and one[-1 - last] == two[-1 - last]:
         last += 1
     one, two = one[first : len(one) - last], two[first : len(two) - last]
@@ -257,7 +260,7 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = {c: _values(batch.column(c)) for c in batch.schema.names}
+        rows = {c: batch.column(c).to_numpy() for c in batch.schema.names}
         if over is not None:
             n = int(np.searchsorted(rows["key"], over, "right"))
             if n:
@@ -280,13 +283,6 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple
         yield held, False
 
 
-def _values(column: pa.Array) -> np.ndarray:
-    """Numbers as they are; 16-byte names as rows of two numbers."""
-    if pa.types.is_binary(column.type):
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)
-    return column.to_numpy()
-
-
 def _edges(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first row, rows) of each run of equal keys."""
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
@@ -353,25 +349,25 @@ def _pairs(crowd: int, group: int, blocks: bool):
 
 
 def _apart(edits: int, group: int):
-    """Pairs (a, b) of names under the keys whose lines wait: of different classes, and such that lengths and letter counts allow a link."""
+    """Pairs (a, b) of lines under the keys whose lines wait: of different classes, and such that lengths and letter counts allow a link."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _ in _whole_keys(batches, 1 << 30):
             for s, n in zip(*(x.tolist() for x in _edges(rows["key"]))):
                 own = {c: x[s : s + n] for c, x in rows.items()}
-                root, tally, size, role, side, line = (own[c] for c in ("root", "tally", "size", "role", "side", "line"))
+                root, tally, size, role, side, line = (own[c] for c in ("root", "tally", "size", "role", "side", "id"))
                 if (root == root[0]).all():
                     continue
                 tally = tally.view(np.uint64)
                 for at in range(0, n, 256):
                     x, y = np.meshgrid(np.arange(at, min(n, at + 256)), np.arange(at, n), indexing="ij")
                     x, y = x.ravel(), y.ravel()
-                    good = (x < y) & (root[x] != root[y]).any(1) & ((role[x] == _INDEX) | (role[y] == _INDEX)) & (np.abs(size[x] - size[y]) <= edits) & ((side[x] != side[y]) | (side[x] == 0))
+                    good = (x < y) & (root[x] != root[y]) & ((role[x] == _INDEX) | (role[y] == _INDEX)) & (np.abs(size[x] - size[y]) <= edits) & ((side[x] != side[y]) | (side[x] == 0))
                     x, y = x[good], y[good]
                     good = _tally_apart(tally[x], tally[y]) <= 2 * edits
                     x, y = x[good], y[good]
                     if len(x):
-                        yield pa.RecordBatch.from_pydict({c: pa.array([v.tobytes() for v in line[i]], pa.binary()) for c, i in (("a", x), ("b", y))})
+                        yield pa.RecordBatch.from_pydict({"a": pa.array(line[x]), "b": pa.array(line[y])})
 
     return work
 
@@ -414,8 +410,8 @@ def _dealt(entries: DataFrame, group: int) -> DataFrame:
     return rest.union(big)
 
 
-def line_links(rows: DataFrame, least: int, edits: int, crowd: int, group: int) -> DataFrame:
-    """(a, b): links between different lines (by name) that hold each class together.
+def line_links(rows: DataFrame, least: int, edits: int, crowd: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """(links, lines): links (a, b) between different lines that hold each class together, and the lines (id, line, ...) that they name.
 
     Documents are read for the first level, and once for the texts of lines that
     it found in a pair or under a crowded key; further levels read those only.
@@ -423,10 +419,11 @@ def line_links(rows: DataFrame, least: int, edits: int, crowd: int, group: int)
     spark = rows.sparkSession
     texts, lines, links = rows.select("text"), None, None
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(lines.select(F.col("line").alias("a"), F.col("words").alias("x")), "a").join(lines.select(F.col("line").alias("b"), F.col("words").alias("y")), "b")
-        good = in_batches(both, _verify(edits), "a binary, b binary")
-        return checkpointed(good if links is None else links.union(good).distinct())
+    def verified(pairs: DataFrame, by: str) -> DataFrame:
+        side = lambda c, own, text: lines.select(F.col(by).alias(c), F.col("id").alias(own), F.col("words").alias(text))
+        both = pairs.join(side("a", "ia", "x"), "a").join(side("b", "ib", "y"), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"), "x", "y")
+        good = in_batches(both, _verify(edits), "a long, b long")
+        return checkpointed(good if links is None else links.union(good))
 
     for level in range(1, _LAST_LEVEL + 1):
         last = level == _LAST_LEVEL
@@ -445,20 +442,18 @@ def line_links(rows: DataFrame, least: int, edits: int, crowd: int, group: int)
             bits = filter_bits(asked.count())
             shared = spark.sparkContext.broadcast(bit_filter(asked, "short", bits))
             made = in_batches(texts, _texts(least, shared, bits), "short long, line binary, words binary, tally long, size long")
-            # Two lines of one short number both come along.
+            # Two lines of one short number both come along; ids are unique, and fixed by the checkpoint.
             made = made.join(asked, "short", "left_semi").groupBy("short", "line").agg(*[F.first(c).alias(c) for c in ("words", "tally", "size")])
-            lines = checkpointed(made)
-        name = lines.select("short", "line")
-        pairs = pairs.join(name.toDF("a", "la"), "a").join(name.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        links = verified(pairs)
+            lines = checkpointed(made.withColumn("id", F.monotonically_increasing_id()))
+        links = verified(pairs, "short")
         if not waiting.isEmpty():
             roots = connected_components(links)
-            known = lines.join(roots, lines["line"] == roots["node"], "left").select("short", "line", "tally", "size", F.coalesce("root", "line").alias("root"))
-            waits = waiting.join(known, "short").select("key", "role", "side", "line", "root", "tally", "size").repartition("key").sortWithinPartitions("key")
-            links = verified(checkpointed(in_batches(waits, _apart(edits, group), "a binary, b binary").distinct()))
+            known = lines.join(roots, lines["id"] == roots["node"], "left").select("short", "id", "tally", "size", F.coalesce("root", "id").alias("root"))
+            waits = waiting.join(known, "short").select("key", "role", "side", "id", "root", "tally", "size").repartition("key").sortWithinPartitions("key")
+            links = verified(checkpointed(in_batches(waits, _apart(edits, group), "a long, b long").distinct()), "id")
         if last or moved.isEmpty():
             break
-    return links
+    return links, lines
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -491,20 +486,23 @@ def dedup_lines(documents: DataFrame, min_chars: int = 40, edits: int = 2, crowd
     kind = rows.schema["doc_id"].dataType.simpleString()
     places = checkpointed(in_batches(rows, _occurrences, f"doc_id {kind}, h long, place long, line binary"))
     where = F.struct("doc_id", "h", "place")
-    links = line_links(rows, min_chars, edits, crowd, group)
-    lines = places.groupBy("line").agg(F.count("*").alias("times"), F.min(where).alias("at"))
-    roots = connected_components(links).toDF("line", "class_id")
-    judged = lines.join(roots, "line", "left").where("times > 1 or class_id is not null")
-    judged = checkpointed(judged.select("line", "times", "at", F.coalesce("class_id", "line").alias("class_id")))
-    first = judged.groupBy("class_id").agg(F.min("at").alias("kept_at"), (F.count("*") - 1).alias("n"))
-    judged = checkpointed(judged.join(first, "class_id").select("line", "times", "kept_at", "class_id", "n"))
-    # A line with more than its share of a partition would fill one task: there are fewer such lines than partitions.
-    total, parts = places.count(), int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.col("times") > max(1, total // parts // 8)
-    common = F.broadcast(judged.where(hot))
-    cold = places.join(common, "line", "left_anti").join(judged.where(~hot), "line")
-    columns = ["doc_id", "h", "place", "kept_at", "class_id", "n"]
-    marked = cold.select(columns).union(places.join(common, "line").select(columns))
+    links, known = line_links(rows, min_chars, edits, crowd, group)
+    roots = connected_components(links).join(known.select(F.col("id").alias("node"), "line"), "node").select("line", "root")
+    kinds = roots.groupBy("root").agg(F.min("line").alias("class_id"), (F.count("*") - 1).alias("n"))
+    roots = roots.join(kinds, "root").select("line", "class_id", "n")
+    lines = places.groupBy("line").agg(F.count("*").alias("times")).join(roots, "line", "left").where("times > 1 or class_id is not null")
+    lines = checkpointed(lines.select("line", "times", F.coalesce("class_id", "line").alias("class_id"), F.coalesce("n", F.lit(0)).alias("n")))
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def join_hot(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
+        """Rows of keys with more than an eighth of a partition would fill one task; there are at most 8 * parts such keys, and these are broadcast."""
+        hot = F.col("times") > left.count() // parts // 8 + 1
+        common = F.broadcast(right.where(hot).drop("times"))
+        return left.join(common, by, "left_anti").join(right.where(~hot).drop("times"), by).unionByName(left.join(common, by))
+
+    placed = checkpointed(join_hot(places, lines, "line").drop("line"))
+    first = placed.groupBy("class_id").agg(F.min(where).alias("kept_at"), F.count("*").alias("times"))
+    marked = join_hot(placed, checkpointed(first), "class_id")
     marked = marked.select("doc_id", "h", F.when(F.col("kept_at") != where, F.col("place")).alias("gone"), "n", *([F.struct("place", F.hex("class_id").alias("class_id")).alias("own")] if classes else []))
     by_doc = marked.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.collect_set("gone").alias("gone"), F.sum("n").alias("n_links"), *([F.array_sort(F.collect_set("own")).alias("classes")] if classes else []))
     rest = documents.drop("kept", "n_lines", "n_removed", "n_links", *(["classes"] if classes else []), "gone", "_id", "_h", "_n")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm._spark import checkpointed
+from larkspur.llm._spark import checkpointed, in_batches
 from larkspur.llm._words import as_bytes, runs
 
 ORDER = 4
@@ -97,7 +97,7 @@ def count_grams(documents: DataFrame, langs: list[str], order: int = ORDER) -> D
             yield pa.RecordBatch.from_pydict({"slot": pa.array(keys >> _SHIFT * order, pa.int32()), "gram": pa.array(keys & (1 << _SHIFT * order) - 1, pa.int64()), "n": pa.array(n, pa.int64())})
 
     rows = documents.select(F.coalesce("text", F.lit("")).alias("text"), "lang")
-    return rows.mapInArrow(work, "slot int, gram long, n long").groupBy("slot", "gram").agg(F.sum("n").alias("n"))
+    return in_batches(rows, work, "slot int, gram long, n long").groupBy("slot", "gram").agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> list[DataFrame]:
@@ -242,7 +242,7 @@ def measure(documents: DataFrame, model: Model, id_col: str = "doc_id") -> DataF
             slots = pa.array([m.slot(x) for x in langs], pa.int32())
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "slot": slots, **columns, "log_perplexity": pa.array(logs, pa.float64(), mask=np.isnan(logs))})
 
-    return rows.mapInArrow(work, f"doc_id {kind}, slot int, {', '.join(f'{c} long' for c in names)}, log_perplexity double")
+    return in_batches(rows, work, f"doc_id {kind}, slot int, {', '.join(f'{c} long' for c in names)}, log_perplexity double")
 
 
 def bands(measured: DataFrame, reach: float = 3.0, step: float = 1e-3, least: float = 0.05) -> DataFrame:

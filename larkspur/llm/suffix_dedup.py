@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._spark import checkpointed
+from larkspur.llm._spark import checkpointed, in_batches
 from larkspur.llm._words import as_bytes, mix, prefix_hash, runs, span_hash
 
 ANCHOR = 64
@@ -224,7 +224,7 @@ def _parts(length: int):
 
 def _crowded(pieces: DataFrame, length: int) -> DataFrame:
     """(a, c, s, e) of the covered bytes of crowded stretches."""
-    parts = checkpointed(pieces.mapInArrow(_parts(length), "a long, part int, core long, whole long, c long, first int, each array<long>, o int"))
+    parts = checkpointed(in_batches(pieces, _parts(length), "a long, part int, core long, whole long, c long, first int, each array<long>, o int"))
     size = F.size("each")
     keys = ["a", "part", "whole"]
     names = [F.first(x).alias(x) for x in ("core", "each", "c", "o", "first")]
@@ -273,7 +273,7 @@ def repeated_spans(documents: DataFrame, length: int = 400, crowd: int = 512, id
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = documents.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = rows.mapInArrow(_emit(length), f"doc_id {kind}, h long, start long, n int, o int, a long, c long")
+    found = in_batches(rows, _emit(length), f"doc_id {kind}, h long, start long, n int, o int, a long, c long")
 
     first = [F.first(x).alias(x) for x in ("doc_id", "h", "start", "n", "o")]
     each = found.groupBy("a", "c").agg(F.count("*").alias("times"), *first)
@@ -292,7 +292,7 @@ def repeated_spans(documents: DataFrame, length: int = 400, crowd: int = 512, id
     pieces = with_texts(by_doc, "inner").select("text", "wanted").mapInArrow(_cut, "a long, c long, n int, o int, crowded boolean, piece binary")
     pieces = checkpointed(pieces.groupBy("a", "c").agg(*[F.first(x).alias(x) for x in ("n", "o", "crowded", "piece")]))
     lone = pieces.where("not crowded").select("a", "c", "o", "piece").repartition("a")
-    covered = lone.mapInArrow(_index(length), "a long, c long, s long, e long")
+    covered = in_batches(lone, _index(length), "a long, c long, s long, e long")
     if not kinds.where(F.col("kinds") > crowd).isEmpty():
         covered = covered.union(_crowded(pieces.where("crowded"), length))
     whole = each.where("times > 1").select("a", "c", F.lit(0).cast("long").alias("s"), (F.col("n") - 1 + length).cast("long").alias("e"))

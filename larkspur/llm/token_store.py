@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm._spark import in_batches
 from larkspur.llm.tokens import Coder
 
 #: Fixed values of Simple-8b: (ids in a word, bits of each), selectors 1 to 14.
@@ -158,7 +159,7 @@ def write_store(documents: DataFrame, path: str, coder: Coder, end_id: int | Non
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(n, F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
-    ordered.mapInArrow(work, _BLOCK.format(id=kind)).write.option("compression", "uncompressed").parquet(path)
+    in_batches(ordered, work, _BLOCK.format(id=kind)).write.option("compression", "uncompressed").parquet(path)
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:

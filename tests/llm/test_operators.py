@@ -111,7 +111,7 @@ def mutated(rng, base, n, letters, most):
     return lines
 
 
-@pytest.mark.parametrize(("letters", "crowd", "group"), [("abcdefgh ", 16, 2048), ("abcdefgh ", 2, 2048), ("日本語中文абвгdeé😀 ", 0, 2048), ("abcdefgh ", 0, 7), ("日本語中文абвгdeé😀 ", 0, 2)])
+@pytest.mark.parametrize(("letters", "crowd", "group"), [("abcdefgh ", 16, 2048), ("日本語中文абвгdeé😀 ", 0, 2048), ("abcdefgh ", 0, 7), ("日本語中文абвгdeé😀 ", 0, 2)])
 def test_op2_against_all_pairs(spark, letters, crowd, group):
     rng = random.Random(crowd + group)
     base = ["".join(rng.choice(letters) for _ in range(44)) for _ in range(9)]
@@ -133,7 +133,7 @@ def test_op2_work_grows_with_a_group_not_its_pairs(spark):
     for n in (250, 500, 1000):
         own = rng.sample([line[:k] + x + line[k + 1 :] for k in range(400) for x in "xyz"], n)  # all within two edits of each other
         df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
-        per_line.append(line_dedup.line_links(df, 40, 2, 16, 2048).count() / n)
+        per_line.append(line_dedup.line_links(df, 40, 2, 16, 2048)[0].count() / n)
     got = line_dedup.dedup_lines(df, classes=True).collect()
     assert len({x["class_id"] for r in got for x in r["classes"]}) == 1 and sum(r["kept"] != "" for r in got) == 1 and {r["n_links"] for r in got} == {999}
     assert max(per_line) < 40 and per_line[2] < 1.5 * per_line[0]
