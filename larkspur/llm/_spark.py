@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from larkspur import ship
 
 
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in which this session's checkpoints lie.
 
@@ -37,8 +40,12 @@ def in_batches(df: DataFrame, work, schema: str) -> DataFrame:
     """``mapInArrow`` whose Python worker gives its freed memory back at the end of each task.
 
     Workers outlive tasks and stages, so what one stage needed would otherwise
-    stay beside the needs of all later ones.
+    stay beside the needs of all later ones.  Where the session doesn't say how
+    many bytes a batch may have, batches are of 4 MB, however long the texts are.
     """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_BYTES, None) is None:
+        conf.set(_BATCH_BYTES, str(4 << 20))
 
     def slim(batches):
         import ctypes

@@ -204,12 +204,12 @@ def encode(documents: DataFrame, coder: Coder, top: int = 50_000, id_col: str =
     spark = documents.sparkSession
     rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     frequent = frequent_words(rows, "text", top)
-    model = spark.sparkContext.broadcast((coder, Transducer.build({w: coder.merged(w) for w in frequent}).to_bytes()))
+    model = spark.sparkContext.broadcast((coder.file_text, Transducer.build({w: coder.merged(w) for w in frequent}).to_bytes()))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, lexicon = model.value
-        run = LexiconCoder(shared, Transducer.mapped(lexicon))
+        file_text, lexicon = model.value
+        run = LexiconCoder(Coder(file_text), Transducer.mapped(lexicon))  # goes with the task, not with the worker
         for batch in batches:
             n, left, right = [], [], []
             texts = batch.column("text").to_pylist()

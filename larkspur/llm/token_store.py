@@ -137,11 +137,11 @@ def write_store(documents: DataFrame, path: str, coder: Coder, end_id: int | Non
     spark = documents.sparkSession
     rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    shared = spark.sparkContext.broadcast(coder)
+    shared = spark.sparkContext.broadcast(coder.file_text)
     end = [] if end_id is None else [end_id]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, part, block, first = shared.value.ids, TaskContext.get().partitionId(), 0, 0
+        code, part, block, first = Coder(shared.value).ids, TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, block_docs):
                 piece = batch.slice(at, block_docs)
