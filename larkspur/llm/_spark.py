@@ -25,10 +25,23 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_made = 0
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a checkpoint in the shared folder."""
+    """Cut the lineage of ``df`` with a checkpoint in the shared folder.
+
+    Every few checkpoints the driver's JVM collects its garbage, so that Spark's
+    cleaner drops shuffle files (and checkpoints, where the session says so)
+    that nothing can read any more; long runs would fill the disks with them.
+    """
+    global _made
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _made += 1
+    if _made % 6 == 0:
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -3,8 +3,7 @@
 The set of a document is its distinct word shingles, as 64-bit hashes.  Equal
 sets collapse first (a node for each different set).  Any total order of
 shingles makes prefix filtering exact; ours puts shingles of long words first
-(bytes of the words alone, ties by hash), which are rare, and shingles found in many prefixes last (a bitmap of fixed size says
-which), so few documents meet under one shingle.  Nodes of the same size and
+(bytes of the words alone, ties by hash), which are rare, and shingles found in many prefixes last (a bitmap says which), so few documents meet under one shingle.  Nodes of the same size and
 prefix form a group; groups that share a prefix shingle and whose sizes allow
 the similarity are candidates; groups are expanded and members verified on
 whole sets.
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm._graph import connected_components
-from larkspur.llm._spark import bit_filter, checkpointed, in_batches
+from larkspur.llm._spark import bit_filter, checkpointed, filter_bits, in_batches
 from larkspur.llm._words import NOT_SPACE, as_bytes, byte_table, mix, runs, words_of
 
 _TABLE = byte_table(NOT_SPACE)
@@ -141,12 +140,12 @@ def _posted(shared, bits: int):
 
 def similar_components(
     documents: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text",
-    hot_bits: int = 22, node_bits: int = 23, star_rounds: int = 1, crowd_least: int = 8, few_pairs: int = 100_000,
+    star_rounds: int = 1, crowd_least: int = 8, few_pairs: int = 100_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: documents link from ``percent`` % Jaccard similarity on.
 
-    ``hot_bits`` and ``node_bits`` fix the sizes of two broadcast bitmaps
-    (2**bits / 8 bytes); they steer speed, never results.
+    Bitmaps are broadcast with about 8 bits a value, 4 MB at most; beyond that they
+    let more through, and the joins behind them still keep only what belongs.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -155,10 +154,10 @@ def similar_components(
 
     plain = in_batches(rows, _signatures(size, percent, None, 0), form)
     counted = plain.select(F.explode("prefix").alias("token")).groupBy("token").count()
-    hot, crowd = checkpointed(counted.where(F.col("count") > crowd_least)), crowd_least
-    while hot.where(F.col("count") > crowd).count() > 1 << (hot_bits - 3):  # else the bitmap is too full to tell
-        crowd *= 2
-    common = spark.sparkContext.broadcast(bit_filter(hot.where(F.col("count") > crowd), "token", hot_bits))
+    hot = checkpointed(counted.where(F.col("count") > crowd_least).select("token"))
+    del plain, counted
+    hot_bits = filter_bits(hot.count(), 25)
+    common = spark.sparkContext.broadcast(bit_filter(hot, "token", hot_bits))
     signed = checkpointed(in_batches(rows, _signatures(size, percent, common, hot_bits), form))
 
     # A group is the nodes of one size and prefix, named by the least of them.
@@ -168,8 +167,10 @@ def similar_components(
     heads = signed.where("n > 0").join(grouped.where("node = grp").select("node", "grp"), "node").dropDuplicates(["node"]).select("grp", "n", "prefix")
     heads = checkpointed(heads)
     shared = heads.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
-    common = spark.sparkContext.broadcast(bit_filter(shared, "token", node_bits))
-    posted = in_batches(heads, _posted(common, node_bits), "token long, grp long, n long")
+    shared = checkpointed(shared)
+    bits = filter_bits(shared.count(), 25)
+    common = spark.sparkContext.broadcast(bit_filter(shared, "token", bits))
+    posted = in_batches(heads, _posted(common, bits), "token long, grp long, n long")
     # Sizes that allow the similarity differ by one step of this scale at most: entries stand under their step and the next.
     step = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))))
     posted = posted.select(F.explode(F.array(F.struct(F.xxhash64("token", step).alias("token"), F.lit(False).alias("next")), F.struct(F.xxhash64("token", step + 1).alias("token"), F.lit(True).alias("next")))).alias("p"), "grp", "n").select("p.token", "p.next", "grp", "n")
@@ -187,8 +188,10 @@ def similar_components(
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = checkpointed(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        asked = spark.sparkContext.broadcast(bit_filter(pairs.select("a").union(pairs.select("b")), "a", node_bits))
-        sets = in_batches(rows.select("text"), _members(size, asked, node_bits), "node long, members array<long>").groupBy("node").agg(F.first("members").alias("members"))
+        ends = pairs.select("a").union(pairs.select("b")).distinct()
+        bits = filter_bits(ends.count(), 25)
+        asked = spark.sparkContext.broadcast(bit_filter(ends, "a", bits))
+        sets = in_batches(rows.select("text"), _members(size, asked, bits), "node long, members array<long>").groupBy("node").agg(F.first("members").alias("members"))
         left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
         if pairs.count() <= few_pairs:  # 16 bytes each
             both = left.join(F.broadcast(pairs), "a").join(right.join(F.broadcast(pairs), "b"), ["a", "b"])
