@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Eyes and nose of emoticons, and contractions in their order.
 EYES, NOSE = "[8:=;]", "['`\\-]?"
 CONTRACTIONS = (
-    ("won't", "will not"), ("can't", "cannot"), ("i'm", "i am"), ("ain't", "is not"), ("(\\w+)'ll", "$1 will"), ("(\\w+)n't", "$1 not"),
+    ("won't", "will not"), ("can't", "can not"), ("i'm", "i am"), ("ain't", "is not"), ("(\\w+)'ll", "$1 will"), ("(\\w+)n't", "$1 not"),
     ("(\\w+)'ve", "$1 have"), ("(\\w+)'s", "$1 is"), ("(\\w+)'re", "$1 are"), ("(\\w+)'d", "$1 would"),
 )
 
@@ -24,13 +24,15 @@ def tag_numbers(text: Column) -> Column:
 
 
 def tag_post(text: Column) -> Column:
-    """Urls, users, emoticons, numbers, slashes, punctuation and lengthened letters as tags."""
-    return _all(text, (
-        (r"(http://www\.|https://www\.|http://|https://|www\.)[A-Za-z0-9./\]+\[]*", " <url> "), (r"@[^\s]+", " <user> "),
+    """Urls, users, emoticons, numbers, slashes, punctuation, hashtags, capitals and lengthened letters as tags, in this order."""
+    #: The patterns and their tags.
+    text = _all(text, (
+        (r"(http://www\.|https://www\.|http://|https://|www\.)[A-Za-z0-9./\]+\[]*", " <url> "), (r"\[\[User(.*)\|", " <user> "), (r"@[^\s]+", " <user> "),
         (r"[-+]?[.\d]*[\d]+[:,.\d]*", " <number> "), ("<3", " <heart> "), (f"{EYES}{NOSE}[Dd)]", " <smile> "), (f"[(d]{NOSE}{EYES}", " <smile> "),
         (f"{EYES}{NOSE}p", " <lolface> "), (rf"{EYES}{NOSE}\(", " <sadface> "), (rf"\){NOSE}{EYES}", " <sadface> "), (rf"{EYES}{NOSE}[/|l*]", " <neutralface> "),
-        ("/", " / "), ("[.?!:;,()*]+", " "), (r"(.)\1{2,}", "$1 <elong> "),
+        ("/", " / "), ("[.?!:;,()*]+", " "),
     ))
+    return F.regexp_replace(tag_capitals(tag_hashtags(text)), r"(.)\1{2,}", "$1 <elong> ")
 
 
 def plain_words(text: Column) -> Column:

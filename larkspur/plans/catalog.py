@@ -139,10 +139,10 @@ def a28_repeat_mean_std(spark, sf_dir):
     return _rounds(spark, sf_dir).groupBy("cid").agg(F.round(F.stddev_pop("loss"), 6).alias("std"), F.round(F.avg("loss"), 6).alias("mean"), F.count("*").alias("n"))
 
 
-@query(f"with {_ROUNDS}, d as (select round, avg(loss) as loss from ev group by round) select arg_min(round, loss) as round, round(min(loss), 6) as loss from d")
+@query(f"with {_ROUNDS}, d as (select round, avg(loss) as loss from ev group by round) select arg_min(round, (loss, round)) as round, round(min(loss), 6) as loss from d")
 def a32_best_round(spark, sf_dir):
     daily = _rounds(spark, sf_dir).groupBy("round").agg(F.avg("loss").alias("loss"))
-    return daily.agg(F.min_by("round", "loss").alias("round"), F.round(F.min("loss"), 6).alias("loss"))
+    return daily.agg(F.min_by("round", F.struct("loss", "round")).alias("round"), F.round(F.min("loss"), 6).alias("loss"))
 
 
 @query("""with c as (select o_custkey as owner, o_orderdate as step, cast(o_totalprice as double) as loss, o_orderkey as k from orders),

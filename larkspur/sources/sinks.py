@@ -58,3 +58,13 @@ class Versions:
         df.write.parquet(path)
         self.current = path
         return self.spark.read.parquet(path)
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """Results as JSON lines, in place of the ones before."""
+    results.write.mode("overwrite").json(path)
+
+
+def write_averages(table: DataFrame, path: str) -> None:
+    """Averaged results as delimited text with a header."""
+    table.write.mode("overwrite").option("header", True).option("sep", ", ").csv(path)

@@ -10,16 +10,28 @@ from pyspark.sql import functions as F
 from larkspur.sources.tables import read
 
 
+def first_messages(messages: DataFrame, ts: str, keys: list[str], late: str = "1 day") -> DataFrame:
+    """Each key's first message; repeats within ``late`` are dropped, and state older than that is forgotten."""
+    return messages.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+
+
 def round_counts(spark: SparkSession, sf_dir: str, expected: int) -> DataFrame:
-    """(round, n, ready) from a stream of events: clients heard in each round, each once, late rounds included.
+    """(round, n, ready) from a stream of events: clients heard in each round, each once.
 
     A round is ready once ``expected`` clients have reported.  The stream runs
-    until it has read what there is; its state is a table in memory.
+    until it has read what there is and appends first messages to a file sink in
+    the shared folder; state is spread over tasks by round and client.
     """
     schema = read(spark, sf_dir, "events").schema
-    name = f"rounds_{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="larkspur-")  # one machine: tests
+    path = f"{folder}/rounds-{uuid.uuid4().hex}"
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    heard = source.select(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("round"), "user_id").groupBy("round").agg(F.collect_set("user_id").alias("clients"))
-    query = heard.select("round", F.size("clients").cast("long").alias("n")).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select(F.to_date("round").alias("round"), "n", (F.col("n") >= expected).alias("ready"))
+    messages = source.select(F.col("ts").cast("timestamp").alias("ts"), F.to_date("ts").alias("round"), "user_id")
+    heard = first_messages(messages, "ts", ["round", "user_id"]).select("round", "user_id")
+    heard.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/heard").awaitTermination()
+    found = spark.read.schema("round date, user_id long").parquet(f"{path}/heard")
+    return found.groupBy("round").agg(F.count("*").alias("n")).select("round", "n", (F.col("n") >= expected).alias("ready"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import aggregate, linalg, metrics, strategies
-from larkspur.plans import catalog
+from larkspur.plans import catalog, clients  # noqa: F401  (registers its queries)
 from larkspur.sources.shell import Shell
 
 DATA = "/root/testdata/sf0.001"
