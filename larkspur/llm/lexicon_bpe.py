@@ -4,7 +4,8 @@ Spark counts words over the whole corpus; the most frequent become a lexicon: a
 minimal acyclic automaton whose common endings are shared, with numbers on its
 arcs that add up to a word's place in a table of id lists.  Tasks map it into
 memory from a file and run the different words of a batch through it together.
-Words that it doesn't hold are merged exactly.  The lexicon changes speed only.
+Words that it doesn't hold, of any script, are merged exactly, by the file's own
+merges.  The lexicon changes speed only.
 
 Counting is lossy with a stated bound: a task reports the words that make up at
 least ``share`` of its own words, so every word with that share of the corpus
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import mmap
-import re
 import tempfile
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -31,11 +31,11 @@ from pyspark.sql import functions as F
 
 from larkspur.llm._spark import in_batches
 from larkspur.llm._words import as_bytes
-from larkspur.llm.tokens import SPLIT, Coder
+from larkspur.llm.tokens import Coder
 
 #: Letters and digits stay; all else parts words.
 _PART = bytes(x if 48 <= x < 58 or 65 <= x < 91 or 97 <= x < 123 or x > 127 else 32 for x in range(256))
-_HELD = 100_000
+_HELD = 250_000
 
 
 def frequent_words(documents: DataFrame, text_col: str = "text", top: int = 50_000, share: float = 2e-6) -> list[bytes]:
@@ -161,7 +161,8 @@ class LexiconCoder:
     """Encodes and decodes whole texts: a transducer for frequent words, exact merges for the rest."""
 
     def __init__(self, coder: Coder, transducer: Transducer):
-        self.coder, self.transducer, self._split = coder, transducer, re.compile(SPLIT)
+        self.coder, self.transducer = coder, transducer
+        self.found = self.missed = 0  # different words that the lexicon holds, and that had to be merged
         self._known: dict[str, tuple[int, bytes, bytes]] = {}
 
     def entry(self, ids: Iterable[int]) -> tuple[int, bytes, bytes]:
@@ -175,17 +176,15 @@ class LexiconCoder:
         new = [w for w in words if w not in self._known]
         raw = [w.encode() for w in new]
         for word, piece, ids in zip(new, raw, self.transducer.look_up(raw)):
+            self.found, self.missed = self.found + (ids is not None), self.missed + (ids is None)
             self._known[word] = self.entry(self.coder.merged(piece) if ids is None else ids)
 
     def _parts(self, text: str) -> list:
         """The text's words in lists, and the entries of what is no word, in order."""
-        if not self.coder.plain(text):
+        parts = self.coder.parts(text)
+        if parts is None:
             return [self.entry(self.coder.library_ids(text))]
-        special = self.coder.special
-        if not any(s in text for s in special):
-            return [self._split.findall(text)]
-        parts = re.split(f"({'|'.join(map(re.escape, special))})", text)
-        return [self.entry([special[p]]) if p in special else self._split.findall(p) for p in parts]
+        return [self.entry([p]) if isinstance(p, int) else p for p in parts]
 
     def encode(self, texts: list[str]) -> Iterator[list[tuple[int, bytes, bytes]]]:
         """Entries of each text, in order; the new words of all the texts are looked up together."""

@@ -132,8 +132,11 @@ def unpack(words: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> np.nda
 _BLOCK = "part int, block int, first long, n_ids long, doc_ids array<{id}>, counts array<long>, offsets array<long>, words binary"
 
 
-def write_store(documents: DataFrame, path: str, coder: Coder, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 256) -> None:
-    """Encode whole texts and write them to a new store at ``path``, a folder that all executors share."""
+def write_store(documents: DataFrame, path: str, coder: Coder, end_id: int | None = None, id_col: str = "doc_id", text_col: str = "text", block_docs: int = 256, part_bytes: int = 256 << 20) -> None:
+    """Encode whole texts and write them to a new store at ``path``, a folder that all executors share.
+
+    Parts are of ``part_bytes`` of text at most on average, whatever the size of the corpus.
+    """
     spark = documents.sparkSession
     rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -145,7 +148,7 @@ def write_store(documents: DataFrame, path: str, coder: Coder, end_id: int | Non
         for batch in batches:
             for at in range(0, batch.num_rows, block_docs):
                 piece = batch.slice(at, block_docs)
-                each = [np.append(code(t), np.array(end, np.uint32)) for t in piece.column("text").to_pylist()]
+                each = [np.append(x, np.array(end, np.uint32)) for x in code(piece.column("text").to_pylist())]
                 counts = np.array([len(x) for x in each], np.int64)
                 words, offsets = pack(np.concatenate(each), counts)
                 yield pa.RecordBatch.from_pydict({
@@ -156,7 +159,8 @@ def write_store(documents: DataFrame, path: str, coder: Coder, end_id: int | Non
                 })
                 block, first = block + 1, first + int(counts.sum())
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
     tie = F.xxhash64("text")
     ordered = rows.repartitionByRange(n, F.col("doc_id"), tie).sortWithinPartitions("doc_id", tie)
     in_batches(ordered, work, _BLOCK.format(id=kind)).write.option("compression", "uncompressed").parquet(path)

@@ -1,26 +1,47 @@
 """The byte-level BPE of a tokenizers file, as a value that is sent to tasks.
 
-``Coder`` gives the ids that the tokenizers library gives without added special
-tokens.  Texts whose characters are all ASCII or Latin letters of the blocks up
-to U+024F take a quick way, on which the library's splitting pattern means just
-what the pattern here means; every other text goes to the library itself.
+A text is parted at the file's special tokens, the rest split into words by the
+pattern of byte-level BPE, and words become ids: by ``merged``, the merges of the
+file, or by the tokenizers library, of which each different word is asked once.
+
+Texts of ASCII and Latin letters are split with an equal pattern of the standard
+library.  A text with characters that the standard library's Unicode tables
+don't know yet, on whose class libraries may differ, goes to the library whole.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
-from functools import cached_property
+import sys
+import unicodedata
+from functools import cache, cached_property
+from itertools import chain
 
 import numpy as np
+import regex
 
-#: Latin letters, and the splitting pattern of byte-level BPE over them.
+#: Latin letters, and the splitting pattern of byte-level BPE, over them and over all of Unicode.
 _LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 _SPACE = r"\t-\r "
 SPLIT = rf"'(?:[sdmt]|ll|ve|re)| ?[{_LATIN}]+| ?[0-9]+| ?[^{_SPACE}{_LATIN}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-#: The same for the tiktoken library, with possessive repeats.
-_FAST = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+FULL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
 _OTHER = re.compile("[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-ɏ]")
+_HELD = 400_000
+
+
+@cache
+def _unknown() -> regex.Pattern:
+    """Characters that are letters or digits to one library and nothing to another, older one."""
+    mark, runs = regex.compile(r"[\p{L}\p{N}]"), []
+    for k in range(0x250, sys.maxunicode + 1):
+        if unicodedata.category(c := chr(k)) == "Cn" and mark.match(c):
+            if runs and runs[-1][1] == k - 1:
+                runs[-1][1] = k
+            else:
+                runs.append([k, k])
+    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]") if runs else regex.compile("(?!)")
 
 
 def byte_letters() -> dict[str, int]:
@@ -65,14 +86,6 @@ class Coder:
     def special(self) -> dict[str, int]:
         return {t["content"]: t["id"] for t in self._file["added_tokens"]}
 
-    @cached_property
-    def _quick(self):
-        import tiktoken
-
-        special = set(self.special.values())
-        ranks = {b: i for i, b in enumerate(self.token_bytes) if i not in special}
-        return tiktoken.Encoding("file", pat_str=_FAST, mergeable_ranks=ranks, special_tokens=self.special)
-
     @cached_property
     def _library(self):
         from tokenizers import Tokenizer
@@ -82,18 +95,95 @@ class Coder:
         made.no_padding()
         return made
 
-    def plain(self, text: str) -> bool:
-        return text.isascii() or _OTHER.search(text) is None
+    @cached_property
+    def _splits(self):
+        special = f"({'|'.join(map(re.escape, self.special))})" if self.special else None
+        return re.compile(SPLIT).findall, regex.compile(FULL).findall, special and re.compile(special)
+
+    def parts(self, text: str) -> list[list[str] | int] | None:
+        """Lists of words and ids of special tokens, in order; None if the library has to take the text whole."""
+        quick, full, special = self._splits
+        latin = text.isascii() or _OTHER.search(text) is None
+        if not latin and _unknown().search(text):
+            return None
+        split = quick if latin else full
+        if special is None or not special.search(text):
+            return [split(text)]
+        return [self.special[p] if p in self.special else split(p) for p in special.split(text)]
 
-    def ids(self, text: str) -> np.ndarray:
-        """uint32 ids of a whole text."""
-        if self.plain(text):
-            return self._quick.encode_to_numpy(text, allowed_special="all")
-        return np.array(self.library_ids(text), np.uint32)
+    @cached_property
+    def _known(self) -> dict[str, list[int]]:
+        return {}
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """uint32 ids of whole texts by the tokenizers library, which is asked once for each different word."""
+        parts = [self.parts(t) for t in texts]
+        known = self._known
+        if len(known) > _HELD:
+            known.clear()
+        new = list({w for x in parts if x is not None for p in x if not isinstance(p, int) for w in p if w not in known})
+        # The library takes many words as one text: those that begin with a blank are told apart again wherever
+        # they stand, and those without any blank where line breaks stand between them.
+        spaced = [w for w in new if w[0] == " " and len(w) > 1 and not w[1].isspace()]
+        bare = [w for w in new if not w[0].isspace()]
+        for words, gap, step in ((spaced, "", 1), (bare, "\n", 2)):
+            for k in range(0, len(words), 8192):
+                own = words[k : k + 8192]
+                made = self._library.encode(gap.join(own), add_special_tokens=False)
+                ids, ends = made.ids, np.cumsum(np.bincount(made.word_ids, minlength=step * len(own))).tolist()
+                known.update((w, ids[a:b]) for w, a, b in zip(own, [0, *ends][::step], ends[::step]))
+        rest = [w for w in new if w not in known]
+        known.update(zip(rest, (e.ids for e in self._library.encode_batch_fast(rest, add_special_tokens=False))))
+        out = []
+        for text, x in zip(texts, parts):
+            if x is None:
+                own = self.library_ids(text)
+            else:
+                own = list(chain.from_iterable([p] if isinstance(p, int) else chain.from_iterable(map(known.__getitem__, p)) for p in x))
+            out.append(np.array(own, np.uint32))
+        return out
 
     def library_ids(self, text: str) -> list[int]:
         return self._library.encode(text, add_special_tokens=False).ids
 
+    @cached_property
+    def _merges(self) -> tuple[dict[tuple[str, str], int], dict[str, int], list[str], bool]:
+        model = self._file["model"]
+        pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
+        letters = [c for c, _ in sorted(byte_letters().items(), key=lambda x: x[1])]
+        return {p: k for k, p in enumerate(pairs)}, model["vocab"], letters, bool(model.get("ignore_merges"))
+
     def merged(self, piece: bytes) -> list[int]:
-        """Ids of one piece of the split, by merging."""
-        return self._quick._core_bpe.encode_single_piece(piece)
+        """Ids of one word: the pair of least rank is merged first, the leftmost of equals; n log n in a long word's bytes."""
+        rank, vocab, letters, whole = self._merges
+        parts: list[str | None] = [letters[b] for b in piece]
+        if whole and "".join(parts) in vocab:
+            return [vocab["".join(parts)]]
+        if len(parts) <= 48:  # few pairs: looking through all of them costs less than a heap
+            far = len(rank)
+            order = [rank.get(p, far) for p in zip(parts, parts[1:])]
+            while order and (least := min(order)) < far:
+                k = order.index(least)
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+                del order[k]
+                if k:
+                    order[k - 1] = rank.get((parts[k - 1], parts[k]), far)
+                if k < len(order):
+                    order[k] = rank.get((parts[k], parts[k + 1]), far)
+            return [vocab[p] for p in parts]
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        todo = [(rank[p], k, *p) for k, p in enumerate(zip(parts, parts[1:])) if p in rank]
+        heapq.heapify(todo)
+        while todo:
+            _, k, a, b = heapq.heappop(todo)
+            j = after[k]
+            if parts[k] != a or j >= n or parts[j] != b:
+                continue
+            parts[k], parts[j] = a + b, None
+            after[k] = after[j]
+            before[after[j]] = k
+            for x, y in ((before[k], k), (k, after[k])):
+                if x >= 0 and y < n and (pair := (parts[x], parts[y])) in rank:
+                    heapq.heappush(todo, (rank[pair], x, *pair))
+        return [vocab[p] for p in parts if p is not None]

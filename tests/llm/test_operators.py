@@ -358,3 +358,22 @@ def test_empty_tables(spark, docs):
     assert line_dedup.dedup_lines(none).count() == 0
     assert perplexity.judge(none).count() == 0
     assert lexicon_bpe.encode(none, tokenizer()).count() == 0
+
+
+def test_words_of_all_scripts_equal_the_library():
+    coder, rng = tokenizer(), random.Random(3)
+    lexicon = lexicon_bpe.Transducer.build({w.encode(): coder.merged(w.encode()) for w in (" text", "日本語の文章です", " мир")})
+    run = lexicon_bpe.LexiconCoder(coder, lexicon)
+    pool = [
+        "“quoted” text—dash…", "日本語の文章です", "Привет мир!", "emoji 😀👍🏽 👩‍👩‍👧", "it’s 'll don't   x　y", "\x1c\x1d a b\u0085c", "१२३ ½ ²³", "\u0378\U000323b0 new",
+        " " * 20 + "\n\n \t x", "<|endoftext|>", "ﬁ ligature İı ß", "한국어 조사", "العربية ١٢٣",
+    ]
+    for _ in range(1500):
+        other = [chr(rng.randrange(0x20, 0x3000)), chr(rng.choice([rng.randrange(0x3000, 0xD7FF), rng.randrange(0xE000, 0x110000)]))]
+        text = "".join(rng.choice(pool + other) for _ in range(rng.randint(1, 8)))
+        want = coder.library_ids(text)
+        assert coder.ids([text])[0].tolist() == want
+        assert [int(x) for _, ids, _ in next(run.encode([text])) if ids for x in ids.split(b",")] == want
+    assert run.found == 3 and run.missed > 100
+    long = " " + "".join(rng.choice("abcdefgh") for _ in range(50_000))
+    assert coder.merged(long.encode()) == coder.library_ids(long)
