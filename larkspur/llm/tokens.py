@@ -112,7 +112,7 @@ class Coder:
         return [self.special[p] if p in self.special else split(p) for p in special.split(text)]
 
     @cached_property
-    def _known(self) -> dict[str, list[int]]:
+    def _known(self) -> dict[str, bytes]:
         return {}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -121,7 +121,7 @@ class Coder:
         known = self._known
         if len(known) > _HELD:
             known.clear()
-        new = list({w for x in parts if x is not None for p in x if not isinstance(p, int) for w in p if w not in known})
+        new = [w for w in set(chain.from_iterable(p for x in parts if x is not None for p in x if not isinstance(p, int))) if w not in known]
         # The library takes many words as one text: those that begin with a blank are told apart again wherever
         # they stand, and those without any blank where line breaks stand between them.
         spaced = [w for w in new if w[0] == " " and len(w) > 1 and not w[1].isspace()]
@@ -130,17 +130,17 @@ class Coder:
             for k in range(0, len(words), 8192):
                 own = words[k : k + 8192]
                 made = self._library.encode(gap.join(own), add_special_tokens=False)
-                ids, ends = made.ids, np.cumsum(np.bincount(made.word_ids, minlength=step * len(own))).tolist()
+                ids, ends = np.array(made.ids, np.uint32).tobytes(), (4 * np.cumsum(np.bincount(made.word_ids, minlength=step * len(own)))).tolist()
                 known.update((w, ids[a:b]) for w, a, b in zip(own, [0, *ends][::step], ends[::step]))
         rest = [w for w in new if w not in known]
-        known.update(zip(rest, (e.ids for e in self._library.encode_batch_fast(rest, add_special_tokens=False))))
+        known.update(zip(rest, (np.array(e.ids, np.uint32).tobytes() for e in self._library.encode_batch_fast(rest, add_special_tokens=False))))
         out = []
         for text, x in zip(texts, parts):
             if x is None:
-                own = self.library_ids(text)
+                out.append(np.array(self.library_ids(text), np.uint32))
             else:
-                own = list(chain.from_iterable([p] if isinstance(p, int) else chain.from_iterable(map(known.__getitem__, p)) for p in x))
-            out.append(np.array(own, np.uint32))
+                own = [p.to_bytes(4, sys.byteorder) if isinstance(p, int) else b"".join(map(known.__getitem__, p)) for p in x]
+                out.append(np.frombuffer(b"".join(own), np.uint32))
         return out
 
     def library_ids(self, text: str) -> list[int]:
