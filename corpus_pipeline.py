@@ -76,7 +76,7 @@ STAGES = [
     ("BPE encoding and decoding", to_tokens),
 ]
 
-#: SQL can't express the classifier or the tokenizer; tests hold the stages against plain versions.
+#: SQL can't express the classifier or the tokenizer; the operators behind the stages have plain versions in tests/llm.
 ORACLE_SQL = None
 
 
