@@ -10,6 +10,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from larkspur.llm import chat_format, decontaminate, jaccard_join, language_id, lexicon_bpe, line_dedup, perplexity, suffix_dedup, token_store, url_rules
@@ -377,3 +378,19 @@ def test_words_of_all_scripts_equal_the_library():
     assert run.found == 3 and run.missed > 100
     long = " " + "".join(rng.choice("abcdefgh") for _ in range(50_000))
     assert coder.merged(long.encode()) == coder.library_ids(long)
+
+
+def test_pipeline_filters_on_odd_rows(spark):
+    """The filtering stages on nulls, empty texts, repeated rows and clashing names, held against plain versions."""
+    own = "own words of this text that nobody else has written down so far number"
+    texts = [(1, f"{own} one\nA line that two documents share, word for word and letter for letter.", "en"), (2, f"{own} two and three\nA line that two documents share, word for word and letter for letter.", "en"),
+             (3, None, None), (4, "", "en"), (5, "only\nonly", "en"), (6, "A line that two documents share, word for word and letter for letter.", "en")]
+    rows = [(i, t, x, "s", None if t is None else len(t), "clash") for i, t, x in texts]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, df, DATA).collect()}
+    plain, _ = plain_line_dedup([(i, t) for i, t, *_ in rows])
+    assert got == {i: kept for i, (kept, gone, _) in plain.items() if not gone or (kept or "").strip(" \t\n")}
+    repeated = df.union(df).union(df.where("doc_id = 1").withColumn("doc_id", F.lit(9).cast("long")))
+    ids = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, repeated, DATA).collect())
+    assert ids == [1, 2, 3, 4, 5, 6]
+    assert corpus_pipeline.dedup_lines(spark, df.limit(0), DATA).count() == corpus_pipeline.drop_near_duplicates(spark, df.limit(0), DATA).count() == 0
