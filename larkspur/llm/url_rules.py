@@ -14,6 +14,8 @@ give repeated results, an empty table an empty one; other columns are dropped.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -116,7 +118,7 @@ def judge_urls(
     )
     always = [r.pattern for own, r in zip(fetch, patterns) if not own]  # no literal token in any match
     if always:
-        hits = hits.union(urls.where(F.greatest(*[F.col("low").rlike(p) for p in [*always, *always]])).select("url"))
+        hits = hits.union(urls.where(reduce(or_, [F.col("low").rlike(p) for p in always])).select("url"))
     blocked = hits.distinct().withColumn("hit", F.lit(True))
     return judged.join(blocked, "url", "left").select(
         "page_id", "host", "path", "rule",
