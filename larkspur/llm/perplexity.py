@@ -1,22 +1,27 @@
 """Quality rules: n-gram perplexity with language-specific bands.
 
-The model is an interpolated modified Kneser-Ney 4-gram model for each
-language, over text symbols: UTF-8 bytes folded to 64 classes (letters, blanks,
-digits, common marks, capitals, and bytes above 127).  Spark counts all n-grams
-of all texts (each task counts its own share first), takes continuation counts
-and discounts from them, and the result is kept as arrays sorted by hashed key.
-The folding proves a bound on the model: at most 64**4 4-grams a language, for
-at most ``max_langs`` languages (the most frequent; the others share one model).
-Words would give counts as large as the corpus; that's why symbols are used.
-
-A document's perplexity is over its 4-grams, whatever their number; one without
+The model is an interpolated modified Kneser-Ney model of 5-grams for each
+language, over the bytes of UTF-8 as they are.  Spark counts all n-grams of all
+texts (each task counts its own share first), takes continuation counts and
+discounts from them, and the result is kept as arrays sorted by hashed key.
+What is counted grows with the corpus, and every language has its own model and
+band.  A context has at most 256 next bytes, so no key of these joins is hot.
+
+A model of at most ``most_keys`` n-grams goes to all tasks (some 16 bytes an
+n-gram; its size is counted first).  A larger one stays distributed: documents
+are dealt evenly into blocks, each block asks for its different n-grams by a
+join, and is scored with the sorted arrays that come back.  Both ways give the
+same perplexities.
+
+A document's perplexity is over its 5-grams, whatever their number; one without
 any has none, and no band rejects it.  The bands of a language come from the
 quartiles of its documents' log-perplexities: ``reach`` times their distance
 beyond either, so the bulk of a corpus is kept whatever its language is.
 
 Base rules look at words (runs of bytes that are no ASCII white space).  Null
 texts have no words; a null language is a language of its own.  Repeated rows
-give repeated results; an empty table gives an empty result.
+give repeated results; an empty table gives an empty result.  Very long texts
+are counted and scored in pieces.  Over 2**20 languages raise an error.
 """
 
 from __future__ import annotations
@@ -32,72 +37,67 @@ from pyspark.sql import functions as F
 from larkspur.llm._spark import checkpointed, in_batches
 from larkspur.llm._words import as_bytes, runs
 
-ORDER = 4
-_SHIFT = 6
+ORDER = 5
+_SHIFT = 8
 _OTHER = ""
-
-
-def _folding() -> np.ndarray:
-    """Byte -> one of 64 classes."""
-    out = np.zeros(256, np.uint8)  # 0: control bytes
-    out[[9, 10, 11, 12, 13, 32]] = 1
-    out[48:58] = 2
-    for k, mark in enumerate(b".,!|"):
-        out[mark] = 3 + k
-    out[[x for x in range(33, 127) if not chr(x).isalnum() and x not in b".,!|"]] = 7
-    out[list(b"#*$%&<>")] = 8
-    out[65:91] = 9 + np.arange(26) % 6
-    out[97:123] = 15 + np.arange(26)
-    out[192:256] = 41 + np.arange(64) % 7
-    out[128:192] = 48 + np.arange(64) % 16
-    return out
-
-
-_FOLD = _folding()
-
-
-def _grams(texts: list[bytes], order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of texts: (first text, n-gram keys that end at each symbol, which of them lie in one text)."""
-    for first, last in runs(texts):
-        own = texts[first:last]
-        sizes = np.array([len(x) for x in own], np.int64)
-        symbol = _FOLD[np.frombuffer(b"".join(own), np.uint8)].astype(np.uint32)
-        key = symbol.copy()
+_PIECE = 1 << 19
+_MOST_LANGS = 1 << 20
+#: Different n-grams that a task holds before it passes its counts on.
+_HELD = 4_000_000
+_BLOCK_BYTES = 16 << 20
+
+
+def _grams(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of (text, n-gram): the place of its text in ``texts``, and its bytes as one number."""
+    pieces = [(k, t[a : a + _PIECE + order - 1]) for k, t in enumerate(texts) for a in range(0, len(t) - order + 1, _PIECE)]
+    for first, last in runs([x for _, x in pieces], _PIECE):
+        own = pieces[first:last]
+        sizes = np.array([len(x) for _, x in own], np.int64)
+        byte = np.frombuffer(b"".join(x for _, x in own), np.uint8).astype(np.int64)
+        key = byte.copy()
         for k in range(1, order):
-            key[k:] |= symbol[:-k] << np.uint32(_SHIFT * k)
-        starts = np.cumsum(sizes) - sizes
-        place = np.arange(len(symbol)) - np.repeat(starts, sizes)
-        yield first, key, place >= order - 1
+            key[k:] |= byte[:-k] << _SHIFT * k
+        whole = np.arange(len(byte)) - np.repeat(np.cumsum(sizes) - sizes, sizes) >= order - 1
+        yield np.repeat([k for k, _ in own], sizes)[whole], key[whole]
 
 
 def count_grams(documents: DataFrame, langs: list[str], order: int = ORDER) -> DataFrame:
-    """(slot, gram, n) over all of (text, lang); slot is the place of the language in ``langs``, or beyond it."""
+    """(block, slot, gram, n) over all of (block, text, lang); slot is the place of the language in ``langs``."""
     slots = {x: k for k, x in enumerate(langs)}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def merge() -> None:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            held[:] = [(keys, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64))]
+        def merged() -> int:
+            for own in held.values():
+                keys, at = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
+                own[:] = [(keys, np.bincount(at, np.concatenate([n for _, n in own])).astype(np.int64))]
+            return sum(len(own[0][0]) for own in held.values())
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for block, own in held.items():
+                for keys, n in own:
+                    same = pa.array(np.full(len(keys), block, np.int32))
+                    yield pa.RecordBatch.from_pydict({"block": same, "slot": pa.array(keys >> _SHIFT * order, pa.int32()), "gram": pa.array(keys & (1 << _SHIFT * order) - 1), "n": pa.array(n)})
+            held.clear()
 
         for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            slot = [slots.get(x or _OTHER, len(slots)) for x in batch.column("lang").to_pylist()]
-            for s in sorted(set(slot)):
-                for _, key, whole in _grams([t for t, x in zip(texts, slot) if x == s], order):
-                    keys = np.sort(key[whole])
-                    edge = np.flatnonzero(np.diff(keys, prepend=np.uint32(0xFFFFFFFF)))
-                    held.append((keys[edge].astype(np.int64) | s << _SHIFT * order, np.diff(np.append(edge, len(keys)))))
-            if held and sum(len(k) for k, _ in held) > 4_000_000:
-                merge()
+            texts, blocks = as_bytes(batch.column("text")), batch.column("block").to_numpy()
+            slot = np.array([slots[x or _OTHER] for x in batch.column("lang").to_pylist()], np.int64)
+            for block in np.unique(blocks):
+                mine = np.flatnonzero(blocks == block)
+                for doc, key in _grams([texts[k] for k in mine], order):
+                    keys = np.sort(slot[mine][doc] << _SHIFT * order | key)
+                    edge = np.flatnonzero(np.diff(keys, prepend=-1))
+                    held.setdefault(int(block), []).append((keys[edge], np.diff(np.append(edge, len(keys)))))
+            if sum(len(k) for own in held.values() for k, _ in own) > _HELD and merged() > _HELD // 2:
+                yield from given()
         if held:
-            merge()
-            keys, n = held[0]
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(keys >> _SHIFT * order, pa.int32()), "gram": pa.array(keys & (1 << _SHIFT * order) - 1, pa.int64()), "n": pa.array(n, pa.int64())})
+            merged()
+            yield from given()
 
-    rows = documents.select(F.coalesce("text", F.lit("")).alias("text"), "lang")
-    return in_batches(rows, work, "slot int, gram long, n long").groupBy("slot", "gram").agg(F.sum("n").alias("n"))
+    rows = documents.select("block", F.coalesce("text", F.lit("")).alias("text"), "lang")
+    return in_batches(rows, work, "block int, slot int, gram long, n long").groupBy("block", "slot", "gram").agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> list[DataFrame]:
@@ -132,7 +132,7 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> list[DataFrame]:
 
 def _hashed(slot: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """One-to-one: an odd factor modulo 2**64."""
-    return (slot.astype(np.uint64) << np.uint64(40) | gram.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return (slot.astype(np.uint64) << np.uint64(_SHIFT * ORDER) | gram.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
 
 
 class Model:
@@ -144,8 +144,14 @@ class Model:
             key = _hashed(slot, gram)
             order = np.argsort(key)
             self.levels.append((key[order], np.log(p[order]).astype(np.float32), np.log(back[order]).astype(np.float32)))
+        # The share of each language's bytes that were never seen, from what the seen ones leave.
+        slot, _, p, _ = tables[0]
+        seen, given = np.bincount(slot, minlength=len(langs) + 1), np.bincount(slot, p, len(langs) + 1)
+        size = 1 << _SHIFT
+        self.unseen = np.log(np.where(seen, np.maximum(1 - given, 1e-12) / np.maximum(size - seen, 1), 1 / size))
 
     def slot(self, lang: str | None) -> int:
+        """A language that the model doesn't know has no n-grams."""
         return self.slots.get(lang or _OTHER, len(self.slots))
 
     def log_probability(self, slot: np.ndarray, gram: np.ndarray) -> np.ndarray:
@@ -160,7 +166,7 @@ class Model:
             if k > 1:
                 seen, at = self._find(k - 1, slot[todo], (gram[todo] & (1 << _SHIFT * k) - 1) >> _SHIFT)
                 give[todo[seen]] += self.levels[k - 2][2][at[seen]]
-        out[todo] = give[todo] - np.log(1 << _SHIFT)
+        out[todo] = give[todo] + self.unseen[slot[todo]]
         return out
 
     def _find(self, k: int, slot: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,40 +179,46 @@ class Model:
 
     def mean_log(self, texts: list[bytes], slots: list[int]) -> np.ndarray:
         """Minus the mean log-probability of each text's n-grams: log-perplexity; nan without n-grams."""
-        order, out = len(self.levels), np.full(len(texts), np.nan)
-        for first, key, whole in _grams(texts, order):
-            sizes, last = [], first
-            total = 0
-            while last < len(texts) and total < len(key):
-                sizes.append(len(texts[last]))
-                total += sizes[-1]
-                last += 1
-            doc = np.repeat(np.arange(len(sizes)), sizes)[whole]
+        order, total, n = len(self.levels), np.zeros(len(texts)), np.zeros(len(texts))
+        for doc, key in _grams(texts, order):
             # Equal n-grams of a run are looked up once.
-            full = np.array(slots[first:last], np.int64)[doc] << _SHIFT * order | key[whole].astype(np.int64)
-            if not len(full):
-                continue
+            full = np.array(slots, np.int64)[doc] << _SHIFT * order | key
             ordered = np.sort(full)
             keys = ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))]
             value = self.log_probability(keys >> _SHIFT * order, keys & (1 << _SHIFT * order) - 1)
-            logs = value[np.searchsorted(keys, full)]
-            n = np.bincount(doc, minlength=len(sizes))
-            with np.errstate(invalid="ignore"):
-                out[first:last] = -np.bincount(doc, logs, len(sizes)) / np.where(n, n, np.nan)
-        return out
+            total += np.bincount(doc, value[np.searchsorted(keys, full)], len(texts))
+            n += np.bincount(doc, minlength=len(texts))
+        return -total / np.where(n, n, np.nan)
+
+
+def languages(documents: DataFrame) -> list[str]:
+    found = documents.select(F.coalesce("lang", F.lit(_OTHER)).alias("lang")).distinct().limit(_MOST_LANGS + 1).collect()
+    if len(found) > _MOST_LANGS:
+        raise ValueError(f"more than {_MOST_LANGS} languages")
+    return sorted(r["lang"] for r in found)
+
 
+def train(documents: DataFrame, langs: list[str]) -> list[DataFrame]:
+    """The levels of ``kneser_ney`` from all rows of (text, lang)."""
+    counts = count_grams(documents.select(F.lit(0).alias("block"), "text", "lang"), langs)
+    return kneser_ney(checkpointed(counts.drop("block")))
 
-def fit(documents: DataFrame, max_langs: int = 16) -> Model:
-    """From all rows of (text, lang)."""
-    most = documents.groupBy(F.coalesce("lang", F.lit(_OTHER)).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_langs)
-    langs = [r["lang"] for r in most.collect()]
+
+def load(langs: list[str], levels: list[DataFrame]) -> Model:
+    """The whole model in one process: for levels whose size was checked."""
     tables = []
-    for level in kneser_ney(checkpointed(count_grams(documents, langs))):
-        f = level.toPandas()
-        tables.append((f["slot"].to_numpy(), f["gram"].to_numpy(), f["p"].to_numpy(), f["back"].to_numpy()))
+    for k, level in enumerate(levels):
+        f = level.withColumns({c: F.col(c).cast("float" if k else "double") for c in ("p", "back")}).toPandas()
+        tables.append(tuple(f[c].to_numpy() for c in ("slot", "gram", "p", "back")))
     return Model(langs, tables)
 
 
+def fit(documents: DataFrame) -> Model:
+    """From all rows of (text, lang), for a corpus whose model one process can hold."""
+    langs = languages(documents)
+    return load(langs, train(documents, langs))
+
+
 def base_measures(text: bytes) -> tuple[int, int, int, int, int]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words)."""
     words = text.split()
@@ -225,24 +237,54 @@ def base_measures(text: bytes) -> tuple[int, int, int, int, int]:
     return n, chars, symbols, len(lines) - len(set(lines)), repeated
 
 
-def measure(documents: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, lang, the base measures, log_perplexity) for each row."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+_BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def _rows(documents: DataFrame, id_col: str) -> tuple[DataFrame, str]:
     rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "lang")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return rows, f"doc_id {kind}, slot int, {', '.join(f'{c} long' for c in _BASE)}, log_perplexity double"
+
+
+def _measured(rows: pa.RecordBatch | pa.Table, model: Model) -> dict[str, pa.Array | pa.ChunkedArray]:
+    texts, slots = as_bytes(rows.column("text")), [model.slot(x) for x in rows.column("lang").to_pylist()]
+    logs = model.mean_log(texts, slots)
+    base = np.array([base_measures(t) for t in texts], np.int64).reshape(-1, len(_BASE))
+    columns = {c: pa.array(base[:, k]) for k, c in enumerate(_BASE)}
+    return {"doc_id": rows.column("doc_id"), "slot": pa.array(slots, pa.int32()), **columns, "log_perplexity": pa.array(logs, pa.float64(), mask=np.isnan(logs))}
+
+
+def measure(documents: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, slot of the language, the base measures, log_perplexity) for each row, with a model of checked size."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    rows, schema = _rows(documents, id_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            texts, langs = as_bytes(batch.column("text")), batch.column("lang").to_pylist()
-            logs = m.mean_log(texts, [m.slot(x) for x in langs])
-            base = np.array([base_measures(t) for t in texts], np.int64).reshape(-1, 5)
-            columns = {c: pa.array(base[:, k]) for k, c in enumerate(names)}
-            slots = pa.array([m.slot(x) for x in langs], pa.int32())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "slot": slots, **columns, "log_perplexity": pa.array(logs, pa.float64(), mask=np.isnan(logs))})
+            yield pa.RecordBatch.from_pydict(_measured(batch, shared.value))
+
+    return in_batches(rows, work, schema)
+
+
+def measure_joined(documents: DataFrame, langs: list[str], top: DataFrame, id_col: str = "doc_id", block_bytes: int = _BLOCK_BYTES) -> DataFrame:
+    """As ``measure``, for the documents that the model was learnt from, with the model left distributed.
+
+    All their n-grams are in the highest level, so nothing backs off and only
+    that level is joined.  A block holds some ``block_bytes`` of texts (one text
+    at least), dealt round-robin so that no hot value fills one.
+    """
+    rows, schema = _rows(documents, id_col)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = checkpointed(rows.repartition(size // block_bytes + 1).withColumn("block", F.spark_partition_id()))
+    priced = count_grams(dealt, langs).join(top, ["slot", "gram"]).select("block", "slot", "gram", "p")
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+
+    def work(texts: pa.Table, prices: pa.Table) -> pa.Table:
+        slot, gram, p = (prices.column(c).to_numpy() for c in ("slot", "gram", "p"))
+        model = Model(langs, [none] * (ORDER - 1) + [(slot, gram, p, np.ones(len(p)))])
+        return pa.table(_measured(texts.combine_chunks(), model))
 
-    return in_batches(rows, work, f"doc_id {kind}, slot int, {', '.join(f'{c} long' for c in names)}, log_perplexity double")
+    return dealt.groupBy("block").cogroup(priced.groupBy("block")).applyInArrow(work, schema)
 
 
 def bands(measured: DataFrame, reach: float = 3.0, step: float = 1e-3, least: float = 0.05) -> DataFrame:
@@ -256,9 +298,16 @@ def bands(measured: DataFrame, reach: float = 3.0, step: float = 1e-3, least: fl
     return edges.select("slot", (F.col("q1") - far).alias("low"), (F.col("q3") + far).alias("high"))
 
 
-def judge(documents: DataFrame, id_col: str = "doc_id", reach: float = 3.0, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def judge(
+    documents: DataFrame, id_col: str = "doc_id", reach: float = 3.0, min_words: int = 50, max_repeat_percent: int = 50, most_keys: int = 6_000_000
+) -> DataFrame:
     """(doc_id, base measures, base_failed, kept, perplexity, low, high) for each row of (doc_id, text, lang)."""
-    measured = checkpointed(measure(documents, fit(documents.select("text", "lang")), id_col))
+    langs = languages(documents)
+    levels = train(documents, langs)
+    if sum(level.count() for level in levels) <= most_keys:
+        measured = checkpointed(measure(documents, load(langs, levels), id_col))
+    else:
+        measured = checkpointed(measure_joined(documents, langs, levels[-1], id_col))
     judged = measured.join(F.broadcast(bands(measured, reach)), "slot", "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))

@@ -54,10 +54,61 @@ def test_op1_base_measures(spark, docs, rows):
 
 def test_op1_probabilities_sum_to_one(spark, docs):
     model = perplexity.fit(docs.select("text", "lang"))
-    context = perplexity._FOLD[np.frombuffer(b"the", np.uint8)].astype(np.int64)
-    grams = (context[0] << 18 | context[1] << 12 | context[2] << 6) | np.arange(64)
-    p = np.exp(model.log_probability(np.full(64, model.slot("en")), grams))
-    assert abs(p.sum() - 1) < 1e-3
+    for context in (b"the ", b"e th", "日".encode() + b" "):
+        grams = int.from_bytes(context) << 8 | np.arange(256)
+        p = np.exp(model.log_probability(np.full(256, model.slot("en")), grams))
+        assert abs(p.sum() - 1) < 1e-3
+
+
+def plain_perplexities(rows, order=5):
+    """Log-perplexity of each (text, lang) row under modified Kneser-Ney, by dictionaries."""
+    grams = lambda t: [t[k : k + order] for k in range(len(t) - order + 1)]
+    rows = [((t or "").encode(), lang) for t, lang in rows]
+    price = {}
+    for lang in {x for _, x in rows}:
+        by = {order: Counter(g for t, x in rows if x == lang for g in grams(t))}
+        for k in range(order - 1, 0, -1):
+            by[k] = Counter(g[1:] for g in by[k + 1])
+        p = {b"": 1 / 256}
+        for k in range(1, order + 1):
+            n = Counter(by[k].values())
+            y = n[1] / max(n[1] + 2 * n[2], 1)
+            cut = [0] + [max(0.05, j - (j + 1) * y * n[j + 1] / n[j]) if n[j] and n[j + 1] else 0.5 * j for j in (1, 2, 3)]
+            total, less = Counter(), Counter()
+            for g, c in by[k].items():
+                total[g[:-1]] += c
+                less[g[:-1]] += min(cut[min(c, 3)], c)
+            p |= {g: (c - min(cut[min(c, 3)], c) + less[g[:-1]] * p[g[1:]]) / total[g[:-1]] for g, c in by[k].items()}
+        price[lang] = p
+    out = []
+    for t, lang in rows:
+        own = grams(t)
+        out.append(-sum(np.log(price[lang][g]) for g in own) / len(own) if own else None)
+    return out
+
+
+def test_op1_both_ways_equal_a_plain_model(spark, docs, monkeypatch):
+    # Many languages, a piece border inside most texts.
+    many = docs.withColumn("lang", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("l"), F.col("doc_id"))).otherwise(F.col("lang")))
+    many = many.where(F.length(F.coalesce("text", F.lit(""))) < 20_000)
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in many.collect()]
+    want = counted((i, None if x is None else round(float(np.exp(x)), 2)) for (i, _, _), x in zip(rows, plain_perplexities([r[1:] for r in rows])))
+    assert len({r[2] for r in rows}) > 17
+    monkeypatch.setattr(perplexity, "_PIECE", 300)
+    few, joined = (perplexity.judge(many, most_keys=n) for n in (10**7, 0))
+    close = lambda df: counted((r["doc_id"], None if r["perplexity"] is None else round(r["perplexity"], 2)) for r in df.collect())
+    assert sum((close(few) - want).values()) <= 2 and sum((close(joined) - want).values()) <= 2  # roundings
+    assert counted((r["doc_id"], r["n_words"], r["kept"]) for r in few.collect()) == counted((r["doc_id"], r["n_words"], r["kept"]) for r in joined.collect())
+
+
+def test_op1_rejects_noise_of_a_language(spark):
+    rng = random.Random(5)
+    words = ["plain", "words", "of", "some", "common", "tongue", "that", "repeat", "and", "stay", "calm"]
+    texts = [" ".join(rng.choice(words) for _ in range(90)) for _ in range(60)] + [" ".join("".join(rng.choice("qxzjvkw") for _ in range(6)) for _ in range(90))]
+    for most in (10**7, 0):
+        got = perplexity.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en")), most_keys=most)
+        kept = {r["doc_id"]: r["kept"] for r in got.select("doc_id", "kept").collect()}
+        assert not kept[60] and sum(kept.values()) >= 58
 
 
 def distance(a, b):
@@ -358,6 +409,7 @@ def test_empty_tables(spark, docs):
     assert suffix_dedup.repeated_spans(none).count() == 0
     assert line_dedup.dedup_lines(none).count() == 0
     assert perplexity.judge(none).count() == 0
+    assert perplexity.judge(none, most_keys=-1).count() == 0
     assert lexicon_bpe.encode(none, tokenizer()).count() == 0
 
 
