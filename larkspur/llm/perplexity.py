@@ -100,12 +100,15 @@ def count_grams(documents: DataFrame, langs: list[str], order: int = ORDER) -> D
     return in_batches(rows, work, "block int, slot int, gram long, n long").groupBy("block", "slot", "gram").agg(F.sum("n").alias("n"))
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> list[DataFrame]:
-    """For each order from 1: (slot, gram, p, back): the interpolated probability, and the weight that its gram has as a context."""
+def kneser_ney(counts: DataFrame, order: int = ORDER, weights: bool = True) -> list[DataFrame]:
+    """For each order from 1: (slot, gram, p, back): the interpolated probability, and the weight that its gram has as a context.
+
+    Without ``weights`` all ``back`` are 1: enough where only n-grams of the counts are looked up.
+    """
     size = lambda k: F.lit(1 << _SHIFT * k)
     by = {order: counts}
     for k in range(order - 1, 0, -1):  # how many different symbols stand before
-        by[k] = by[k + 1].groupBy("slot", (F.col("gram") % size(k)).alias("gram")).agg(F.count("*").alias("n"))
+        by[k] = checkpointed(by[k + 1].groupBy("slot", (F.col("gram") % size(k)).alias("gram")).agg(F.count("*").alias("n")))
     made: list[DataFrame] = []
     for k in range(1, order + 1):
         own = by[k].withColumn("context", F.shiftright("gram", _SHIFT))
@@ -124,8 +127,9 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> list[DataFrame]:
             below = made[-1].select("slot", F.col("gram").alias("short"), F.col("p").alias("low"))
             own = own.withColumn("short", F.col("gram") % size(k - 1)).join(below, ["slot", "short"])
             low = F.col("low")
-            back = total.select("slot", F.col("context").alias("gram"), F.col("rest").alias("back"))
-            made[-1] = checkpointed(made[-1].drop("back").join(back, ["slot", "gram"], "left").select("slot", "gram", "p", F.coalesce("back", F.lit(1.0)).alias("back")))
+            if weights:
+                back = total.select("slot", F.col("context").alias("gram"), F.col("rest").alias("back"))
+                made[-1] = checkpointed(made[-1].drop("back").join(back, ["slot", "gram"], "left").select("slot", "gram", "p", F.coalesce("back", F.lit(1.0)).alias("back")))
         made.append(checkpointed(own.select("slot", "gram", ((F.col("n") - F.col("d")) / F.col("total") + F.col("rest") * low).alias("p"), F.lit(1.0).alias("back"))))
     return made
 
@@ -198,21 +202,28 @@ def languages(documents: DataFrame) -> list[str]:
     return sorted(r["lang"] for r in found)
 
 
-def train(documents: DataFrame, langs: list[str]) -> list[DataFrame]:
+def train(documents: DataFrame, langs: list[str], weights: bool = True) -> list[DataFrame]:
     """The levels of ``kneser_ney`` from all rows of (text, lang)."""
     counts = count_grams(documents.select(F.lit(0).alias("block"), "text", "lang"), langs)
-    return kneser_ney(checkpointed(counts.drop("block")))
+    return kneser_ney(checkpointed(counts.drop("block")), weights=weights)
 
 
 def load(langs: list[str], levels: list[DataFrame]) -> Model:
     """The whole model in one process: for levels whose size was checked."""
     tables = []
     for k, level in enumerate(levels):
-        f = level.withColumns({c: F.col(c).cast("float" if k else "double") for c in ("p", "back")}).toPandas()
-        tables.append(tuple(f[c].to_numpy() for c in ("slot", "gram", "p", "back")))
+        kind = "float" if k else "double"
+        rows = level.select("slot", "gram", F.col("p").cast(kind), F.col("back").cast(kind)).toArrow()
+        tables.append(tuple(rows.column(c).to_numpy() for c in ("slot", "gram", "p", "back")))
     return Model(langs, tables)
 
 
+def top_only(langs: list[str], slot: np.ndarray, gram: np.ndarray, p: np.ndarray) -> Model:
+    """A model for texts all of whose n-grams are known: nothing backs off, so the highest level is enough."""
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    return Model(langs, [none] * (ORDER - 1) + [(slot, gram, p, np.ones(len(p), np.float32))])
+
+
 def fit(documents: DataFrame) -> Model:
     """From all rows of (text, lang), for a corpus whose model one process can hold."""
     langs = languages(documents)
@@ -277,11 +288,9 @@ def measure_joined(documents: DataFrame, langs: list[str], top: DataFrame, id_co
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = checkpointed(rows.repartition(size // block_bytes + 1).withColumn("block", F.spark_partition_id()))
     priced = count_grams(dealt, langs).join(top, ["slot", "gram"]).select("block", "slot", "gram", "p")
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
 
     def work(texts: pa.Table, prices: pa.Table) -> pa.Table:
-        slot, gram, p = (prices.column(c).to_numpy() for c in ("slot", "gram", "p"))
-        model = Model(langs, [none] * (ORDER - 1) + [(slot, gram, p, np.ones(len(p)))])
+        model = top_only(langs, *(prices.column(c).to_numpy() for c in ("slot", "gram", "p")))
         return pa.table(_measured(texts.combine_chunks(), model))
 
     return dealt.groupBy("block").cogroup(priced.groupBy("block")).applyInArrow(work, schema)
@@ -303,11 +312,13 @@ def judge(
 ) -> DataFrame:
     """(doc_id, base measures, base_failed, kept, perplexity, low, high) for each row of (doc_id, text, lang)."""
     langs = languages(documents)
-    levels = train(documents, langs)
-    if sum(level.count() for level in levels) <= most_keys:
-        measured = checkpointed(measure(documents, load(langs, levels), id_col))
+    top = train(documents, langs, weights=False)[-1]
+    if top.count() <= most_keys:
+        rows = top.select("slot", "gram", F.col("p").cast("float")).toArrow()
+        model = top_only(langs, *(rows.column(c).to_numpy() for c in ("slot", "gram", "p")))
+        measured = checkpointed(measure(documents, model, id_col))
     else:
-        measured = checkpointed(measure_joined(documents, langs, levels[-1], id_col))
+        measured = checkpointed(measure_joined(documents, langs, top, id_col))
     judged = measured.join(F.broadcast(bands(measured, reach)), "slot", "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
