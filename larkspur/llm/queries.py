@@ -129,4 +129,34 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
   sha256(coalesce(all_items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from low left join hit using (doc_id) left join items using (doc_id)"""
 
-ORACLE_SQL = {"op6_chat_format": _CHAT_SQL, "op7_decontaminate": _DECONTAMINATE_SQL, "op8_url_rules": _url_sql()}
+#: Every 400-byte string of every document by its md5; covered bytes are the islands of the starts of those found twice.
+_SUFFIX_SQL = """
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+places as (select doc_id, i, md5(b[i + 1:i + 400]) as k from (select doc_id, b, unnest(range(octet_length(b) - 399)) as i from d)),
+twice as (select k from places group by k having count(*) > 1),
+starts as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 400 then 0 else 1 end as fresh from places where k in (select k from twice)),
+runs as (select doc_id, run, min(i) as s, max(i) + 400 as e from (
+  select doc_id, i, sum(fresh) over (partition by doc_id order by i rows unbounded preceding) as run from starts) group by doc_id, run),
+gaps as (select doc_id, s, e, coalesce(lag(e) over (partition by doc_id order by s), 0) as before from runs),
+cut as (select doc_id, list({'s': before, 'e': s} order by s) as kept, max(e) as tail, sum(e - s) as n_removed, count(*) as n_spans from gaps group by doc_id)
+select doc_id, cast(octet_length(b) as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans,
+  sha256(unhex(array_to_string(list_append([hex(b[p.s + 1:p.e]) for p in coalesce(kept, [])], hex(b[coalesce(tail, 0) + 1:octet_length(b)])), ''))) as kept_sha256
+from d left join cut using (doc_id)"""
+
+#: All pairs that share a shingle, counted; components by reachability.
+_JACCARD_SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (select doc_id, case when len(w) >= 3 then list_distinct([array_to_string(w[i:i + 2], ' ') for i in range(1, len(w) - 1)])
+  when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
+each as (select doc_id, len(s) as n, unnest(s) as g from sets),
+common as (select g, row_number() over () as k from (select g from each group by g having count(*) > 1)),
+flat as (select doc_id, n, k from each join common using (g)),
+links as (select a.doc_id as a, b.doc_id as b from flat a join flat b on a.k = b.k and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on r.b = l.a)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, r.component_id from sets s join (select a, min(b) as component_id from reach group by a) r on s.doc_id = r.a"""
+
+ORACLE_SQL = {
+    "op3_suffix_dedup": _SUFFIX_SQL, "op6_chat_format": _CHAT_SQL, "op7_decontaminate": _DECONTAMINATE_SQL, "op8_url_rules": _url_sql(),
+    "op10_jaccard_join": _JACCARD_SQL,
+}

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from larkspur.llm import chat_format, decontaminate, jaccard_join, language_id, lexicon_bpe, line_dedup, perplexity, suffix_dedup, token_store, url_rules
-from larkspur.llm.queries import HOST_RULES, tokenizer
+from larkspur.llm.queries import HOST_RULES, ORACLE_SQL, QUERIES, tokenizer
 
 DATA = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "\n\n", "a", "ü", "word " * 30000, "<|endoftext|> don't 12³ 日本 \x1c x", "😀", "it's  two   gaps \r\n"]
@@ -293,6 +294,16 @@ def test_op8_rules(spark):
     assert got[3][0] == "b.net" and got[5][0] == ""
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_equals_sql(spark, name):
+    db = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "conversations"):
+        db.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    rel, df = db.sql(ORACLE_SQL[name]), QUERIES[name](spark, DATA)
+    assert sorted(df.columns) == sorted(rel.columns)
+    assert counted(df.select(rel.columns).collect()) == Counter(rel.fetchall())
+
+
 def test_op10_against_all_pairs(spark):
     rng = random.Random(5)
     base = [[rng.choice("abcdefghijklmnop") * rng.randint(1, 9) for _ in range(120)] for _ in range(5)]
