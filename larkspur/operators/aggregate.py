@@ -94,16 +94,29 @@ def norm_clip(param: DataFrame, server: DataFrame, threshold: float | None = 0.5
 
 
 def norm_clip_spectral(param: DataFrame, server: DataFrame, threshold: float = 0.5, width: int = 4) -> DataFrame:
-    """As ``norm_clip`` with the spectral norm of each layer seen as a matrix of ``width`` columns."""
+    """As ``norm_clip`` with the spectral norm of each layer seen as a matrix of ``width`` columns, its last row filled up with zeros.
+
+    The norm is the root of the greatest eigenvalue of a layer's Gram matrix, which is summed by
+    Spark: however long a layer is, a task holds ``width ** 2`` numbers of it.
+    """
     import numpy as np
     import pandas as pd
 
+    if threshold <= 0 or width < 1:
+        raise ValueError("threshold and width must be positive")
+    layer = ["client_id", "layer"]
     delta = param.join(server.withColumnRenamed("value", "base"), KEYS).select("client_id", *KEYS, "base", (F.col("value") - F.col("base")).alias("d"))
-
-    def clip(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("pos")
-        norm = np.linalg.norm(f["d"].to_numpy().reshape(-1, width), 2)
-        return f.assign(d=f["d"] / max(1.0, norm / threshold))
-
-    clipped = delta.groupBy("client_id", "layer").applyInPandas(clip, delta.schema)
+    cell = F.struct((F.col("pos") % width).cast("int").alias("col"), "d")
+    rows = delta.groupBy(*layer, F.floor(F.col("pos") / width).alias("row")).agg(F.collect_list(cell).alias("x"))
+    products = F.flatten(F.transform("x", lambda a: F.transform("x", lambda b: F.struct(a["col"].alias("i"), b["col"].alias("j"), (a["d"] * b["d"]).alias("v")))))
+    gram = rows.select(*layer, F.explode(products).alias("p")).groupBy(*layer, "p.i", "p.j").agg(F.sum("p.v").alias("v"))
+
+    def norm(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        g = np.zeros((width, width))
+        g[f["i"], f["j"]] = f["v"]
+        return pd.DataFrame({"client_id": [key[0]], "layer": [key[1]], "norm": [max(0.0, np.linalg.eigvalsh(g)[-1]) ** 0.5]})
+
+    kinds = [f"{c} {delta.schema[c].dataType.simpleString()}" for c in layer]
+    norms = gram.groupBy(*layer).applyInPandas(norm, ", ".join([*kinds, "norm double"]))
+    clipped = delta.join(norms, layer).withColumn("d", F.col("d") / F.greatest(F.lit(1.0), F.col("norm") / threshold))
     return clipped.groupBy(*KEYS).agg((F.first("base") + F.sum("d")).alias("value"))

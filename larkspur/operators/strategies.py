@@ -49,6 +49,19 @@ def ternary(vector: DataFrame, sparsity: float) -> DataFrame:
     return ranked.withColumn("value", F.signum("value") * F.avg(F.abs("value")).over(own)).select("client_id", *KEYS, "value")
 
 
+def ternary_step(delta: DataFrame, sparsity: float, residual: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(what is sent, the residual kept for the next round), of clients or, with one client_id, of the server.
+
+    The residual of earlier rounds is added before the choice; absent coordinates are 0 on either side.
+    """
+    whole = delta.select("client_id", *KEYS, "value")
+    if residual is not None:
+        whole = whole.unionByName(residual.select("client_id", *KEYS, "value")).groupBy("client_id", *KEYS).agg(F.sum("value").alias("value"))
+    sent = ternary(whole, sparsity)
+    kept = whole.join(sent.withColumnRenamed("value", "sent"), ["client_id", *KEYS], "left")
+    return sent, kept.select("client_id", *KEYS, (F.col("value") - F.coalesce("sent", F.lit(0.0))).alias("value"))
+
+
 def sparse_mean(sparse: DataFrame, sizes: DataFrame) -> DataFrame:
     """Weighted mean where an absent coordinate is 0: by the total weight of all clients."""
     total = sizes.agg(F.sum("n_train").alias("total"))
@@ -57,8 +70,13 @@ def sparse_mean(sparse: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def missed_updates(updates: DataFrame, last_round: DataFrame) -> DataFrame:
-    """(client_id, layer, pos, value): the sum of sparse server updates after each client's last round."""
-    return updates.join(last_round, F.col("round") > F.col("last_round")).groupBy("client_id", *KEYS).agg(F.sum("value").alias("value"))
+    """(client_id, layer, pos, value): the sum of sparse server updates after each client's last round.
+
+    Updates are summed once for each different last round, of which there are no more than rounds.
+    """
+    ends = last_round.select("last_round").distinct()
+    since = updates.join(ends, F.col("round") > F.col("last_round")).groupBy("last_round", *KEYS).agg(F.sum("value").alias("value"))
+    return last_round.join(since, "last_round").select("client_id", *KEYS, "value")
 
 
 def sketch(vector: DataFrame, rows: int = 5, buckets: int = 64) -> DataFrame:
@@ -68,6 +86,35 @@ def sketch(vector: DataFrame, rows: int = 5, buckets: int = 64) -> DataFrame:
     return spread.groupBy("row", F.pmod(F.shiftright(h, 1), F.lit(buckets)).alias("bucket")).agg(F.sum(F.col("value") * F.when(F.pmod(h, F.lit(2)) == 0, 1).otherwise(-1)).alias("value"))
 
 
+def sketch_mean(sketches: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(row, bucket, value): the mean of clients' sketches weighted by n_train; a bucket that a client lacks is 0 there."""
+    total = sizes.agg(F.sum("n_train").alias("total"))
+    summed = sketches.join(sizes, "client_id").groupBy("row", "bucket").agg(F.sum(F.col("value") * F.col("n_train")).alias("s"))
+    return summed.crossJoin(F.broadcast(total)).select("row", "bucket", (F.col("s") / F.col("total")).alias("value"))
+
+
+def _sketch_sum(*parts: tuple[DataFrame, float]) -> DataFrame:
+    scaled = [t.select("row", "bucket", (F.col("value") * by).alias("value")) for t, by in parts]
+    both = scaled[0]
+    for t in scaled[1:]:
+        both = both.unionByName(t)
+    return both.groupBy("row", "bucket").agg(F.sum("value").alias("value"))
+
+
+def sketch_step(
+    mean: DataFrame, keys: DataFrame, k: int, momentum: DataFrame | None = None, error: DataFrame | None = None, rho: float = 0.9, lr: float = 1.0, rows: int = 5, buckets: int = 64
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(update, momentum, error) of one server round in sketch space.
+
+    momentum = rho * momentum + mean; error += lr * momentum; the update is the k heaviest keys of error,
+    whose own sketch is then taken off it.
+    """
+    momentum = mean if momentum is None else _sketch_sum((momentum, rho), (mean, 1.0))
+    error = _sketch_sum((momentum, lr)) if error is None else _sketch_sum((error, 1.0), (momentum, lr))
+    update = unsketch(error, keys, k, rows, buckets)
+    return update, momentum, _sketch_sum((error, 1.0), (sketch(update, rows, buckets), -1.0))
+
+
 def unsketch(table: DataFrame, keys: DataFrame, k: int, rows: int = 5, buckets: int = 64) -> DataFrame:
     """The k keys of greatest estimated magnitude, estimates being medians over rows."""
     h = F.xxhash64("key", "row")
@@ -76,14 +123,27 @@ def unsketch(table: DataFrame, keys: DataFrame, k: int, rows: int = 5, buckets:
     return found.orderBy(F.desc(F.abs("value")), "key").limit(k)
 
 
-def masked(params: DataFrame, modulus: int = 1 << 31, scale: int = 1 << 16) -> DataFrame:
-    """Adds masked: fixed-point values plus pairwise masks that cancel in the sum over clients (modulo ``modulus``)."""
-    clients = params.select(F.col("client_id").alias("peer")).distinct()
-    pairs = params.join(F.broadcast(clients), F.col("client_id") != F.col("peer"), "left")
-    low, high = F.least("client_id", "peer"), F.greatest("client_id", "peer")
-    mask = F.pmod(F.xxhash64(low, high, "layer", "pos"), F.lit(modulus)) * F.when(F.col("client_id") < F.col("peer"), -1).otherwise(1)
+def pair_seeds(clients: DataFrame, secret: str) -> DataFrame:
+    """(client_id, seed, sign): of each pair of clients the seed that both hold, once with either sign.
+
+    ``secret`` stands for what the pairs' key agreement gave; whoever lacks the seeds can't take a mask off.
+    """
+    ids = clients.select("client_id").distinct()
+    both = ids.join(ids.withColumnRenamed("client_id", "peer"), F.col("client_id") != F.col("peer"))
+    seed = F.sha2(F.concat_ws("|", F.lit(secret), F.least("client_id", "peer"), F.greatest("client_id", "peer")), 256)
+    return both.select("client_id", seed.alias("seed"), F.when(F.col("client_id") < F.col("peer"), -1).otherwise(1).alias("sign"))
+
+
+def masked(params: DataFrame, seeds: DataFrame, modulus: int = 1 << 31, scale: int = 1 << 16) -> DataFrame:
+    """Adds masked: fixed-point values plus pairwise masks that cancel in the sum over clients (modulo ``modulus``, a power of 2 up to 2**32).
+
+    A mask is the first 32 bits of the digest of a pair's seed and the coordinate.
+    """
+    digest = F.sha2(F.concat_ws("|", "seed", *KEYS), 256)
+    mask = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(modulus)) * F.col("sign")
     fixed = F.round(F.first("value") * scale).cast("long")
-    return pairs.groupBy("client_id", *KEYS).agg(F.first("value").alias("value"), F.pmod(fixed + F.coalesce(F.sum(mask), F.lit(0)), F.lit(modulus)).alias("masked"))
+    own = params.join(seeds, "client_id", "left").groupBy("client_id", *KEYS)
+    return own.agg(F.first("value").alias("value"), F.pmod(fixed + F.coalesce(F.sum(mask), F.lit(0)), F.lit(modulus)).alias("masked"))
 
 
 def unmasked_sum(masked_params: DataFrame, modulus: int = 1 << 31, scale: int = 1 << 16) -> DataFrame:

@@ -261,6 +261,48 @@ def a19_sparse_mean(spark, sf_dir):
     return _value(strategies.sparse_mean(strategies.ternary(_delta(param), 0.1), sizes))
 
 
+@query(f"""with {_PARAM}, {_STC}, w as (select d.client_id, d.layer, d.pos, 2 * d.value - coalesce(t.value, 0) as value from d left join t using (client_id, layer, pos)),
+k2 as (select *, row_number() over (partition by client_id order by abs(value) desc, layer, pos) as r from w),
+t2 as (select client_id, layer, pos, sign(value) * avg(abs(value)) over (partition by client_id) as value from k2 where r <= greatest(1, floor(64 * 0.1)))
+select w.client_id, w.layer, w.pos, round(coalesce(t2.value, 0), 6) as sent, round(w.value - coalesce(t2.value, 0), 6) as residual from w left join t2 using (client_id, layer, pos)""")
+def q8_residuals(spark, sf_dir):
+    """The second of two rounds with the same update: what the first didn't send comes on top."""
+    delta = _delta(client_params(spark, sf_dir)[0])
+    _, left = strategies.ternary_step(delta, 0.1)
+    sent, left = strategies.ternary_step(delta, 0.1, left)
+    keys = ["client_id", "layer", "pos"]
+    both = left.withColumnRenamed("value", "residual").join(sent.withColumnRenamed("value", "sent"), keys, "left")
+    return both.select(*keys, F.round(F.coalesce("sent", F.lit(0.0)), 6).alias("sent"), F.round("residual", 6).alias("residual"))
+
+
+@query(f"""with {_PARAM}, {_STC}, l as (select distinct client_id, client_id % 3 as last_round from param)
+select l.client_id, t.layer, t.pos, round(sum(t.value), 6) as value from l join t on t.client_id > l.last_round group by l.client_id, t.layer, t.pos""")
+def q8_missed_updates(spark, sf_dir):
+    """Client k's sparse update stands for the server's of round k; client k was last there in round k mod 3."""
+    param, sizes = client_params(spark, sf_dir)
+    updates = strategies.ternary(_delta(param), 0.1).withColumnRenamed("client_id", "round")
+    missed = strategies.missed_updates(updates, sizes.select("client_id", (F.col("client_id") % 3).alias("last_round")))
+    return missed.select("client_id", "layer", "pos", F.round("value", 6).alias("value"))
+
+
+@query(f"""with {_PARAM}, d as (select p.layer, p.pos, avg(p.value - h.value) as d from param p join host h using (layer, pos) where p.client_id < 4 group by p.layer, p.pos)
+select layer, pos, round(h.value + 0.5 * d, 6) as value, round(h.value / 10 - 0.5 * 2 * d, 6) as control from host h join d using (layer, pos)""")
+def q7_control_variates(spark, sf_dir):
+    """Half of the clients send updates and control updates of minus twice as much."""
+    param, _ = client_params(spark, sf_dir)
+    host, sent = _host(param), _delta(param).where("client_id < 4")
+    control = host.withColumn("value", F.col("value") / 10)
+    x, c = strategies.scaffold_step(host, control, sent, sent.withColumn("value", F.col("value") * -2), 0.5, 0.5)
+    return x.join(c.withColumnRenamed("value", "control"), ["layer", "pos"]).select("layer", "pos", F.round("value", 6).alias("value"), F.round("control", 6).alias("control"))
+
+
+@query(f"with {_PARAM} select p.layer, p.pos, round(2 * p.value + 0.1 * (p.value - h.value), 6) as value from param p join host h using (layer, pos) where p.client_id = 1")
+def q5_proximal_gradient(spark, sf_dir):
+    param, _ = client_params(spark, sf_dir)
+    own = param.where("client_id = 1").select("layer", "pos", "value")
+    return _value(strategies.proximal_gradient(own.withColumn("value", 2 * F.col("value")), own, _host(param), 0.1))
+
+
 _STEP = "h.value as value, g.value - h.value as delta"
 _OPT = {"adam": "0.99 * 1e-6 + 0.01 * m * m", "yogi": "1e-6 - 0.01 * m * m * sign(1e-6 - m * m)", "adagrad": "1e-6 + m * m", "none": "1e-6"}
 
@@ -293,7 +335,8 @@ def q4_momentum(spark, sf_dir):
 
 @query(f"with {_PARAM} select layer, pos, round(sum(round(value * 65536)) / 65536, 4) as value from param group by all")
 def q11_secure_sum(spark, sf_dir):
-    return strategies.unmasked_sum(strategies.masked(client_params(spark, sf_dir)[0])).select("layer", "pos", F.round("value", 4).alias("value"))
+    param, _ = client_params(spark, sf_dir)
+    return strategies.unmasked_sum(strategies.masked(param, strategies.pair_seeds(param, "agreed"))).select("layer", "pos", F.round("value", 4).alias("value"))
 
 
 @query()
