@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from larkspur.functions import samples, text
+from larkspur.functions import samples, stem, text
 from larkspur.operators import linalg, metrics, partition, rounds, settings
 from larkspur.plans.catalog import _ROUNDS, _SPLIT, _rounds, query
 from larkspur.sources import datasets
@@ -321,3 +321,10 @@ def j9_u3_silent_clients(spark, sf_dir):
     """Selected clients that sent nothing in this round."""
     heard = read(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return read(spark, sf_dir, "customer").select("c_custkey").join(heard, "c_custkey", "left_anti")
+
+
+@query()
+def x13_stems(spark, sf_dir):
+    """Stems of the lower-case letter words of all documents, in order."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    return read(spark, sf_dir, "documents").select("doc_id", stem.stems(words).alias("stems"))

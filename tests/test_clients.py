@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.functions import text
+from larkspur.functions import stem, text
 from larkspur.operators import linalg, partition, rounds, settings
 from larkspur.plans import clients
 from larkspur.sources import sinks
@@ -108,3 +108,25 @@ def test_rounds_of_an_empty_table(spark):
 def test_training_parts_are_of_few_classes(spark):
     rows = clients.r3_training_parts(spark, DATA).collect()
     assert rows and max(Counter(c for c, _ in {(r["client_id"], r["label"]) for r in rows}).values()) <= 2
+
+
+def test_stems(spark):
+    """Examples of the published rules."""
+    pairs = """caresses caress ponies poni ties tie caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl
+    sized size hopping hop tanned tan falling fall hissing hiss fizzed fizz failing fail filing file happy happi sky sky enjoy enjoy by by relational relat conditional condit rational ration
+    valenci valenc hesitanci hesit digitizer digit conformabli conform radicalli radic differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper
+    feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit sensibiliti sensibl triplicate triplic formative form formalize formal
+    electriciti electr electrical electr hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop adjustable adjust defensible defens
+    irritant irrit replacement replac adjustment adjust dependent depend adoption adopt communism commun activate activ angulariti angular homologous homolog effective effect
+    bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll dying die Running run spied spi died die""".split()
+    words, want = pairs[::2], pairs[1::2]
+    df = spark.createDataFrame([(0, words), (1, None), (2, []), (3, [None, "", "as"])], "id long, words array<string>")
+    got = {r["id"]: r["s"] for r in df.select("id", stem.stems(F.col("words")).alias("s")).collect()}
+    assert list(zip(words, got[0])) == list(zip(words, want)) and got[1] is None and got[2] == [] and got[3] == [None, "", "as"]
+
+
+def test_stems_of_documents(spark):
+    made = {r["doc_id"]: r["stems"] for r in clients.x13_stems(spark, DATA).collect()}
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect():
+        want = None if r["text"] is None else [stem.stem_word(w) for w in re.findall("[a-z]+", r["text"].lower())]
+        assert made[r["doc_id"]] == want
