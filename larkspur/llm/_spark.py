@@ -44,6 +44,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return out
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete what a job of ours wrote under the shared folder and nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

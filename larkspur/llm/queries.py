@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat_format, decontaminate, jaccard_join, language_id, lexicon_bpe, line_dedup, perplexity, suffix_dedup, token_store, url_rules
+from larkspur.llm import chat_format, context_tree, decontaminate, jaccard_join, language_id, lexicon_bpe, line_dedup, perplexity, suffix_dedup, token_store, url_rules
 from larkspur.llm._spark import shared_folder, table
 from larkspur.llm.tokens import Coder
 from larkspur.llm.url_rules import HostRule
@@ -83,7 +83,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_perplexity, op2_line_dedup, op3_suffix_dedup, op4_language_id, op5_token_store, op6_chat_format, op7_decontaminate, op8_url_rules, op9_lexicon_bpe, op10_jaccard_join)}
+def op13_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return context_tree.score(table(spark, sf_dir, "documents"), held)
+
+
+QUERIES = {f.__name__: f for f in (op1_perplexity, op2_line_dedup, op3_suffix_dedup, op4_language_id, op5_token_store, op6_chat_format, op7_decontaminate, op8_url_rules, op9_lexicon_bpe, op10_jaccard_join, op13_context_tree)}
 
 
 def _url_sql() -> str:
