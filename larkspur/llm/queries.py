@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat_format, context_tree, decontaminate, jaccard_join, language_id, lexicon_bpe, line_dedup, perplexity, suffix_dedup, token_store, url_rules
+from larkspur.llm import chat_format, context_tree, decontaminate, jaccard_join, language_id, lexicon_bpe, line_dedup, periodic_runs, perplexity, suffix_dedup, token_store, url_rules
 from larkspur.llm._spark import shared_folder, table
 from larkspur.llm.tokens import Coder
 from larkspur.llm.url_rules import HostRule
@@ -83,12 +83,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.detect(table(spark, sf_dir, "documents"), words_of=periodic_runs.with_planted_tail))
+
+
 def op13_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     return context_tree.score(table(spark, sf_dir, "documents"), held)
 
 
-QUERIES = {f.__name__: f for f in (op1_perplexity, op2_line_dedup, op3_suffix_dedup, op4_language_id, op5_token_store, op6_chat_format, op7_decontaminate, op8_url_rules, op9_lexicon_bpe, op10_jaccard_join, op13_context_tree)}
+QUERIES = {f.__name__: f for f in (op1_perplexity, op2_line_dedup, op3_suffix_dedup, op4_language_id, op5_token_store, op6_chat_format, op7_decontaminate, op8_url_rules, op9_lexicon_bpe, op10_jaccard_join, op12_periodic_runs, op13_context_tree)}
 
 
 def _url_sql() -> str:
@@ -161,7 +165,27 @@ links as (select a.doc_id as a, b.doc_id as b from flat a join flat b on a.k = b
 reach as (select doc_id as a, doc_id as b from documents union select r.a, l.b from reach r join links l on r.b = l.a)
 select s.doc_id, cast(len(s.s) as bigint) as n_shingles, r.component_id from sets s join (select a, min(b) as component_id from reach group by a) r on s.doc_id = r.a"""
 
+#: Runs are islands of equal words a period apart; of a stretch's periods the least counts.  The crc32 goes bit by bit.
+_RUNS_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w,
+  xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) as h from documents),
+g as (select doc_id, w, len(w) as n, h // 10 as g, h % 10 = 0 and len(w) > 0 as turned from d),
+a as (select *, case when turned then g % n else n end as a, case when turned then 1 + (n - g % n) // (3 + g % 8) else 1 end as p from g),
+words as (select doc_id, n, i, case when i >= a then w[a + (i - a) % p + 1] else w[i + 1] end as word from (select *, unnest(range(n)) as i from a)),
+pairs as (select x.doc_id, x.n, x.i, y.i - x.i as p from words x join words y on x.doc_id = y.doc_id and x.word = y.word and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+islands as (select doc_id, p, min(i) as start, count(*) + p as length from (
+  select doc_id, p, i, i - row_number() over (partition by doc_id, p order by i) as island from pairs) group by doc_id, p, island having count(*) + p >= greatest(6, 4 * p)),
+runs as (select doc_id, start, length, min(p) as period from islands group by all),
+top as (select doc_id, count(*) as n_runs, max({'length': length, 'start': -start, 'period': -period}) as t,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as lines from runs group by doc_id),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from runs),
+kept as (select doc_id, string_agg(word, ' ' order by i) as body from words anti join gone using (doc_id, i) group by doc_id)
+select doc_id, coalesce(n_runs, 0) as n_runs, -t.start as start, t.length as length, -t.period as period, (1000 * t.length) // (-t.period) as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(body, '')) as collapsed_sha256
+from a left join top using (doc_id) left join kept using (doc_id)"""
+
 ORACLE_SQL = {
     "op3_suffix_dedup": _SUFFIX_SQL, "op6_chat_format": _CHAT_SQL, "op7_decontaminate": _DECONTAMINATE_SQL, "op8_url_rules": _url_sql(),
-    "op10_jaccard_join": _JACCARD_SQL,
+    "op10_jaccard_join": _JACCARD_SQL, "op12_periodic_runs": _RUNS_SQL,
 }
