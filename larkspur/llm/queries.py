@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat_format, context_tree, decontaminate, jaccard_join, language_id, lexicon_bpe, line_dedup, periodic_runs, perplexity, suffix_dedup, token_store, url_rules
+from larkspur.llm import chat_format, context_tree, decontaminate, jaccard_join, language_id, lexicon_bpe, line_dedup, periodic_runs, perplexity, suffix_dedup, token_store, url_rules, vector_codes
 from larkspur.llm._spark import shared_folder, table
 from larkspur.llm.tokens import Coder
 from larkspur.llm.url_rules import HostRule
@@ -83,6 +83,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    judged = vector_codes.with_label_error(codes)
+    return judged.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.detect(table(spark, sf_dir, "documents"), words_of=periodic_runs.with_planted_tail))
 
@@ -92,7 +98,7 @@ def op13_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(table(spark, sf_dir, "documents"), held)
 
 
-QUERIES = {f.__name__: f for f in (op1_perplexity, op2_line_dedup, op3_suffix_dedup, op4_language_id, op5_token_store, op6_chat_format, op7_decontaminate, op8_url_rules, op9_lexicon_bpe, op10_jaccard_join, op12_periodic_runs, op13_context_tree)}
+QUERIES = {f.__name__: f for f in (op1_perplexity, op2_line_dedup, op3_suffix_dedup, op4_language_id, op5_token_store, op6_chat_format, op7_decontaminate, op8_url_rules, op9_lexicon_bpe, op10_jaccard_join, op11_vector_codes, op12_periodic_runs, op13_context_tree)}
 
 
 def _url_sql() -> str:
@@ -185,7 +191,32 @@ select doc_id, coalesce(n_runs, 0) as n_runs, -t.start as start, t.length as len
   sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(body, '')) as collapsed_sha256
 from a left join top using (doc_id) left join kept using (doc_id)"""
 
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Plain k-means of every part over all entries, round by round."""
+    def assigned(k: int) -> str:
+        return f"""a{k} as materialized (select r, vec_id, label, p, v, min_by(e, (d, e)) as e, min(d) as d from (
+  select c.r, c.vec_id, c.label, c.p, c.v, b.e, list_sum(list_transform(list_zip(c.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d
+  from cells c join b{k} b on c.p = b.p) group by all)"""
+
+    def moved(k: int) -> str:
+        return f"""m{k} as (select p, e, i, cast(floor(sum(x) / count(*)) as bigint) as x from (select p, e, unnest(v) as x, unnest(range(len(v))) as i from a{k}) group by p, e, i),
+b{k + 1} as materialized (select p, e, coalesce(n.v, b.v) as v from b{k} b left join (select p, e, list(x order by i) as v from m{k} group by p, e) n using (p, e))"""
+
+    steps = ",\n".join(x for k in range(rounds) for x in (assigned(k), moved(k)))
+    return f"""
+with sound as (select vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+kept as (select *, row_number() over (order by vec_id nulls last, v) - 1 as r from sound),
+cells as materialized (select r, vec_id, label, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] as v from kept, (select unnest(range({parts})) as p)),
+b0 as materialized (select p, r as e, v from cells where r < {entries}),
+{steps},
+{assigned(rounds)},
+books as (select sha256(string_agg(cast(x as varchar), ',' order by p, e, i)) as h from (select p, e, unnest(v) as x, unnest(range(len(v))) as i from b{rounds})),
+codes as (select vec_id, label, r, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(d) as bigint) as error from a{rounds} group by vec_id, label, r)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, h as codebooks_sha256 from codes, books"""
+
+
 ORACLE_SQL = {
     "op3_suffix_dedup": _SUFFIX_SQL, "op6_chat_format": _CHAT_SQL, "op7_decontaminate": _DECONTAMINATE_SQL, "op8_url_rules": _url_sql(),
-    "op10_jaccard_join": _JACCARD_SQL, "op12_periodic_runs": _RUNS_SQL,
+    "op10_jaccard_join": _JACCARD_SQL, "op11_vector_codes": _codes_sql(), "op12_periodic_runs": _RUNS_SQL,
 }
