@@ -33,6 +33,7 @@ Extra columns are not looked at.
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from math import lgamma
 
@@ -175,8 +176,15 @@ class Block:
 
     def words(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """(different words by first place, the word of each place, words of each document, times of each word in training texts)."""
-        known: dict[bytes, int] = {}
-        at = np.array([known.setdefault(w, len(known)) for w in self.raw.split()], np.int64)
+        known: defaultdict[bytes, int] = defaultdict()
+        known.default_factory = known.__len__
+        parts, a = [], 0
+        while a < len(self.raw):  # some whole texts at a time: a list of words takes much more than their bytes
+            b = self.raw.find(b"\n", min(a + _RUN, len(self.raw) - 1)) + 1
+            own = self.raw[a:b].split()
+            parts.append(np.fromiter(map(known.__getitem__, own), np.int32, len(own)))
+            a = b
+        at = np.concatenate(parts)
         blanks = np.concatenate([[0], np.cumsum(np.frombuffer(self.raw, np.uint8) == 32)])
         n = np.where(self.sizes > 1, blanks[self.starts + self.sizes] - blanks[self.starts] + 1, 0)
         return list(known), at, n, np.bincount(at[np.repeat(self.train, n)], minlength=len(known))
