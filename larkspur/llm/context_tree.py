@@ -47,9 +47,9 @@ from larkspur.llm._spark import checkpointed, in_batches, removed, shared_folder
 from larkspur.llm._words import as_bytes
 
 DEPTH = 5
-_BLOCK = 32 << 20
-_RUN = 1 << 21
-_PACK = 1 << 19
+_BLOCK = 8 << 20
+_RUN = 1 << 20
+_PACK = 1 << 18
 _ROWS = 1 << 16
 _NEAR = 3
 _LGAMMA = np.array([np.inf] + [lgamma(k / 2) for k in range(1, 4001)])
