@@ -47,7 +47,7 @@ from larkspur.llm._spark import checkpointed, in_batches, removed, shared_folder
 from larkspur.llm._words import as_bytes
 
 DEPTH = 5
-_BLOCK = 8 << 20
+_BLOCK = 24 << 20
 _RUN = 1 << 20
 _PACK = 1 << 18
 _ROWS = 1 << 16
@@ -372,7 +372,7 @@ def _scored(blocks: DataFrame, told: DataFrame, depth: int) -> DataFrame:
         words, at, n_words, n = b.words()
         n = np.append(n, b.train.sum()).astype(np.float64)
         n[-1 - key[key < 0]] = value[key < 0]
-        doc = np.repeat(np.arange(len(n_words)), n_words)
+        doc = np.repeat(np.arange(len(n_words), dtype=np.int32), n_words)
         logs, known = np.log10(n + 0.5), n > 0
         total = lambda x: np.bincount(doc, x[:-1][at], len(n_words)) + x[-1]
         key, value = key[key >= 0], value[key >= 0]
