@@ -160,6 +160,17 @@ def _matrix(column: pa.Array, kind: type, shape: tuple[int, ...]) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), *shape).copy()
 
 
+def _vectors(column: pa.Array, parts: int, width: int) -> np.ndarray:
+    """A batch's vectors; each row holds them in two bytes a component, or in four."""
+    rows = column.to_pylist()
+    out = np.empty((len(rows), parts * width), np.int64)
+    for kind in (np.int16, np.int32):
+        own = [k for k, x in enumerate(rows) if len(x) == parts * width * kind().itemsize]
+        if own:
+            out[own] = np.frombuffer(b"".join(rows[k] for k in own), kind).reshape(len(own), -1)
+    return out.reshape(len(rows), parts, width)
+
+
 def _packed(values: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes() for x in values], pa.binary())
 
@@ -183,18 +194,19 @@ def _first(rows: DataFrame, books: np.ndarray, b: int, kinds: str) -> DataFrame:
 
 
 def _state(batch: pa.RecordBatch, v: np.ndarray, bounds: list[Bounds], depth: np.ndarray) -> pa.RecordBatch:
-    clip = lambda x: np.minimum(x, np.iinfo(np.int32).max).astype(np.int32)
+    clip = lambda x: np.minimum(x, np.iinfo(np.uint16).max).astype(np.uint16)  # noqa: E731  (less is still a lower bound)
+    short = np.int16 if v.size == 0 or np.abs(v).max() < 1 << 15 else np.int32
     return pa.RecordBatch.from_pydict({
-        "vec_id": batch.column("vec_id"), "label": batch.column("label"), "v": _packed(v.astype(np.int32)),
+        "vec_id": batch.column("vec_id"), "label": batch.column("label"), "v": _packed(v.astype(short)),
         "near": _packed(np.stack([x.near for x in bounds], 1)), "low": _packed(clip(np.stack([x.low for x in bounds], 1))),
         "outer": _packed(clip(np.stack([x.outer for x in bounds], 1))), "depth": _packed(depth.astype(np.uint8)),
     })
 
 
 def _held(batch: pa.RecordBatch, parts: int, width: int, b: int) -> tuple[np.ndarray, list[Bounds]]:
-    v = _matrix(batch.column("v"), np.int32, (parts, width)).astype(np.int64)
-    near, low = (_matrix(batch.column(c), kind, (parts, b + 1)) for c, kind in (("near", np.uint8), ("low", np.int32)))
-    outer = _matrix(batch.column("outer"), np.int32, (parts,)).astype(np.int64)
+    v = _vectors(batch.column("v"), parts, width)
+    near, low = (_matrix(batch.column(c), kind, (parts, b + 1)) for c, kind in (("near", np.uint8), ("low", np.uint16)))
+    outer = _matrix(batch.column("outer"), np.uint16, (parts,)).astype(np.int64)
     return v, [Bounds(near[:, p].copy(), low[:, p].astype(np.int64), outer[:, p].copy()) for p in range(parts)]
 
 
@@ -224,7 +236,7 @@ def _sums(state: DataFrame, books: np.ndarray, b: int) -> tuple[np.ndarray, np.n
         for batch in batches:
             any_ = any_ or batch.num_rows > 0
             code = _matrix(batch.column("near"), np.uint8, (parts, b + 1))[:, :, 0]
-            v = _matrix(batch.column("v"), np.int32, (parts, width)).astype(np.int64)
+            v = _vectors(batch.column("v"), parts, width)
             depths += np.bincount(_matrix(batch.column("depth"), np.uint8, (parts,)).ravel(), minlength=256)
             for p in range(parts):
                 n[p] += np.bincount(code[:, p], minlength=entries)
@@ -300,7 +312,7 @@ def compress(
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column("v"), np.int32, (parts, width)).astype(np.int64)
+            v = _vectors(batch.column("v"), parts, width)
             near = np.frombuffer(b"".join(batch.column("near").to_pylist()), np.uint8).reshape(len(v), parts, -1)
             code = near[:, :, 0] if len(v) else np.zeros((0, parts), np.uint8)
             error = ((v - books[np.arange(parts), code]) ** 2).sum((1, 2)) if len(v) else np.zeros(0, np.int64)
