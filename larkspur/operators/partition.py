@@ -39,48 +39,6 @@ def even_owner(place: Column, total: int, parts: int) -> Column:
     return F.when(place < more * (size + 1), F.floor(place / (size + 1))).otherwise(more + F.floor((place - more * (size + 1)) / max(size, 1))).cast("int")
 
 
-def average_skew_plan(class_sizes: dict[int, int], clients: int, per_client: int, classes: int, seed: int = 0) -> list[tuple[int, int, int, int]]:
-    """(client_id, class, first, end): each client takes ``classes`` classes that aren't used up, in turn.
-
-    The loop is over clients and classes, never over samples.
-    """
-    import random
-
-    rng, used, plan = random.Random(seed), dict.fromkeys(class_sizes, 0), []
-    for client in range(clients):
-        left = [c for c in sorted(class_sizes) if used[c] < class_sizes[c]]
-        for c in rng.sample(left, min(classes, len(left))):
-            end = min(class_sizes[c], used[c] + per_client // classes)
-            plan.append((client, c, used[c], end))
-            used[c] = end
-    return plan
-
-
-def gaussian_skew_plan(class_sizes: dict[int, int], clients: int, per_client: int, classes: int, scale: float, seed: int = 0) -> list[tuple[int, int, int, int]]:
-    """As ``average_skew_plan``, with each chosen class spread over its neighbours by rounded normals."""
-    import numpy as np
-
-    rng, used, plan, names = np.random.default_rng(seed), dict.fromkeys(class_sizes, 0), [], sorted(class_sizes)
-    for client in range(clients):
-        for centre in rng.choice(len(names), min(classes, len(names)), replace=False):
-            drawn = np.rint(rng.normal(centre, scale, per_client // classes)).astype(int) % len(names)
-            for k, n in zip(*np.unique(drawn, return_counts=True)):
-                c = names[k]
-                end = min(class_sizes[c], used[c] + int(n))
-                if end > used[c]:
-                    plan.append((client, c, used[c], end))
-                used[c] = end
-    return plan
-
-
-def by_plan(samples: DataFrame, label: str, key: str, plan: list[tuple[int, int, int, int]], seed: int = 0) -> DataFrame:
-    """Adds client_id: the plan's ranges of md5 ranks within each class."""
-    rows = samples.sparkSession.createDataFrame(plan, "client_id int, _class long, _first long, _end long")
-    ranked = class_ranks(samples, label, key, seed).withColumnRenamed("rank", "_r")
-    fits = (F.col(label) == F.col("_class")) & (F.col("_r") >= F.col("_first")) & (F.col("_r") < F.col("_end"))
-    return ranked.join(F.broadcast(rows), fits).drop("_r", "_class", "_first", "_end")
-
-
 def class_ranks(samples: DataFrame, label: str, key: str, seed: int = 0) -> DataFrame:
     """Adds rank: the md5 rank within the class, from ranks within ranges of the hash, so that no task holds a class."""
     ranged = samples.withColumn("_d", draw(key, seed)).withColumn("_b", F.substring("_d", 1, 3))
@@ -90,45 +48,6 @@ def class_ranks(samples: DataFrame, label: str, key: str, seed: int = 0) -> Data
     return ranged.join(before, [label, "_b"]).withColumn("rank", F.col("_o") + own).drop("_d", "_b", "_o")
 
 
-def client_splits(samples: DataFrame, label: str, key: str, clients: int, classes: int, per_client: int | None = None, ratio: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 0) -> DataFrame:
-    """Adds client_id and split: skewed training rows, and validation and test rows dealt out evenly.
-
-    A client has int(size * ratio) rows of each part.  The first rows in md5 order
-    are for training, the next for validation, then test.  A client's training rows
-    come from ``classes`` classes that aren't used up yet (in turn, by class number
-    plus client), as many rows of each; what a class lacks isn't made up for.
-    """
-    total = samples.count()
-    size = min(per_client or total, total // clients)
-    n_train, n_val, n_test = (int(size * r / sum(ratio)) for r in ratio)
-    if min(n_train, n_val, n_test) < 1:
-        raise ValueError("too few samples for so many clients")
-    placed = _ranked(samples, key, seed)
-    ends = [n_train * clients, (n_train + n_val) * clients, (n_train + n_val + n_test) * clients]
-    later = placed.where((F.col("_r") >= ends[0]) & (F.col("_r") < ends[2]))
-    is_val = F.col("_r") < ends[1]
-    later = later.withColumn("split", F.when(is_val, "val").otherwise("test")).withColumn("client_id", F.when(is_val, F.floor((F.col("_r") - ends[0]) / n_val)).otherwise(F.floor((F.col("_r") - ends[1]) / n_test)).cast("int")).drop("_r")
-    train = placed.where(F.col("_r") < ends[0]).drop("_r")
-    sizes = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}  # a row for each class
-    used, plan = dict.fromkeys(sizes, 0), []
-    for client in range(clients):
-        left = [c for c in sorted(sizes) if used[c] < sizes[c]]
-        for k in range(min(classes, len(left))):
-            c = left[(client + k) % len(left)]
-            end = min(sizes[c], used[c] + n_train // classes)
-            plan.append((client, c, used[c], end))
-            used[c] = end
-    rows = samples.sparkSession.createDataFrame(plan, "client_id int, _class long, _first long, _end long")
-    fits = (F.col(label) == F.col("_class")) & (F.col("rank") >= F.col("_first")) & (F.col("rank") < F.col("_end"))
-    skewed = class_ranks(train, label, key, seed + 1).join(F.broadcast(rows), fits).withColumn("split", F.lit("train")).drop("_class", "_first", "_end", "rank")
-    return skewed.unionByName(later)
-
-
-def _ranked(samples: DataFrame, key: str, seed: int) -> DataFrame:
-    """Adds _r: the md5 rank over all samples."""
-    return class_ranks(samples.withColumn("_all", F.lit(0)), "_all", key, seed).withColumnRenamed("rank", "_r").drop("_all")
-
-
 def split_cells(cells: DataFrame, by: str, total: int, parts: int, non_iid: bool = False) -> DataFrame:
     """Adds client_id to the cells of a matrix: even runs of its columns (by='col': vertical) or rows."""
     if by == "col" and non_iid:

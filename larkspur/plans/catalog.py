@@ -212,25 +212,6 @@ def r5_iid(spark, sf_dir):
     return partition.iid(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 7)
 
 
-@query("select k as col, cast(case when k < 4 * 11 then k // 11 else 4 + (k - 44) // 10 end as int) as owner from (select unnest(range(64)) as k)")
-def r6_r9_even_owners(spark, sf_dir):
-    return spark.range(64).select(F.col("id").alias("col"), partition.even_owner(F.col("id"), 64, 6).alias("owner"))
-
-
-@query()
-def r3_average_skew(spark, sf_dir):
-    samples = read(spark, sf_dir, "embeddings").select("vec_id", "label")
-    sizes = {r["label"]: r["count"] for r in samples.groupBy("label").count().collect()}
-    return partition.by_plan(samples, "label", "vec_id", partition.average_skew_plan(sizes, 8, sum(sizes.values()) // 8, 2))
-
-
-@query()
-def r4_gaussian_skew(spark, sf_dir):
-    samples = read(spark, sf_dir, "embeddings").select("vec_id", "label")
-    sizes = {r["label"]: r["count"] for r in samples.groupBy("label").count().collect()}
-    return partition.by_plan(samples, "label", "vec_id", partition.gaussian_skew_plan(sizes, 8, sum(sizes.values()) // 8, 2, 1.0))
-
-
 @query("select o_custkey, count(*) as n from orders group by all order by n desc, o_custkey limit 20")
 def t1_top_owners(spark, sf_dir):
     return read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_custkey").limit(20)

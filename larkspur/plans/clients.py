@@ -125,16 +125,6 @@ def p12_strategy_settings(spark, sf_dir):
     return settings.for_strategy(_settings(spark, sf_dir), "strategy", {"data$$clients": "S1"})
 
 
-@query("""with r as (select 'run-2024-01-01-' || lpad(cast(c_custkey as varchar), 8, '0') as run, c_nationkey from customer),
-h as (select 'run-2024-01-01-' || lpad(cast(o_custkey as varchar), 8, '0') || '-x' as run, o_orderkey from orders)
-select r.run, h.run as history_run, c_nationkey, o_orderkey from r join h on starts_with(h.run, r.run)""")
-def j19_runs_with_history(spark, sf_dir):
-    name = lambda c: F.concat(F.lit("run-2024-01-01-"), F.lpad(F.col(c).cast("string"), 8, "0"))
-    runs = read(spark, sf_dir, "customer").select(name("c_custkey").alias("run"), "c_nationkey")
-    history = read(spark, sf_dir, "orders").select(F.concat(name("o_custkey"), F.lit("-x")).alias("run"), "o_orderkey")
-    return settings.with_history(runs, history).select("run", "history_run", "c_nationkey", "o_orderkey")
-
-
 @query("select vec_id, list_position(embedding, list_max(embedding)) - 1 as place, len(embedding) as n from embeddings")
 def p2_p4_flat_arg_max(spark, sf_dir):
     """A sample of four rows of 16, made flat, and the place of its greatest value."""
@@ -281,27 +271,6 @@ def w1_class_ranks(spark, sf_dir):
     return partition.class_ranks(read(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id").select("vec_id", "label", F.col("rank").cast("long").alias("rank"))
 
 
-@query("""with g as (select vec_id, label, row_number() over (order by md5(vec_id || '-0'), vec_id) - 1 as r, count(*) over () // 5 as size from embeddings),
-z as (select *, cast(floor(size * 0.8) as bigint) as tr, cast(floor(size * 0.1) as bigint) as va from g)
-select vec_id, cast(case when r < 5 * tr + 5 * va then (r - 5 * tr) // va else (r - 5 * tr - 5 * va) // va end as int) as client_id, case when r < 5 * tr + 5 * va then 'val' else 'test' end as split from z where r >= 5 * tr and r < 5 * tr + 10 * va""")
-def r3_held_out_parts(spark, sf_dir):
-    """Validation and test rows of the skewed split; its training rows are held against a plain version in the tests."""
-    made = partition.client_splits(read(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id", 5, 2)
-    return made.where("split <> 'train'").select("vec_id", "client_id", "split")
-
-
-@query()
-def r3_training_parts(spark, sf_dir):
-    return partition.client_splits(read(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", "vec_id", 5, 2).where("split = 'train'").select("vec_id", "label", "client_id")
-
-
-@query()
-def s11_s13_power_law_rows(spark, sf_dir):
-    """Rows of a matrix with singular values k ** -1, dealt out to 4 owners by rows."""
-    made = linalg.power_law_rows(spark, 200, 24, 1.0)
-    return made.select("row", F.transform("x", lambda v: F.round(v, 9)).alias("x"), partition.even_owner(F.col("row"), 200, 4).alias("client_id"))
-
-
 @query("with p as (select vec_id % 8 as client_id, k - 1 as k, avg(cast(embedding[k] as double)) as v from embeddings, (select unnest(range(1, 65)) as k) group by all), h as (select k, avg(v) as v from p group by k) select client_id, k, round((h.v - p.v) / 0.1, 5) as grad from p join h using (k)")
 def p14_gradient(spark, sf_dir):
     param, _ = client_params(spark, sf_dir)

@@ -1,6 +1,5 @@
 """What SQL can't say of the client, settings and matrix operators, against plain versions."""
 
-import hashlib
 import json
 import re
 from collections import Counter
@@ -17,29 +16,6 @@ from larkspur.sources import sinks
 DATA = "/root/testdata/sf0.001"
 
 
-def test_skewed_training_parts(spark):
-    rows = [(k, k % 3) for k in range(200)]
-    df = spark.createDataFrame(rows, "id long, label int")
-    made = partition.client_splits(df, "label", "id", 4, 2)
-    got = {r["id"]: (r["client_id"], r["split"]) for r in made.collect()}
-    digest = lambda k, seed: hashlib.md5(f"{k}-{seed}".encode()).hexdigest()
-    order = sorted((k for k, _ in rows), key=lambda k: (digest(k, 0), k))
-    train, val, test = order[:160], order[160:180], order[180:200]
-    own = {c: sorted((k for k in train if k % 3 == c), key=lambda k: (digest(k, 1), k)) for c in range(3)}
-    used, want = dict.fromkeys(own, 0), {}
-    for client in range(4):
-        left = [c for c in sorted(own) if used[c] < len(own[c])]
-        for j in range(min(2, len(left))):
-            c = left[(client + j) % len(left)]
-            for k in own[c][used[c] : used[c] + 20]:
-                want[k] = client, "train"
-            used[c] = min(len(own[c]), used[c] + 20)
-    want |= {k: (n // 5, "val") for n, k in enumerate(val)} | {k: (n // 5, "test") for n, k in enumerate(test)}
-    assert got == want
-    with pytest.raises(ValueError):
-        partition.client_splits(df, "label", "id", 100, 2)
-
-
 def test_features_are_not_dealt_out_by_class(spark):
     with pytest.raises(ValueError):
         partition.split_cells(spark.range(1).selectExpr("id as row", "id as col", "1.0 as value"), "col", 1, 1, non_iid=True)
