@@ -7,15 +7,22 @@ discounts from them, and the result is kept as arrays sorted by hashed key.
 What is counted grows with the corpus, and every language has its own model and
 band.  A context has at most 256 next bytes, so no key of these joins is hot.
 
-A model of at most ``most_keys`` n-grams goes to all tasks (some 16 bytes an
-n-gram; its size is counted first).  A larger one stays distributed: documents
-are dealt evenly into blocks, each block asks for its different n-grams by a
-join, and is scored with the sorted arrays that come back.  Both ways give the
-same perplexities.
-
-A document's perplexity is over its 5-grams, whatever their number; one without
+No text is priced by a model that was learnt from it: texts fall into two halves by
+their hash (so all copies of a text into one), each half has a model of its own for
+every language, and the texts of one half are priced by the other's.  What the other
+half never saw backs off to shorter n-grams.  A text counts an n-gram once, however
+often it holds it, so that one long alien text teaches little to the next.
+
+Models of at most ``most_keys`` n-grams of all lengths go to all tasks (some 16
+bytes an n-gram; they are counted first).  Larger ones stay distributed: documents
+are dealt evenly into blocks, the different n-grams of all blocks are priced by
+joins with one level after the other, and each block is scored with the sorted
+arrays that come back.  Both ways give the same perplexities.
+
+A document's perplexity is that of its 5-grams for each code point (scripts of two
+or three bytes a letter are not cheaper for that), whatever their number; one without
 any has none, and no band rejects it.  The bands of a language come from the
-quartiles of its documents' log-perplexities: ``reach`` times their distance
+quartiles of its documents' log-perplexities: ``reach`` times their distance (0.1 at least)
 beyond either, so the bulk of a corpus is kept whatever its language is.
 
 Base rules look at words (runs of bytes that are no ASCII white space).  Null
@@ -31,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm._spark import checkpointed, in_batches
@@ -62,7 +69,10 @@ def _grams(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 def count_grams(documents: DataFrame, langs: list[str], order: int = ORDER) -> DataFrame:
-    """(block, slot, gram, n) over all of (block, text, lang); slot is the place of the language in ``langs``."""
+    """(block, slot, gram, n) over all of (block, text, lang); slot is the place of the language in ``langs``.
+
+    An n-gram counts once for each text (of a very long text: each 2**19 bytes) that holds it.
+    """
     slots = {x: k for k, x in enumerate(langs)}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,9 +97,12 @@ def count_grams(documents: DataFrame, langs: list[str], order: int = ORDER) -> D
             for block in np.unique(blocks):
                 mine = np.flatnonzero(blocks == block)
                 for doc, key in _grams([texts[k] for k in mine], order):
-                    keys = np.sort(slot[mine][doc] << _SHIFT * order | key)
+                    keys = slot[mine][doc] << _SHIFT * order | key
+                    at = np.argsort(keys, kind="stable")
+                    keys, doc = keys[at], doc[at]
                     edge = np.flatnonzero(np.diff(keys, prepend=-1))
-                    held.setdefault(int(block), []).append((keys[edge], np.diff(np.append(edge, len(keys)))))
+                    first = (np.diff(keys, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0)
+                    held.setdefault(int(block), []).append((keys[edge], np.add.reduceat(first.astype(np.int64), edge) if len(edge) else edge))
             if sum(len(k) for own in held.values() for k, _ in own) > _HELD and merged() > _HELD // 2:
                 yield from given()
         if held:
@@ -182,7 +195,7 @@ class Model:
         return keys[at] == want, at
 
     def mean_log(self, texts: list[bytes], slots: list[int]) -> np.ndarray:
-        """Minus the mean log-probability of each text's n-grams: log-perplexity; nan without n-grams."""
+        """Minus the log-probability of each text's n-grams for each code point that they end in: log-perplexity; nan without any."""
         order, total, n = len(self.levels), np.zeros(len(texts)), np.zeros(len(texts))
         for doc, key in _grams(texts, order):
             # Equal n-grams of a run are looked up once.
@@ -191,7 +204,7 @@ class Model:
             keys = ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))]
             value = self.log_probability(keys >> _SHIFT * order, keys & (1 << _SHIFT * order) - 1)
             total += np.bincount(doc, value[np.searchsorted(keys, full)], len(texts))
-            n += np.bincount(doc, minlength=len(texts))
+            n += np.bincount(doc, (key & 0xC0) != 0x80, len(texts))
         return -total / np.where(n, n, np.nan)
 
 
@@ -202,6 +215,21 @@ def languages(documents: DataFrame) -> list[str]:
     return sorted(r["lang"] for r in found)
 
 
+def half() -> Column:
+    """0 or 1, by the text."""
+    return F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2))
+
+
+def by_halves(documents: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(documents to learn from, documents to price, names): ``lang`` is the language with its own half, or the other one.
+
+    The names of a language's halves stand side by side, so a slot's half is its language.
+    """
+    lang, own = F.coalesce("lang", F.lit(_OTHER)), half()
+    named = lambda h: documents.withColumn("lang", F.concat(lang, F.lit("\0"), h.cast("string")))
+    return named(own), named(1 - own), [f"{x}\0{h}" for x in languages(documents) for h in (0, 1)]
+
+
 def train(documents: DataFrame, langs: list[str], weights: bool = True) -> list[DataFrame]:
     """The levels of ``kneser_ney`` from all rows of (text, lang)."""
     counts = count_grams(documents.select(F.lit(0).alias("block"), "text", "lang"), langs)
@@ -219,7 +247,7 @@ def load(langs: list[str], levels: list[DataFrame]) -> Model:
 
 
 def top_only(langs: list[str], slot: np.ndarray, gram: np.ndarray, p: np.ndarray) -> Model:
-    """A model for texts all of whose n-grams are known: nothing backs off, so the highest level is enough."""
+    """A model for texts all of whose n-grams have a price of their own."""
     none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     return Model(langs, [none] * (ORDER - 1) + [(slot, gram, p, np.ones(len(p), np.float32))])
 
@@ -262,7 +290,7 @@ def _measured(rows: pa.RecordBatch | pa.Table, model: Model) -> dict[str, pa.Arr
     logs = model.mean_log(texts, slots)
     base = np.array([base_measures(t) for t in texts], np.int64).reshape(-1, len(_BASE))
     columns = {c: pa.array(base[:, k]) for k, c in enumerate(_BASE)}
-    return {"doc_id": rows.column("doc_id"), "slot": pa.array(slots, pa.int32()), **columns, "log_perplexity": pa.array(logs, pa.float64(), mask=np.isnan(logs))}
+    return {"doc_id": rows.column("doc_id"), "slot": pa.array([x // 2 for x in slots], pa.int32()), **columns, "log_perplexity": pa.array(logs, pa.float64(), mask=np.isnan(logs))}
 
 
 def measure(documents: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
@@ -277,17 +305,33 @@ def measure(documents: DataFrame, model: Model, id_col: str = "doc_id") -> DataF
     return in_batches(rows, work, schema)
 
 
-def measure_joined(documents: DataFrame, langs: list[str], top: DataFrame, id_col: str = "doc_id", block_bytes: int = _BLOCK_BYTES) -> DataFrame:
-    """As ``measure``, for the documents that the model was learnt from, with the model left distributed.
+def prices(asked: DataFrame, levels: list[DataFrame], langs: list[str]) -> DataFrame:
+    """(slot, gram, p) of different n-grams (slot, gram) of the highest order, by a join with each level and its contexts."""
+    unseen = load(langs, levels[:1]).unseen  # a number for each language; the first level has 256 grams of each at most
+    out = asked.withColumns({"p": F.lit(None).cast("double"), "w": F.lit(1.0)})
+    for k in range(len(levels), 0, -1):
+        short = F.col("gram") % F.lit(1 << _SHIFT * k)
+        own = levels[k - 1].select("slot", F.col("gram").alias("_g"), F.col("p").alias("_p"))
+        out = out.withColumn("_g", short).join(own, ["slot", "_g"], "left").withColumn("p", F.coalesce("p", F.col("w") * F.col("_p"))).drop("_p", "_g")
+        if k > 1:
+            context = levels[k - 2].select("slot", F.col("gram").alias("_g"), F.col("back").alias("_b"))
+            out = out.withColumn("_g", F.shiftright(short, _SHIFT)).join(context, ["slot", "_g"], "left")
+            out = out.withColumn("w", F.when(F.col("p").isNull(), F.col("w") * F.coalesce("_b", F.lit(1.0))).otherwise(F.col("w"))).drop("_b", "_g")
+    rest = F.element_at(F.array(*[F.lit(float(np.exp(x))) for x in unseen]), F.col("slot") + 1)
+    return out.select("slot", "gram", F.coalesce("p", F.col("w") * rest).alias("p"))
 
-    All their n-grams are in the highest level, so nothing backs off and only
-    that level is joined.  A block holds some ``block_bytes`` of texts (one text
-    at least), dealt round-robin so that no hot value fills one.
+
+def measure_joined(documents: DataFrame, langs: list[str], levels: list[DataFrame], id_col: str = "doc_id", block_bytes: int = _BLOCK_BYTES) -> DataFrame:
+    """As ``measure``, with the models left distributed.
+
+    A block holds some ``block_bytes`` of texts (one text at least), dealt
+    round-robin so that no hot value fills one.
     """
     rows, schema = _rows(documents, id_col)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = checkpointed(rows.repartition(size // block_bytes + 1).withColumn("block", F.spark_partition_id()))
-    priced = count_grams(dealt, langs).join(top, ["slot", "gram"]).select("block", "slot", "gram", "p")
+    grams = checkpointed(count_grams(dealt, langs).select("block", "slot", "gram"))
+    priced = grams.join(prices(grams.select("slot", "gram").distinct(), levels, langs), ["slot", "gram"]).select("block", "slot", "gram", "p")
 
     def work(texts: pa.Table, prices: pa.Table) -> pa.Table:
         model = top_only(langs, *(prices.column(c).to_numpy() for c in ("slot", "gram", "p")))
@@ -296,7 +340,7 @@ def measure_joined(documents: DataFrame, langs: list[str], top: DataFrame, id_co
     return dealt.groupBy("block").cogroup(priced.groupBy("block")).applyInArrow(work, schema)
 
 
-def bands(measured: DataFrame, reach: float = 3.0, step: float = 1e-3, least: float = 0.05) -> DataFrame:
+def bands(measured: DataFrame, reach: float = 3.0, step: float = 1e-3, least: float = 0.1) -> DataFrame:
     """(slot, low, high) of the log-perplexities, from a histogram of all documents in steps of ``step``."""
     binned = measured.where("log_perplexity is not null").groupBy("slot", F.floor(F.col("log_perplexity") / step).alias("bin")).agg(F.count("*").alias("n"))
     order = Window.partitionBy("slot").orderBy("bin")
@@ -311,14 +355,12 @@ def judge(
     documents: DataFrame, id_col: str = "doc_id", reach: float = 3.0, min_words: int = 50, max_repeat_percent: int = 50, most_keys: int = 6_000_000
 ) -> DataFrame:
     """(doc_id, base measures, base_failed, kept, perplexity, low, high) for each row of (doc_id, text, lang)."""
-    langs = languages(documents)
-    top = train(documents, langs, weights=False)[-1]
-    if top.count() <= most_keys:
-        rows = top.select("slot", "gram", F.col("p").cast("float")).toArrow()
-        model = top_only(langs, *(rows.column(c).to_numpy() for c in ("slot", "gram", "p")))
-        measured = checkpointed(measure(documents, model, id_col))
+    learnt, asked, langs = by_halves(documents)
+    levels = train(learnt, langs)
+    if sum(x.count() for x in levels) <= most_keys:
+        measured = checkpointed(measure(asked, load(langs, levels), id_col))
     else:
-        measured = checkpointed(measure_joined(documents, langs, top, id_col))
+        measured = checkpointed(measure_joined(asked, langs, levels, id_col))
     judged = measured.join(F.broadcast(bands(measured, reach)), "slot", "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
