@@ -384,12 +384,6 @@ def z4_round_barrier(spark, sf_dir):
     return rounds.round_counts(spark, sf_dir, 100)
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
-def j9_u3_dropouts(spark, sf_dir):
-    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return read(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
-
-
 @query("select user_id % 50 as cid, cast(ts as date) as round, arg_max(value, (ts, event_id)) as value from events group by all")
 def s15_last_rating(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy((F.col("user_id") % 50).alias("cid"), F.to_date("ts").alias("round")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))

@@ -1,20 +1,23 @@
-"""Queries over clients, rounds and training, with their SQL twins; registered beside those of the catalog."""
+"""Queries over clients and rounds, with their SQL twins; registered beside those of the catalog."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
-from larkspur.operators import linalg, training
 from larkspur.plans.catalog import query
 from larkspur.sources import datasets, sinks
 from larkspur.sources.tables import read
 
 
-def _samples(spark, sf_dir):
-    return read(spark, sf_dir, "embeddings").select((F.col("vec_id") % 8).alias("client_id"), F.col("embedding").cast("array<double>").alias("x"), "label")
+@query("""select o_orderkey as id, true as near_sum from orders""")
+def s17_regression_samples(spark, sf_dir):
+    """Made features and targets for each order: without noise a target is its features' weighted sum."""
+    made = datasets.regression_samples(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), 10, noise=0.0)
+    weights = F.array(*map(F.lit, datasets.regression_weights(10)))
+    total = F.aggregate(F.zip_with("x", weights, lambda a, w: a * w), F.lit(0.0), lambda s, v: s + v)
+    return made.select("id", (F.abs(F.col("y") - total) < 1e-9).alias("near_sum"))
 
 
 @query("""with c as (select distinct o_custkey from orders), s as (select o_custkey from c order by md5(o_custkey || '-0'), o_custkey limit 25)
@@ -35,16 +38,6 @@ def s15_rating_cells(spark, sf_dir):
     return datasets.rating_cells(events, "user_id", "kind", "value", F.struct("ts", "event_id")).withColumn("col", F.col("col").cast("long"))
 
 
-@query()
-def s11_power_law_cells(spark, sf_dir):
-    return datasets.power_law_cells(spark, 200, 30, 10, 1.0)
-
-
-@query()
-def s17_regression_samples(spark, sf_dir):
-    return datasets.regression_samples(spark, 1000, 10)
-
-
 _DAYS = "d as (select cast(ts as date) as round, user_id % 20 as cid, sum(value) as value, avg(value) as loss from events group by all)"
 
 
@@ -78,19 +71,6 @@ def j12_peer_signs(spark, sf_dir):
     return pairs.withColumn("sign", F.when(F.col("u") < F.col("v"), -1).otherwise(1))
 
 
-@query("select x.n_nationkey as client, y.n_name as heard from nation x join nation y on y.n_nationkey = (x.n_nationkey + 1) % 25")
-def j14_ring(spark, sf_dir):
-    n = read(spark, sf_dir, "nation")
-    sent = n.select(F.pmod(F.col("n_nationkey") - 1, F.lit(25)).cast(n.schema["n_nationkey"].dataType).alias("client"), F.col("n_name").alias("heard"))
-    return n.select(F.col("n_nationkey").alias("client")).join(sent, "client")
-
-
-@query("select n_regionkey as node, string_agg(n_nationkey, ',' order by n_nationkey) as clients from nation group by all")
-def j18_clients_of_nodes(spark, sf_dir):
-    ids = F.transform(F.sort_array(F.collect_list("n_nationkey")), lambda x: x.cast("string"))
-    return read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("node")).agg(F.array_join(ids, ",").alias("clients"))
-
-
 @query("""with c as (select label, vec_id, row_number() over (partition by label order by vec_id) - 1 as step, cast(embedding[1] as double) as acc from embeddings),
 steps as (select unnest(range(cast((select max(step) + 1 from c) as bigint))) as step), g as (select label, step from (select distinct label from c), steps),
 f as (select g.label, g.step, last_value(acc ignore nulls) over (partition by g.label order by g.step) as acc from g left join c using (label, step))
@@ -132,32 +112,3 @@ def z8_client_state(spark, sf_dir):
 @query()
 def x7_x8_tagged_posts(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.tag_capitals(text.tag_hashtags(F.col("text"))).alias("tagged"))
-
-
-@query()
-def q2_fed_avg(spark, sf_dir):
-    samples = _samples(spark, sf_dir)
-    w = training.fed_avg(samples, 10, 64, 3, 0.5)
-    return training.evaluate(samples, w).select("client_id", "n", F.round("accuracy", 6).alias("accuracy"))
-
-
-@query()
-def q3_fed_sgd(spark, sf_dir):
-    _, losses = training.fed_sgd(_samples(spark, sf_dir), 10, 64, 4)
-    return spark.createDataFrame([(k, round(x, 6)) for k, x in enumerate(losses)], "round int, loss double")
-
-
-@query()
-def q5_fed_prox(spark, sf_dir):
-    own = training.local_updates(_samples(spark, sf_dir), np.zeros((10, 65)), mu=0.1)
-    return own.select("client_id", "layer", "pos", F.round("value", 6).alias("value"), "n_train")
-
-
-@query()
-def l3_l12_masked_product(spark, sf_dir):
-    """The matrix that the server sees (P X Q, masks orthogonal), from which the clients' own masks give X again."""
-    cells = datasets.power_law_cells(spark, 40, 24, 6, 0.5)
-    p, q = linalg.block_masks(spark, 40, 10, 1), linalg.block_masks(spark, 24, 6, 2)
-    seen = linalg.multiply(linalg.multiply(p, cells), q)
-    again = linalg.multiply(linalg.multiply(linalg.transpose(p), seen), linalg.transpose(q)).withColumnRenamed("value", "back")
-    return cells.join(again, ["row", "col"]).select("row", "col", (F.abs(F.col("value") - F.col("back")) < 1e-9).alias("recovered"))

@@ -47,24 +47,17 @@ def normal(*keys) -> Column:
     return F.sqrt(-2 * F.log(_uniform(*keys, F.lit("radius")))) * F.cos(2 * 3.141592653589793 * _uniform(*keys, F.lit("angle")))
 
 
-def power_law_cells(spark: SparkSession, rows: int, cols: int, rank: int, alpha: float, seed: int = 0) -> DataFrame:
-    """(row, col, value) of a sum of ``rank`` random outer products with weights k ** -alpha, scaled to a largest row norm of 1.
+def regression_weights(features: int, informative: float = 0.9) -> list[float]:
+    """From 0 to 100 for the first share of features, 0 for the rest."""
+    return [float((k * 37) % 100) if k < int(features * informative) else 0.0 for k in range(features)]
 
-    The cells come from a range of cell numbers, so they are made where they are used.
-    """
-    cell = spark.range(rows * cols).select(F.floor(F.col("id") / cols).alias("row"), (F.col("id") % cols).alias("col"))
-    terms = [normal("row", F.lit(k), F.lit(seed), F.lit("u")) * normal("col", F.lit(k), F.lit(seed), F.lit("v")) * float(k) ** -alpha for k in range(1, rank + 1)]
-    cells = cell.withColumn("value", sum(terms[1:], terms[0]))
-    top = cells.groupBy("row").agg(F.sum(F.col("value") * F.col("value")).alias("s")).agg(F.sqrt(F.max("s")).alias("top"))
-    return cells.crossJoin(F.broadcast(top)).select("row", "col", (F.col("value") / F.col("top")).alias("value"))
 
-
-def regression_samples(spark: SparkSession, rows: int, features: int, noise: float = 1.0, informative: float = 0.9, seed: int = 0) -> DataFrame:
-    """(id, x, y): normal features, the first share of them with weights from 0 to 100, and normal noise."""
+def regression_samples(ids: DataFrame, features: int, noise: float = 1.0, informative: float = 0.9, seed: int = 0) -> DataFrame:
+    """(id, x, y) for each id: normal features, their weighted sum and normal noise; the ids alone decide them."""
     x = F.array(*[normal("id", F.lit(k), F.lit(seed)) for k in range(features)])
-    weights = [float((k * 37) % 100) if k < int(features * informative) else 0.0 for k in range(features)]
-    y = F.aggregate(F.zip_with("x", F.array(*map(F.lit, weights)), lambda a, w: a * w), F.lit(0.0), lambda s, v: s + v)
-    return spark.range(rows).withColumn("x", x).withColumn("y", y + noise * normal("id", F.lit(seed), F.lit("noise")))
+    weights = F.array(*map(F.lit, regression_weights(features, informative)))
+    y = F.aggregate(F.zip_with("x", weights, lambda a, w: a * w), F.lit(0.0), lambda s, v: s + v)
+    return ids.select("id").withColumn("x", x).withColumn("y", y + noise * normal("id", F.lit(seed), F.lit("noise")))
 
 
 def run_logs(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,19 +45,6 @@ def append_missing(rows: DataFrame, path: str, keys: list[str]) -> None:
     rows.write.mode("append").parquet(path)
 
 
-class Versions:
-    """Versions of a table, each in a folder of its own: a reader keeps the version it began with."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.current = spark, folder, None
-
-    def write(self, df: DataFrame) -> DataFrame:
-        path = f"{self.folder}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.current = path
-        return self.spark.read.parquet(path)
-
-
 def write_results(results: DataFrame, path: str) -> None:
     """Results as JSON lines, in place of the ones before."""
     results.write.mode("overwrite").json(path)

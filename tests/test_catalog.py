@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import aggregate, linalg, metrics, strategies
 from larkspur.plans import catalog, clients  # noqa: F401  (registers its queries)
-from larkspur.sources.shell import Shell
 
 DATA = "/root/testdata/sf0.001"
 
@@ -61,14 +60,6 @@ def test_config_difference(spark):
     assert [r[0] for r in metrics.differing_keys(spark.createDataFrame(rows, "run_id string, key_chain string, value string")).collect()] == ["x$$lr"]
 
 
-def test_shell(spark, tmp_path):
-    shell = Shell(spark, str(tmp_path))
-    shell.register("t", spark.range(5))
-    assert shell.insert("t", spark.range(5, 7)) and not shell.insert("none", spark.range(1))
-    assert shell.delete("t", "id < 2") and shell.count("t") == 5 and shell.count("t", "id > 5") == 1
-    assert [r[0] for r in shell.select("t", "id", orderby="id desc").limit(1).collect()] == [6]
-
-
 def test_sketch_finds_heavy_keys(spark):
     vector = spark.range(200).select(F.col("id").alias("key"), F.when(F.col("id") < 3, 1000.0).otherwise(1.0).alias("value"))
     assert {r["key"] for r in strategies.unsketch(strategies.sketch(vector), vector.select("key"), 3).collect()} == {0, 1, 2}

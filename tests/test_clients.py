@@ -81,11 +81,6 @@ def test_rounds_of_an_empty_table(spark):
     assert rounds.weighted_metrics(empty).count() == 0
 
 
-def test_training_parts_are_of_few_classes(spark):
-    rows = clients.r3_training_parts(spark, DATA).collect()
-    assert rows and max(Counter(c for c, _ in {(r["client_id"], r["label"]) for r in rows}).values()) <= 2
-
-
 def test_stems(spark):
     """Examples of the published rules."""
     pairs = """caresses caress ponies poni ties tie caress caress cats cat feed feed agreed agre plastered plaster bled bled motoring motor sing sing conflated conflat troubled troubl

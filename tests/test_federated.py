@@ -1,16 +1,14 @@
-"""Client datasets, sinks and training against SQL or numpy."""
+"""Client datasets and sinks against SQL or numpy."""
 
 import glob
 import json
 import os
 
 import duckdb
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
-from larkspur.operators import training
 from larkspur.plans import catalog, federated
 from larkspur.sources import datasets, sinks
 
@@ -42,21 +40,6 @@ def test_query(spark, db, name):
         assert all(r[columns.index("recovered")] for r in got)
 
 
-def test_fed_sgd_equals_pooled_numpy(spark):
-    rng = np.random.default_rng(3)
-    x, y = rng.normal(size=(60, 3)), rng.integers(0, 3, 60)
-    rows = [(int(k % 4), [float(v) for v in x[k]], int(y[k])) for k in range(60)]
-    samples = spark.createDataFrame(rows, "client_id long, x array<double>, label int").repartition(3)
-    w, losses = training.fed_sgd(samples, 3, 3, 5, 0.3)
-    design, own = np.hstack([x, np.ones((60, 1))]), np.zeros((3, 4))
-    for k in range(5):
-        p = np.exp(design @ own.T)
-        p /= p.sum(1, keepdims=True)
-        assert abs(losses[k] + np.log(p[np.arange(60), y]).mean()) < 1e-9
-        own = own - 0.3 * (p - np.eye(3)[y]).T @ design / 60
-    assert np.allclose(w, own) and losses[-1] < losses[0]
-
-
 def test_user_json_and_missing_rows(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"users": ["u"], "user_data": {"u": {"x": ["ab", "c"], "y": ["1", "2"]}}}))
     assert sorted(tuple(r) for r in datasets.user_json(spark, str(tmp_path / "a.json")).collect()) == [("u", 0, "ab", "1"), ("u", 1, "c", "2")]
