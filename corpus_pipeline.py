@@ -29,7 +29,10 @@ def _columns(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def find_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what has no letters or no clear language; fills in missing languages."""
+    """Drops what has no letters (null texts too) or no clear language; fills in missing languages.
+
+    Rows are judged one by one, so repeated rows stay or go together; an empty table stays empty.
+    """
     ship(spark)
     docs = docs.select(COLUMNS)
     judged = language_id.identify(docs, queries.language_model(docs), LEAST_SCORE)
@@ -38,7 +41,10 @@ def find_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one line of each class of equal or near lines, and drops documents that were nothing else."""
+    """Keeps one line of each class of equal or near lines, and drops documents that were nothing else.
+
+    Of repeated rows the first keeps its lines; a null text has no lines and stays.
+    """
     ship(spark)
     judged = line_dedup.dedup_lines(docs.select(COLUMNS))
     return _columns(judged.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^ \t\n\x0B\f\r]")), "kept")
@@ -55,7 +61,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts benchmark passages out, and drops documents that were nothing else."""
+    """Cuts benchmark passages out, and drops documents that were nothing else.
+
+    Null and empty texts hold no passage and stay, as empty ones; repeated rows are cut alike.
+    """
     rest = [c for c in COLUMNS if c != "text"]
     packed = docs.select(F.struct(*rest).alias("doc_id"), "text")
     found = decontaminate.remove(packed, table(spark, sf_dir, "benchmark"))
@@ -64,8 +73,13 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every row; a null text has no ids, repeated rows have equal ones."""
     ship(spark)
-    return lexicon_bpe.encode(docs, queries.tokenizer())
+    made = lexicon_bpe.encode(docs.select("doc_id", "text"), queries.tokenizer(), keep=True)
+    return made.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.col("ids").cast("array<int>").alias("ids"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
 
 
 STAGES = [
