@@ -39,10 +39,13 @@ _HELD = 250_000
 
 
 def frequent_words(documents: DataFrame, text_col: str = "text", top: int = 50_000, share: float = 2e-6) -> list[bytes]:
-    """The ``top`` most frequent words, each as " word"; a bounded list."""
+    """About the ``top`` most frequent words, each as " word"; a bounded list.
+
+    Tasks drop words that are rare so far now and then, and count them anew if they come back, so counts may be short.
+    The list decides which words the lexicon holds, never their ids.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Lossy counting: what is too rare so far is dropped now and then, its bound kept.
         counts, total = Counter(), 0
         for batch in batches:
             for text in as_bytes(batch.column("text")):
