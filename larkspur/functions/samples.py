@@ -49,9 +49,20 @@ def rating_rows(ratings: DataFrame, user: str, item: str, value: str, top: int)
     return held.select(user, F.transform(F.sequence(F.lit(0), F.lit(top - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("x"))
 
 
-def by_label(samples: DataFrame, label: str, key: str) -> DataFrame:
-    """Adds place: the sample's rank by (label, key), from ranks within labels and the sizes of the labels before."""
-    sizes = samples.groupBy(label).agg(F.count("*").alias("_c"))
-    sizes = sizes.select(label, (F.sum("_c").over(Window.orderBy(label)) - F.col("_c")).alias("_b"))
-    own = F.row_number().over(Window.partitionBy(label).orderBy(key)) - 1
-    return samples.join(F.broadcast(sizes), label).withColumn("place", F.col("_b") + own).drop("_b")
+def by_label(samples: DataFrame, label: str, key: str, cuts: int = 64) -> DataFrame:
+    """Adds place: the sample's rank by (label, numeric key), nulls first.
+
+    A label's keys are cut into stretches at approximate quantiles, so a frequent label is ranked by many tasks; ranks
+    are those within a stretch, plus the sizes of the stretches and labels before, and exact wherever the cuts fall.
+    """
+    edges = samples.groupBy(F.col(label).alias("_l")).agg(F.percentile_approx(key, [k / cuts for k in range(1, cuts)], 10_000).alias("_e"))
+    placed = samples.join(edges, F.col(label).eqNullSafe(F.col("_l")))
+    placed = placed.withColumn("_s", F.coalesce(F.size(F.filter("_e", lambda e: e < F.col(key))), F.lit(0))).drop("_e")
+    sizes = placed.groupBy("_l", "_s").agg(F.count("*").alias("_c"))  # labels times ``cuts`` rows
+    labels = sizes.groupBy("_l").agg(F.sum("_c").alias("_t"))
+    labels = labels.select(F.col("_l").alias("_m"), (F.sum("_t").over(Window.orderBy(F.col("_l").asc_nulls_first())) - F.col("_t")).alias("_b"))
+    before = F.sum("_c").over(Window.partitionBy("_l").orderBy("_s")) - F.col("_c")
+    sizes = sizes.withColumn("_o", before).join(labels, F.col("_l").eqNullSafe(F.col("_m"))).select(F.col("_l").alias("_m"), F.col("_s").alias("_n"), (F.col("_o") + F.col("_b")).alias("_b"))
+    own = F.row_number().over(Window.partitionBy("_l", "_s").orderBy(key)) - 1
+    ranked = placed.withColumn("_r", own).join(sizes, F.col("_l").eqNullSafe(F.col("_m")) & (F.col("_s") == F.col("_n")))
+    return ranked.withColumn("place", F.col("_b") + F.col("_r")).drop("_l", "_s", "_r", "_m", "_n", "_b")

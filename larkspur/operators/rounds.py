@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 
 def weighted_metrics(evaluations: DataFrame, value: str = "value", size: str = "size") -> DataFrame:
-    """(round, metric, mean, clients, each) from (round, cid, metric, value, size): means weighted by sample counts.
-
-    each has the clients' own values in order of cid, for test metrics; null for others.
-    """
-    own = F.array_sort(F.collect_list(F.struct("cid", F.col(value).alias("value"))))
-    made = evaluations.groupBy("round", "metric").agg(
-        (F.sum(F.col(value) * F.col(size)) / F.nullif(F.sum(size), F.lit(0))).alias("mean"), F.count_distinct("cid").alias("clients"), own.alias("each"),
+    """(round, metric, mean, clients) from (round, cid, metric, value, size): means weighted by sample counts."""
+    return evaluations.groupBy("round", "metric").agg(
+        (F.sum(F.col(value) * F.col(size)) / F.nullif(F.sum(size), F.lit(0))).alias("mean"), F.count_distinct("cid").alias("clients"),
     )
-    return made.withColumn("each", F.when(F.startswith("metric", F.lit("test_")), F.col("each")))
+
+
+def client_values(evaluations: DataFrame, value: str = "value") -> DataFrame:
+    """(round, metric, cid, value): the clients' own values of test metrics, a row each."""
+    return evaluations.where(F.startswith("metric", F.lit("test_"))).select("round", "metric", "cid", F.col(value).alias("value"))
 
 
 def total_seconds(rounds: DataFrame, parts: list[str]) -> DataFrame:

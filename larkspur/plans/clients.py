@@ -21,8 +21,9 @@ def _evaluations(spark, sf_dir):
 @query(f"""with {_ROUNDS}, m as (select round, cid, 'val_loss' as metric, loss as value, n as size from ev union all select round, cid, 'test_loss', 2 * loss, n + 1 from ev)
 select round, metric, round(sum(value * size) / nullif(sum(size), 0), 6) as mean, count(distinct cid) as clients, case when metric = 'test_loss' then count(*) end as n_each from m group by round, metric""")
 def a13_weighted_metrics(spark, sf_dir):
-    made = rounds.weighted_metrics(_evaluations(spark, sf_dir))
-    return made.select("round", "metric", F.round("mean", 6).alias("mean"), "clients", F.when(F.col("each").isNotNull(), F.size("each")).cast("long").alias("n_each"))
+    told = _evaluations(spark, sf_dir)
+    own = rounds.client_values(told).groupBy("round", "metric").agg(F.count("*").alias("n_each"))
+    return rounds.weighted_metrics(told).join(own, ["round", "metric"], "left").select("round", "metric", F.round("mean", 6).alias("mean"), "clients", "n_each")
 
 
 _PARTS = """t as (select cast(ts as date) as round, max(value) filter (where event_type = 'view' and user_id % 10 = 0) as max_train, max(value) filter (where event_type = 'click' and user_id % 10 = 1) as train_agg,

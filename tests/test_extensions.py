@@ -76,3 +76,15 @@ def test_names_are_taken_once_and_known():
     with pytest.raises(KeyError, match="there are: a"):
         own.get("b")
     assert own.names() == ["a"]
+
+
+def test_ranks_of_a_frequent_label(spark):
+    from larkspur.functions import samples
+
+    rows = [(k, None if k % 50 == 0 else 7 if k % 3 else k % 5, None if k == 9 else (k * 37) % 101) for k in range(500)]
+    df = spark.createDataFrame(rows, "id int, label int, key int").repartition(4)
+    got = {r["id"]: r["place"] for r in samples.by_label(df, "label", "key", 8).collect()}
+    assert sorted(got.values()) == list(range(500))
+    first = lambda v: (v is not None, v)
+    order = sorted(rows, key=lambda r: got[r[0]])
+    assert all((first(a[1]), first(a[2])) <= (first(b[1]), first(b[2])) for a, b in zip(order, order[1:]))
