@@ -3,15 +3,20 @@
 The set of a document is its distinct word shingles, as 64-bit hashes.  Equal
 sets collapse first (a node for each different set).  Any total order of
 shingles makes prefix filtering exact; ours puts shingles of long words first
-(bytes of the words alone, ties by hash), which are rare, and shingles found in many prefixes last (a bitmap says which), so few documents meet under one shingle.  Nodes of the same size and
-prefix form a group; groups that share a prefix shingle and whose sizes allow
-the similarity are candidates; groups are expanded and members verified on
-whole sets.
+(bytes of the words alone, ties by hash), which are rare, and shingles found in many
+prefixes last (a bitmap says which), so few documents meet under one shingle.
 
-Copies are not expanded into all pairs: rounds of star links (each node of a
-group or shingle against one centre) settle most components, and only nodes
-that share a shingle and still lie in different components are paired, all of
-them.  So no link between components is lost.
+Nodes of the same size and prefix form a group, and only groups are posted under
+shingles.  Groups that share a prefix shingle are a candidate pair if their
+sizes, the number of shingles their prefixes share and, for groups of one
+member, their sketches allow the similarity.  Only pairs left after that are
+expanded to members, which are verified on whole sets.
+
+Copies are not expanded into all pairs: in rounds of star links the members of
+each group meet one centre of their own group and of each shingle, which settles
+most components; after that only groups that still lie in different components,
+or whose own members do, are paired, all of them.  So no link between
+components is lost.
 
 A null or wordless text has an empty set and links with nothing.  Repeated rows
 give repeated results; a null id takes part, and a component's id is the least
@@ -175,16 +180,14 @@ def similar_components(
     step = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))))
     posted = posted.select(F.explode(F.array(F.struct(F.xxhash64("token", step).alias("token"), F.lit(False).alias("next")), F.struct(F.xxhash64("token", step + 1).alias("token"), F.lit(True).alias("next")))).alias("p"), "grp", "n").select("p.token", "p.next", "grp", "n")
     many = posted.groupBy("token").agg(F.count("*").alias("many")).where("many > 1").select("token")
-    # A node under each shingle of its group; the group itself counts as one more shingle.
-    places = posted.join(many, "token").join(grouped.select("node", "grp"), "grp").select("token", "node", "n", "next", F.lit(1).alias("worth"))
-    crowded = grouped.groupBy("grp").agg(F.count("*").alias("many")).where("many > 1").select("grp")
-    own = grouped.join(crowded, "grp").select(F.xxhash64("grp", F.lit("group")).alias("token"), "node", "n", F.lit(False).alias("next"), F.lit(1 << 30).alias("worth"))
-    places = checkpointed(places.union(own))
+    places = checkpointed(posted.join(many, "token").select("token", "grp", "n", "next"))
     crowds = places.groupBy("token").agg(F.count("*").alias("many"))
-    # What a node shares with others: most for the document that copies were made from.
-    shares = places.join(crowds, "token").groupBy("node").agg(F.sum("many").alias("shares"))
+    # What a group shares with others: most for the document that copies were made from.
+    shares = places.join(crowds, "token").groupBy("grp").agg(F.sum("many").alias("shares"))
+    crowded = grouped.groupBy("grp").agg(F.count("*").alias("members")).join(shares, "grp", "left").where("members > 1 or shares is not null")
     sketches = signed.where("n > 0").groupBy("node").agg(*[F.first(f"s{k}").alias(f"s{k}") for k in range(4)])
-    active = checkpointed(sketches.join(shares, "node"))
+    active = grouped.join(crowded.select("grp", "members", F.coalesce("shares", F.lit(0)).alias("shares")), "grp")
+    active = checkpointed(active.join(sketches, "node"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = checkpointed(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -193,38 +196,50 @@ def similar_components(
         asked = spark.sparkContext.broadcast(bit_filter(ends, "a", bits))
         sets = in_batches(rows.select("text"), _members(size, asked, bits), "node long, members array<long>").groupBy("node").agg(F.first("members").alias("members"))
         left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-        if pairs.count() <= few_pairs:  # 16 bytes each
-            both = left.join(F.broadcast(pairs), "a").join(right.join(F.broadcast(pairs), "b"), ["a", "b"])
-        else:
-            both = pairs.join(left, "a").join(right, "b")
+        # One set of each pair goes to the other's place: sets by node are where they are made, so only these move.
+        near = F.broadcast(pairs) if pairs.count() <= few_pairs else pairs  # 16 bytes each
+        both = left.join(near, "a").join(right, "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
     apart = " + ".join(f"bit_count(x.s{k} ^ y.s{k})" for k in range(4))
-    fits = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and {apart} <= x.n + y.n - 2 * ceil({percent} * (x.n + y.n) / {100 + percent})"
+    sizes = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    fits = f"{sizes} and {apart} <= x.n + y.n - 2 * ceil({percent} * (x.n + y.n) / {100 + percent})"
+    sketch = [f"s{k}" for k in range(4)]
     labels = active.withColumn("root", F.col("node"))
     links = spark.createDataFrame([], "a long, b long")
     for turn in range(star_rounds + 1):
-        at = places.join(labels, "node")
-        kinds = at.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).where("low < high")
+        # Roots of a group's members, and the sketch of the node that names it: the sketch of all where there is one member.
+        whole = checkpointed(labels.groupBy("grp").agg(
+            F.min("root").alias("low"), F.max("root").alias("high"), F.first("n").alias("n"), F.first("members").alias("members"), F.first("shares").alias("shares"),
+            *[F.max(F.when(F.col("node") == F.col("grp"), F.col(c))).alias(c) for c in sketch], F.max(F.when(F.col("node") == F.col("grp"), F.col("root"))).alias("root"),
+        ))
+        kinds = places.select("token", "grp").join(whole.select("grp", "low", "high"), "grp").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("many")).where("low < high")
         final = turn == star_rounds
         if not final:
             kinds = kinds.where(F.col("many") > crowd_least)
-        kinds = checkpointed(kinds.select("token"))
-        if kinds.isEmpty():
-            continue
-        at = at.join(kinds, "token")
+        at = places.join(kinds.select("token"), "token").select("token", "grp", "next").join(whole, "grp")
+        split = whole.where("low < high").select("grp")
         if final:
-            # Two sets whose prefixes share c shingles have at most c more in common than the larger rest behind a prefix.
-            pairs = at.alias("x").join(at.alias("y"), "token").where(f"x.root <> y.root and {fits} and x.node < y.node and not (x.next and y.next)")
-            counted = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.sum(F.col("x.worth").cast("long")).alias("c"), F.first("x.n").alias("nx"), F.first("y.n").alias("ny"))
+            # Pairs of groups first. Two sets whose prefixes share c shingles have at most c more in common than the larger rest behind a prefix.
+            alike = f"x.grp < y.grp and not (x.next and y.next) and {sizes} and (x.low < x.high or y.low < y.high or x.low <> y.low) and (x.members > 1 or y.members > 1 or ({fits}))"
+            counted = at.alias("x").join(at.alias("y"), "token").where(alike)
+            counted = counted.groupBy(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).agg(F.count("*").alias("c"), F.first("x.n").alias("nx"), F.first("y.n").alias("ny"))
             rest = F.ceil(percent * F.greatest("nx", "ny") / 100) - 1
-            pairs = counted.where(F.col("c") + rest >= F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))).select("a", "b")
+            chosen = counted.where(F.col("c") + rest >= F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))).select("g", "h")
+            # Those left are expanded to their members, and a group is paired with itself.
+            chosen = checkpointed(chosen.union(split.select(F.col("grp").alias("g"), F.col("grp").alias("h"))))
+            x, y = labels.alias("x"), labels.alias("y")
+            pairs = chosen.join(x, F.col("g") == F.col("x.grp")).join(y, F.col("h") == F.col("y.grp")).where(f"x.root <> y.root and (g < h or x.node < y.node) and {fits}")
+            pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         else:
-            first = F.xxhash64("node", F.lit(turn)) if turn % 2 else -F.col("shares")
-            draw = F.struct(first.alias("d"), "node", "n", "root", "s0", "s1", "s2", "s3")
-            centre = at.groupBy("token").agg(F.min(draw).alias("c")).select("token", "c.*")
-            pairs = at.alias("x").join(centre.alias("y"), "token").where(f"x.root <> y.root and {fits}").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            first = F.xxhash64("grp", F.lit(turn)) if turn % 2 else -F.col("shares")
+            centre = at.groupBy("token").agg(F.min(F.struct(first.alias("d"), "grp")).alias("c")).select("token", F.col("c.grp").alias("h"))
+            near = at.select("token", F.col("grp").alias("g")).join(centre, "token").select("g", "h").where("g <> h").distinct()
+            # Members of each group against the node that names the centre, of another group or of their own.
+            near = near.union(split.select(F.col("grp").alias("g"), F.col("grp").alias("h")))
+            pairs = near.join(whole.alias("y"), F.col("h") == F.col("y.grp")).join(labels.alias("x"), F.col("g") == F.col("x.grp")).where(f"x.root <> y.root and {fits}")
+            pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.grp").alias("b"))
         links = checkpointed(links.union(verified(pairs)))
         roots = connected_components(links)
         labels = checkpointed(active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
