@@ -224,14 +224,18 @@ def similar_components(
             # Pairs of groups first. Two sets whose prefixes share c shingles have at most c more in common than the larger rest behind a prefix.
             alike = f"x.grp < y.grp and not (x.next and y.next) and {sizes} and (x.low < x.high or y.low < y.high or x.low <> y.low) and (x.members > 1 or y.members > 1 or ({fits}))"
             counted = at.alias("x").join(at.alias("y"), "token").where(alike)
-            counted = counted.groupBy(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).agg(F.count("*").alias("c"), F.first("x.n").alias("nx"), F.first("y.n").alias("ny"))
+            counted = counted.groupBy(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).agg(F.count("*").alias("c"), F.first("x.n").alias("nx"), F.first("y.n").alias("ny"), F.first(F.expr("x.members < y.members")).alias("turned"))
             rest = F.ceil(percent * F.greatest("nx", "ny") / 100) - 1
-            chosen = counted.where(F.col("c") + rest >= F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent))).select("g", "h")
+            chosen = counted.where(F.col("c") + rest >= F.ceil(percent * (F.col("nx") + F.col("ny")) / (100 + percent)))
+            # The group of more members comes first.
+            chosen = chosen.select(F.when(F.col("turned"), F.col("h")).otherwise(F.col("g")).alias("g"), F.when(F.col("turned"), F.col("g")).otherwise(F.col("h")).alias("h"))
             # Those left are expanded to their members, and a group is paired with itself.
             chosen = checkpointed(chosen.union(split.select(F.col("grp").alias("g"), F.col("grp").alias("h"))))
-            x, y = labels.alias("x"), labels.alias("y")
-            pairs = chosen.join(x, F.col("g") == F.col("x.grp")).join(y, F.col("h") == F.col("y.grp")).where(f"x.root <> y.root and (g < h or x.node < y.node) and {fits}")
-            pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            # Its members must allow a link with the other group's only one, or not lie in the component of all the others.
+            able = f"(y.members = 1 and x.root <> y.root and {fits}) or (y.members > 1 and not (y.low = y.high and x.root = y.low))"
+            pairs = chosen.join(whole.alias("y"), F.col("h") == F.col("y.grp")).join(labels.alias("x"), (F.col("g") == F.col("x.grp")) & F.expr(able))
+            pairs = pairs.join(labels.alias("z"), F.col("h") == F.col("z.grp")).where(f"x.root <> z.root and (g <> h or x.node < z.node) and {fits.replace('y.', 'z.')}")
+            pairs = pairs.select(F.col("x.node").alias("a"), F.col("z.node").alias("b"))
         else:
             first = F.xxhash64("grp", F.lit(turn)) if turn % 2 else -F.col("shares")
             centre = at.groupBy("token").agg(F.min(F.struct(first.alias("d"), "grp")).alias("c")).select("token", F.col("c.grp").alias("h"))
