@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["layer", "pos"]
@@ -40,6 +40,34 @@ def scaffold_step(host: DataFrame, control: DataFrame, deltas: DataFrame, contro
     return x, c
 
 
+def local_steps(samples: Column, batch: int, epochs: int) -> Column:
+    """Optimiser steps of a client with so many samples: the least whole number from samples / batch * epochs on."""
+    return F.ceil(samples / batch * epochs)
+
+
+def control_gap(clients: DataFrame, control: DataFrame, own: DataFrame) -> DataFrame:
+    """(client_id, layer, pos, value): the server's control less the client's own, which is added to its gradients.
+
+    A client without a control of its own has 0.
+    """
+    each = clients.select("client_id").crossJoin(control.select(*KEYS, F.col("value").alias("_c")))  # as many rows as the clients' parameters
+    both = each.join(own.select("client_id", *KEYS, F.col("value").alias("_o")), ["client_id", *KEYS], "left")
+    return both.select("client_id", *KEYS, (F.col("_c") - F.coalesce("_o", F.lit(0.0))).alias("value"))
+
+
+def control_update(trained: DataFrame, host: DataFrame, gap: DataFrame, steps: DataFrame, lr: float, own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Client side of the variance-reduced update: (parameter deltas, control deltas, new controls), all by client.
+
+    From what clients were given and made of it after ``steps`` (client_id, steps) steps: a client's new
+    control is (given - made) / (steps * lr) less the gap, so its own less the server's plus that mean gradient.
+    """
+    both = trained.join(host.withColumnRenamed("value", "_x"), KEYS).join(gap.withColumnRenamed("value", "_g"), ["client_id", *KEYS]).join(steps, "client_id")
+    both = both.join(own.select("client_id", *KEYS, F.col("value").alias("_o")), ["client_id", *KEYS], "left")
+    both = both.withColumn("_d", F.col("value") - F.col("_x")).withColumn("_n", -F.col("_d") / (F.col("steps") * lr) - F.col("_g"))
+    named = lambda x: both.select("client_id", *KEYS, x.alias("value"))
+    return named(F.col("_d")), named(F.col("_n") - F.coalesce("_o", F.lit(0.0))), named(F.col("_n"))
+
+
 def ternary(vector: DataFrame, sparsity: float) -> DataFrame:
     """(client_id, layer, pos, value): of each client the max(1, int(P * s)) largest by magnitude, as sign times their mean magnitude."""
     own = Window.partitionBy("client_id")
