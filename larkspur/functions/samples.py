@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.functions.stem import stems
+from larkspur.functions.text import char_ids, char_windows, plain_words, tag_post
+
 
 def one_hot(label: Column, classes: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda x: (x == label).cast("int"))
@@ -49,6 +52,35 @@ def rating_rows(ratings: DataFrame, user: str, item: str, value: str, top: int)
     return held.select(user, F.transform(F.sequence(F.lit(0), F.lit(top - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("x"))
 
 
+def labelled(rows: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, x, y): rows with the label of their key; those without a label are left out."""
+    return rows.join(labels.where(F.col(label).isNotNull()).select(key, F.col(label).alias("y")), key).select(key, "x", "y")
+
+
+def char_samples(texts: DataFrame, key: str, text: str, alphabet: str, width: int, step: int | None = None, strict: bool = False) -> DataFrame:
+    """(key, k, x, y): character ids of each stretch of a text and the id of the character after it.
+
+    With ``strict`` the job fails at a character outside the alphabet; else its id is null.
+    """
+    cut = texts.select(key, F.posexplode(char_windows(F.col(text), width, step)).alias("k", "w"))
+    cut = cut.select(key, (F.col("k") * (step or width)).alias("k"), char_ids(F.col("w.x"), alphabet).alias("x"), F.get(char_ids(F.col("w.y"), alphabet), F.lit(0)).alias("y"))
+    if strict:
+        whole = F.forall("x", lambda i: i.isNotNull()) & F.col("y").isNotNull()
+        cut = cut.withColumn("y", F.when(whole, F.col("y")).otherwise(F.raise_error(F.lit("a character outside the alphabet")).cast("long")))
+    return cut
+
+
+def post_vectors(posts: DataFrame, key: str, text: str, vectors: DataFrame, token: str, vector: str, size: int, stemmed: bool = True) -> DataFrame:
+    """(key, x): the mean of the vectors of a post's words, by their stems if ``stemmed``; words without a vector count as zeros.
+
+    Posts are tagged and cleaned first, and key must tell them apart.  An empty or null post is one word without a vector.
+    """
+    words = F.split(plain_words(tag_post(F.coalesce(F.col(text), F.lit("")))), " ")
+    tokens = posts.select(key, F.explode(stems(words) if stemmed else words).alias(token))
+    found = mean_pool(token_vectors(tokens, vectors, token, vector, size), key, vector)
+    return found.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda c: c["value"]).alias("x"))  # ``size`` cells
+
+
 def by_label(samples: DataFrame, label: str, key: str, cuts: int = 64) -> DataFrame:
     """Adds place: the sample's rank by (label, numeric key), nulls first.
 

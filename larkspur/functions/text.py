@@ -12,6 +12,16 @@ CONTRACTIONS = (
     ("(\\w+)'ve", "$1 have"), ("(\\w+)'s", "$1 is"), ("(\\w+)'re", "$1 are"), ("(\\w+)'d", "$1 would"),
 )
 
+#: The patterns of posts and their tags, in order.
+TAGS = (
+    (r"(http://www\.|https://www\.|http://|https://|www\.)[A-Za-z0-9./\]+\[]*", " <url> "), (r"\[\[User(.*)\|", " <user> "), (r"@[^\s]+", " <user> "),
+    (r"[-+]?[.\d]*[\d]+[:,.\d]*", " <number> "), ("<3", " <heart> "), (f"{EYES}{NOSE}[Dd)]", " <smile> "), (f"[(d]{NOSE}{EYES}", " <smile> "),
+    (f"{EYES}{NOSE}p", " <lolface> "), (rf"{EYES}{NOSE}\(", " <sadface> "), (rf"\){NOSE}{EYES}", " <sadface> "), (rf"{EYES}{NOSE}[/|l*]", " <neutralface> "),
+    ("/", " / "), ("[.?!:;,()*]+", " "),
+)
+#: The characters of play scripts, by their ids.
+SPEECH = "\n !\"&'(),-.0123456789:;>?ABCDEFGHIJKLMNOPQRSTUVWXYZ[]abcdefghijklmnopqrstuvwxyz}"
+
 
 def _all(text: Column, rules) -> Column:
     for pattern, to in rules:
@@ -25,13 +35,7 @@ def tag_numbers(text: Column) -> Column:
 
 def tag_post(text: Column) -> Column:
     """Urls, users, emoticons, numbers, slashes, punctuation, hashtags, capitals and lengthened letters as tags, in this order."""
-    #: The patterns and their tags.
-    text = _all(text, (
-        (r"(http://www\.|https://www\.|http://|https://|www\.)[A-Za-z0-9./\]+\[]*", " <url> "), (r"\[\[User(.*)\|", " <user> "), (r"@[^\s]+", " <user> "),
-        (r"[-+]?[.\d]*[\d]+[:,.\d]*", " <number> "), ("<3", " <heart> "), (f"{EYES}{NOSE}[Dd)]", " <smile> "), (f"[(d]{NOSE}{EYES}", " <smile> "),
-        (f"{EYES}{NOSE}p", " <lolface> "), (rf"{EYES}{NOSE}\(", " <sadface> "), (rf"\){NOSE}{EYES}", " <sadface> "), (rf"{EYES}{NOSE}[/|l*]", " <neutralface> "),
-        ("/", " / "), ("[.?!:;,()*]+", " "),
-    ))
+    text = _all(text, TAGS)
     return F.regexp_replace(tag_capitals(tag_hashtags(text)), r"(.)\1{2,}", "$1 <elong> ")
 
 
@@ -73,3 +77,13 @@ def char_ids(text: Column, alphabet: str) -> Column:
     """The place of each character in the alphabet; null where it isn't there."""
     chars = F.array(*[F.lit(c) for c in alphabet])
     return F.transform(F.split(text, ""), lambda c: F.nullif(F.array_position(chars, c), F.lit(0)) - 1)
+
+
+def char_windows(text: Column, width: int, step: int | None = None) -> Column:
+    """Stretches of ``width`` characters (x) and the character after each (y), in order: an array of (x, y).
+
+    Stretches begin every ``step`` (``width``) characters and end before the text's last one, so a text of no more than
+    ``width`` characters has none.  Null text: null.  The text is read once for x and once for y.
+    """
+    form = F.lit(f"(?s)(?=(.{{{width}}})(.)).{{1,{step or width}}}")
+    return F.arrays_zip(F.regexp_extract_all(text, form, F.lit(1)).alias("x"), F.regexp_extract_all(text, form, F.lit(2)).alias("y"))

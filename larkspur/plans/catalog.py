@@ -361,11 +361,6 @@ def x3_number_tags(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.tag_numbers(F.col("text")).alias("tagged"))
 
 
-@query()
-def x1_x12_post_words(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.plain_words(text.tag_post(F.col("text"))).alias("words"))
-
-
 @query("""select vec_id, [cast(x = label as int) for x in range(10)] as one_hot from embeddings""")
 def p3_one_hot(spark, sf_dir):
     hot = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: (x == F.col("label")).cast("int"))

@@ -107,8 +107,3 @@ def z12_hourly_windows(spark, sf_dir):
 @query("select user_id, arg_max(event_type, (ts, event_id)) as state, count(*) as heard from events group by all")
 def z8_client_state(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("state"), F.count("*").alias("heard"))
-
-
-@query()
-def x7_x8_tagged_posts(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.tag_capitals(text.tag_hashtags(F.col("text"))).alias("tagged"))

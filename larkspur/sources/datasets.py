@@ -19,6 +19,25 @@ def delimited(spark: SparkSession, paths: str | list[str], schema: str, sep: str
     return spark.read.schema(schema).options(sep=sep, header=header, encoding=encoding).csv(paths)
 
 
+#: The quoted fields of a line of posts, and the polarity that says neither.
+POST_FIELDS, NEUTRAL = ("polarity", "id", "date", "query", "user", "tweet"), 2
+
+
+def posts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(y, owner, text) of latin-1 files of quoted posts: polarity 0 or 4 as label 0 or 1, neutral ones left out.
+
+    Quotes inside a field stay as they are: fields end at a quote, a comma and a quote.  A line of fewer fields, or with
+    a polarity that is no number, is left out too.
+    """
+    # Whole lines: the text reader knows UTF-8 only, and a line has no such separator.
+    lines = spark.read.schema("value string").options(encoding="ISO-8859-1", sep="\x01", quote="", escape="", lineSep="\n").csv(paths)
+    part = F.split(F.regexp_replace(F.regexp_replace("value", "\r$", ""), '^"+|"+$', ""), '","', -1)
+    field = dict(zip(POST_FIELDS, (F.get(part, F.lit(k)) for k in range(len(POST_FIELDS)))))
+    polarity = F.try_to_number(field["polarity"], F.lit("9")).cast("int")
+    rows = lines.select(polarity.alias("_p"), field["user"].alias("owner"), field["tweet"].alias("text"))
+    return rows.where(F.col("text").isNotNull() & (F.col("_p") != NEUTRAL)).select(F.floor(F.col("_p") / 4).cast("int").alias("y"), "owner", "text")
+
+
 def sampled_owners(samples: DataFrame, owner: str, n: int, seed: int = 0) -> DataFrame:
     """Samples of ``n`` owners, chosen in md5 order of their names."""
     rank = F.md5(F.concat(F.col(owner).cast("string"), F.lit(f"-{seed}")))
