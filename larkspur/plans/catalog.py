@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -338,7 +339,24 @@ def l9_singular_values(spark, sf_dir):
     return spark.createDataFrame([(k, round(float(x), 6)) for k, x in enumerate(values)], "k int, value double")
 
 
-@query()
+def _ridge_sql(columns: list[str], label: str, table: str, penalty: float) -> str:
+    """The normal equations of a few columns and a bias by Cramer's rule, as sums over permutations."""
+    names = [*[f"cast({c} as double)" for c in columns], "1.0::double", f"cast({label} as double)"]
+    n = len(names) - 1
+    sums = ", ".join(f"sum({names[a]} * {names[b]}){f' + {penalty}' if a == b else ''} as g{a}_{b}" for a in range(n) for b in range(n + 1))
+
+    def det(column: int | None) -> str:
+        terms = []
+        for order in permutations(range(n)):
+            sign = "-" if sum(order[a] > order[b] for a in range(n) for b in range(a + 1, n)) % 2 else "+"
+            terms.append(f"{sign} " + " * ".join(f"g{a}_{n if b == column else b}" for a, b in enumerate(order)))
+        return f"(0 {' '.join(terms)})"
+
+    rows = " union all ".join(f"select cast({k} as int) as k, round({det(k)} / {det(None)}, 4) as value from g" for k in range(n))
+    return f"with g as (select {sums} from {table}) {rows}"
+
+
+@query(_ridge_sql(["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "lineitem", 0.1))
 def l14_ridge(spark, sf_dir):
     w = linalg.ridge(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 0.1)
     return spark.createDataFrame([(k, round(float(x), 4)) for k, x in enumerate(w)], "k int, value double")
