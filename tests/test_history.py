@@ -49,3 +49,10 @@ def test_empty_tables(spark):
     none, one = spark.createDataFrame([], PAST), spark.createDataFrame([("a", 0.1)], RUNS)
     assert [tuple(r) for r in settings.unfinished(one, none, "at").collect()] == [("a", 0.1)]
     assert settings.looked_up(one.where("false"), none, "at").count() == 0 and settings.forgotten(none, one).count() == 0 and settings.recorded(none, none, "at").count() == 0
+
+
+def test_no_names_through_the_driver(spark):
+    runs, past = spark.createDataFrame([("a", 0.1)], RUNS), spark.createDataFrame([("ab", 1, "x")], PAST)
+    made = [settings.looked_up(runs, past, "at"), settings.unfinished(runs, past, "at"), settings.with_history(runs, past), settings.forgotten(past, runs)]
+    for df in made:
+        assert df.collect() is not None and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
