@@ -56,3 +56,7 @@ def test_no_names_through_the_driver(spark):
     made = [settings.looked_up(runs, past, "at"), settings.unfinished(runs, past, "at"), settings.with_history(runs, past), settings.forgotten(past, runs)]
     for df in made:
         assert df.collect() is not None and "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_prefix_pairs(twins):
+    twins("j19_runs_by_prefix")
