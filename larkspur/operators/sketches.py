@@ -11,6 +11,10 @@ A sketch has at most levels * rows * buckets cells, whatever the number of keys,
 and is summed on the map side first.  The descent keeps ``width`` groups of a
 level and asks for their children only: width * 2**step estimates a level.
 Null keys or values are left out; an empty vector gives an empty sketch and no keys.
+
+Estimates err where keys outnumber buckets or no key stands out.  Who can ask the
+clients once more takes ``checked``: the candidates' exact sums give a bound that
+the k heaviest keys reach, and the clients' sums from this bound on are the answer.
 """
 
 from __future__ import annotations
@@ -72,6 +76,7 @@ def hierarchy(vector: DataFrame, shape: Shape = Shape(), by: list[str] | None =
     by = by or []
     key = F.when(F.col("key").between(0, (1 << shape.bits) - 1), F.col("key").cast("long")).otherwise(F.raise_error(F.lit(f"a key doesn't fit {shape.bits} bits")))
     rows = vector.where("key is not null and value is not null").select(*by, key.alias("key"), "value")
+    rows = rows.groupBy(*by, "key").agg(F.sum("value").alias("value"))  # linear: one row for each key goes into the sketch
     rows = rows.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(shape.rows - 1)))).withColumn("value", F.col("value") * Shape.sign(F.col("key")))
     rows = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(shape.levels - 1))))
     group = F.expr(f"shiftright(key, level * {shape.step})")
@@ -121,22 +126,51 @@ def heaviest(table: DataFrame, k: int, shape: Shape = Shape(), width: int = 256)
     return found.orderBy(F.desc(F.abs("value")), "key").limit(k)
 
 
+def checked(vector: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """(key, value): the k keys of greatest magnitude (ties: smaller key) by exact sums of (key, value), whatever ``candidates`` (key) miss.
+
+    No key below the k-th magnitude among the candidates can be one of the k, so all others are dropped where they are
+    summed.  Magnitudes that differ by the order of adding only count as ties.  With fewer than k candidates nothing is dropped.
+    """
+    sums = vector.where("key is not null and value is not null").groupBy("key").agg(F.sum("value").alias("value"))
+    asked = F.broadcast(candidates.select("key"))  # no more rows than the estimates gave, k in the queries
+    best = vector.where("value is not null").join(asked, "key", "left_semi").groupBy("key").agg(F.abs(F.sum("value")).alias("m"))
+    told = best.orderBy(F.desc("m")).limit(k).agg(F.min("m").alias("m"), F.count("*").alias("n")).first()
+    bound = told["m"] if told["n"] == k else 0.0
+    found = sums.where(F.abs("value") >= bound * (1 - 1e-9))
+    same = F.round(F.abs("value") / bound, 10) if bound else F.abs("value")
+    return found.orderBy(same.desc(), "key").limit(k)
+
+
 def run_rounds(
-    updates: DataFrame, sizes: DataFrame, rounds: list[int], k: int, shape: Shape = Shape(), width: int = 256, rho: float = 0.9, lr: float = 1.0
+    updates: DataFrame, sizes: DataFrame, rounds: list[int], k: int, shape: Shape = Shape(), width: int = 256, rho: float = 0.9, lr: float = 1.0, exact: bool = False
 ) -> DataFrame:
     """(round, key, value): what the server sends in each of ``rounds``, from (round, client_id, key, value).
 
     Momentum and error live in sketches from round to round: momentum = rho * momentum + mean of the clients' sketches;
     error += lr * momentum; the k heaviest keys of error are sent, and their own sketch comes off it.
-    A round without updates goes on with what error and momentum hold.
+    A round without updates goes on with what error and momentum hold.  With ``exact`` the clients are asked once more
+    each round (``checked``): a key's error is a sum over its updates, by round, less what was sent of it.
     """
     momentum = error = sent = None
+    past: list[int] = []
+    if exact:
+        total = sizes.agg(F.sum("n_train").alias("total"))
+        means = updates.where("key is not null and value is not null").join(sizes, "client_id").crossJoin(F.broadcast(total))  # one row
+        means = means.groupBy("round", "key").agg(F.sum(F.col("value") * F.col("n_train") / F.col("total")).alias("value"))
     for r in rounds:
+        past.append(r)
         own = hierarchy(updates.where(F.col("round") == r).select("client_id", "key", "value"), shape, ["client_id"])
         mean = weighted(own, sizes)
         momentum = settled(mean if momentum is None else combined((momentum, rho), (mean, 1.0)))
         error = settled(combined((momentum, lr)) if error is None else combined((error, 1.0), (momentum, lr)))
-        update = settled(heaviest(error, k, shape, width))
+        update = heaviest(error, k, shape, width)
+        if exact:
+            times = [lr * sum(rho**j for j in range(len(past) - n)) for n in range(len(past))]  # an update counts in every momentum since
+            factor = F.coalesce(*[F.when(F.col("round") == p, t) for p, t in zip(past, times)])
+            owed = means.where(F.col("round").isin(past)).select("key", (F.col("value") * factor).alias("value"))
+            update = checked(owed if sent is None else owed.unionByName(sent.select("key", (-F.col("value")).alias("value"))), settled(update), k)
+        update = settled(update)
         error = combined((error, 1.0), (hierarchy(update, shape), -1.0))
         made = update.select(F.lit(r).cast("long").alias("round"), "key", "value")
         sent = made if sent is None else sent.unionByName(made)

@@ -73,3 +73,32 @@ def test_odd_input(spark):
         sketches.hierarchy(spark.createDataFrame([(1 << 20, 1.0)], "key long, value double"), SHAPE).collect()
     with pytest.raises(ValueError):
         Shape(bits=63)
+
+
+def test_exact_where_no_key_stands_out(spark):
+    """Far more keys than buckets, none of them heavy: estimates alone are wrong here."""
+    shape, k = Shape(rows=3, buckets=64, bits=20, step=4), 5
+    flat = spark.range(5000).select((F.col("id") % 2).alias("round"), (F.col("id") % 3).alias("client_id"), (F.col("id") % 2500).alias("key"), (((F.col("id") * 7919) % 5003) / 4 - 600).alias("value"))
+    sums: dict[int, dict[int, float]] = {0: {}, 1: {}}
+    sizes = {0: 1, 1: 2, 2: 5}
+    rows = [tuple(r) for r in flat.collect()]
+    for r, c, key, v in rows:
+        sums[r][key] = sums[r].get(key, 0.0) + v * sizes[c] / 8
+    order = lambda d: sorted(d, key=lambda x: (-round(abs(d[x]), 6), x))[:k]
+    plain: dict[int, float] = {}
+    for _, _, key, v in rows:
+        plain[key] = plain.get(key, 0.0) + v
+    found = sketches.heaviest(sketches.hierarchy(flat, shape), k, shape, 8)
+    got = [(r["key"], round(r["value"], 6)) for r in sketches.checked(flat, found, k).collect()]
+    assert got == [(x, round(plain[x], 6)) for x in order(plain)]
+    assert [tuple(r) for r in sketches.checked(flat, found.limit(0), 1).select("key").collect()] == [(order(plain)[0],)]
+
+    momentum, error, want = {}, {}, []
+    for r in (0, 1):
+        momentum = {x: 0.9 * momentum.get(x, 0.0) + sums[r].get(x, 0.0) for x in momentum | sums[r]}
+        error = {x: error.get(x, 0.0) + v for x, v in momentum.items()}
+        want += [(r, x, round(error[x], 6)) for x in order(error)]
+        error |= dict.fromkeys(order(error), 0.0)
+    table = spark.createDataFrame(list(sizes.items()), "client_id long, n_train long")
+    made = sketches.run_rounds(flat, table, [0, 1], k, shape, 8, exact=True).collect()
+    assert sorted((r["round"], r["key"], round(r["value"], 6)) for r in made) == sorted(want)
