@@ -9,6 +9,7 @@ factors, of k + extra by k + extra) numbers; U, V and all products stay blocks.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,19 +34,31 @@ def triangle(tall: DataFrame) -> np.ndarray:
         if held:
             yield pa.RecordBatch.from_pydict(blocks.packed([np.linalg.qr(np.vstack(held), "r")]))
 
-    level = tall.select("rows", "cols", "data").mapInArrow(reduced, _TRIANGLE)
+    level = blocks.in_batches(tall.select("rows", "cols", "data"), reduced, _TRIANGLE)
     parts = tall.sparkSession.sparkContext.defaultParallelism
     while parts > FAN:
         parts = -(-parts // FAN)
-        level = level.repartition(parts).mapInArrow(reduced, _TRIANGLE)
-    rows = level.repartition(1).mapInArrow(reduced, _TRIANGLE).collect()  # one triangle, or none
+        level = blocks.in_batches(level.repartition(parts), reduced, _TRIANGLE)
+    rows = blocks.in_batches(level.repartition(1), reduced, _TRIANGLE).collect()  # one triangle, or none
     return blocks.matrix(*rows[0]) if rows else np.zeros((0, 0))
 
 
-def times(tall: DataFrame, small: np.ndarray) -> DataFrame:
-    """Blocks of full width times a matrix of the driver's (features by at most features)."""
+def times(tall: DataFrame, *small: np.ndarray) -> DataFrame:
+    """Blocks of full width times matrices of the driver's (features by at most features), one after the other.
+
+    Each kernel of a task is a Python worker of its own, so what can be multiplied in a row goes through one.
+    """
     shared = tall.sparkSession.sparkContext.broadcast(small)
-    return blocks.mapped(tall, lambda keys, m: [x @ shared.value for x in m])
+    return blocks.mapped(tall, lambda keys, m: [functools.reduce(np.matmul, shared.value, x) for x in m])
+
+
+def _orthonormal(tall: DataFrame, eps: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """(what makes Q of the matrix by ``times``, B)."""
+    _, s, vt = np.linalg.svd(triangle(tall), full_matrices=False)
+    rank = int((s > eps * s.max(initial=0)).sum())
+    first = vt[:rank].T / s[:rank]
+    again = triangle(times(tall, first))
+    return [first, np.linalg.inv(again)], again * s[:rank] @ vt[:rank]
 
 
 def orthonormal(tall: DataFrame, eps: float = 1e-13) -> tuple[DataFrame, np.ndarray]:
@@ -55,19 +68,16 @@ def orthonormal(tall: DataFrame, eps: float = 1e-13) -> tuple[DataFrame, np.ndar
     orthonormal only to the condition number times the machine's precision; its own
     triangle, which is close to the identity, takes that off.
     """
-    _, s, vt = np.linalg.svd(triangle(tall), full_matrices=False)
-    rank = int((s > eps * s.max(initial=0)).sum())
-    near = times(tall, vt[:rank].T / s[:rank])
-    again = triangle(near)
-    return times(near, np.linalg.inv(again)), again * s[:rank] @ vt[:rank]
+    made, small = _orthonormal(tall, eps)
+    return times(tall, *made), small
 
 
 def svd(tall: DataFrame, k: int | None = None, eps: float = 1e-13) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """(U in blocks, singular values, right vectors as columns) of blocks of full width, all of the rank or the first k."""
-    q, small = orthonormal(tall, eps)
+    made, small = _orthonormal(tall, eps)
     u, s, vt = np.linalg.svd(small, full_matrices=False)
     k = len(s) if k is None else min(k, len(s))
-    return times(q, u[:, :k]), s[:k], vt[:k].T
+    return times(tall, *made, u[:, :k]), s[:k], vt[:k].T
 
 
 def _probe(block_row: int, rows: int, width: int, seed: int) -> np.ndarray:
@@ -90,7 +100,7 @@ def leading(matrix: DataFrame, k: int, extra: int = 10, passes: int = 2, seed: i
             ms = [_probe(r, n, k + extra, seed) for r, n in zip(b.column("block_row").to_pylist(), b.column("rows").to_pylist())]
             yield pa.RecordBatch.from_pydict({"block_row": b.column("block_row"), "block_col": pa.array([0] * b.num_rows, pa.int64())} | blocks.packed(ms))
 
-    probe = sizes.mapInArrow(made, blocks.BLOCK)
+    probe = blocks.in_batches(sizes, made, blocks.BLOCK)
     q, _ = orthonormal(blocks.multiply(matrix, probe))
     for _ in range(passes):
         z, _ = orthonormal(blocks.multiply(turned, q))

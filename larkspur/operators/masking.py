@@ -115,7 +115,7 @@ def covered_right(spark, bounds: list[tuple[int, int]], n_cols: int, width: int,
             keys = {"owner": b.column("owner"), "block_row": b.column("block_row"), "block_col": pa.array([0] * b.num_rows, pa.int64())}
             yield pa.RecordBatch.from_pydict(keys | blocks.packed(made))
 
-    return plan.mapInArrow(kernel, f"owner int, {blocks.BLOCK}")
+    return blocks.in_batches(plan, kernel, f"owner int, {blocks.BLOCK}")
 
 
 def answered(v: DataFrame, asked: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def answered(v: DataFrame, asked: DataFrame) -> DataFrame:
             made = [x.T @ q for x, q in zip(blocks.matrices(b), blocks.matrices(b, "q_"))]
             yield pa.RecordBatch.from_pydict({c: b.column(c) for c in ("owner", *blocks.PLACE)} | blocks.packed(made))
 
-    return both.mapInArrow(kernel, f"owner int, {blocks.BLOCK}")
+    return blocks.in_batches(both, kernel, f"owner int, {blocks.BLOCK}")
 
 
 def uncovered(answers: DataFrame, bounds: list[tuple[int, int]], n_cols: int, width: int, cover_seed: int) -> DataFrame:
@@ -142,4 +142,4 @@ def uncovered(answers: DataFrame, bounds: list[tuple[int, int]], n_cols: int, wi
                 i, k = np.indices(v.shape).reshape(2, -1)
                 yield pa.RecordBatch.from_pydict({"owner": pa.array([own] * v.size, pa.int32()), "col": pa.array(i + begin), "k": pa.array(k), "value": pa.array(v.ravel())})
 
-    return answers.mapInArrow(kernel, "owner int, col long, k long, value double")
+    return blocks.in_batches(answers, kernel, "owner int, col long, k long, value double")

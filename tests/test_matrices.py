@@ -146,3 +146,10 @@ def test_owners_recover_their_parts(spark, owners, width):
     # Another cover gives something else: what the server returns is of no use without it.
     wrong = masking.uncovered(masking.answered(v, masking.covered_right(spark, bounds, 11, width, 2, 3)), bounds, 11, width, 4)
     assert not np.allclose(sorted(r["value"] for r in wrong.collect()), sorted(got.ravel()))
+
+
+def test_batches_of_blocks_are_bounded(spark):
+    """A kernel gets a few MB of blocks at a time, however many a task has."""
+    found = spark.range(600).repartition(1).select(F.col("id").alias("block_row"), F.lit(0).cast("long").alias("block_col"), F.lit(256).alias("rows"), F.lit(8).alias("cols"), F.expr("cast(repeat('0', 16384) as binary)").alias("data"))
+    sizes = blocks.mapped(found, lambda keys, m: [np.full((1, 1), len(m)) for _ in m])
+    assert max(r["value"] for r in blocks.to_cells(sizes, 1, 1).collect()) < 400
