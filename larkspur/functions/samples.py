@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions.stem import stems
-from larkspur.functions.text import char_ids, char_windows, plain_words, tag_post
+from larkspur.functions.text import plain_words, tag_post
 
 
 def one_hot(label: Column, classes: int) -> Column:
@@ -29,9 +33,16 @@ def token_vectors(tokens: DataFrame, vectors: DataFrame, token: str, vector: str
     return tokens.join(vectors.select(token, F.col(vector).cast("array<double>").alias(vector)), token, "left").withColumn(vector, F.coalesce(vector, zeros))
 
 
-def mean_pool(rows: DataFrame, owner: str, vector: str) -> DataFrame:
-    """(owner, dim, value): the mean of the owner's vectors by dimension."""
-    return rows.select(owner, F.posexplode(vector).alias("dim", "v")).groupBy(owner, "dim").agg(F.avg("v").alias("value"))
+def mean_pool(rows: DataFrame, owner: str, vector: str, size: int | None = None) -> DataFrame:
+    """(owner, dim, value): the mean of the owner's vectors by dimension.
+
+    Where all vectors have ``size`` values (others are an error then), an owner's sums are one row and not one for each dimension.
+    """
+    if size is None:
+        return rows.select(owner, F.posexplode(vector).alias("dim", "v")).groupBy(owner, "dim").agg(F.avg("v").alias("value"))
+    whole = F.when(F.size(vector) == size, F.col(vector)).otherwise(F.raise_error(F.lit(f"a vector without {size} values")).cast("array<double>"))
+    means = rows.where(F.col(vector).isNotNull()).select(owner, whole.alias("v")).groupBy(owner).agg(F.array(*[F.avg(F.get("v", F.lit(k))) for k in range(size)]).alias("m"))
+    return means.select(owner, F.posexplode("m").alias("dim", "value"))
 
 
 def item_popularity(ratings: DataFrame, item: str) -> DataFrame:
@@ -62,8 +73,31 @@ def char_samples(texts: DataFrame, key: str, text: str, alphabet: str, width: in
 
     With ``strict`` the job fails at a character outside the alphabet; else its id is null.
     """
-    cut = texts.select(key, F.posexplode(char_windows(F.col(text), width, step)).alias("k", "w"))
-    cut = cut.select(key, (F.col("k") * (step or width)).alias("k"), char_ids(F.col("w.x"), alphabet).alias("x"), F.get(char_ids(F.col("w.y"), alphabet), F.lit(0)).alias("y"))
+    step, size = step or width, (1 << 20) // (width + 1) + 1
+    places = np.full(max(map(ord, alphabet), default=0) + 2, -1)
+    for at in range(len(alphabet) - 1, -1, -1):
+        places[ord(alphabet[at])] = at
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for owner, t in zip(b.column(0), b.column(1).to_pylist()):
+                codes = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), "<u4")
+                if len(codes) <= width:
+                    continue
+                ids = places[np.minimum(codes, len(places) - 1)]
+                spans = np.lib.stride_tricks.sliding_window_view(ids, width + 1)[::step]
+                for first in range(0, len(spans), size):  # a long text gives many batches
+                    own = spans[first : first + size]
+                    x, y = own[:, :width].ravel(), own[:, width]
+                    yield pa.RecordBatch.from_pydict({
+                        key: pa.array([owner.as_py()] * len(own), b.schema.field(0).type), "k": pa.array(np.arange(first, first + len(own), dtype="i4") * step, pa.int32()),
+                        "x": pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype="i4") * width), pa.array(x, mask=x < 0)), "y": pa.array(y, mask=y < 0),
+                    })
+
+    conf = texts.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    cut = texts.select(key, text).mapInArrow(kernel, f"`{key}` {texts.schema[key].dataType.simpleString()}, k int, x array<long>, y long")
     if strict:
         whole = F.forall("x", lambda i: i.isNotNull()) & F.col("y").isNotNull()
         cut = cut.withColumn("y", F.when(whole, F.col("y")).otherwise(F.raise_error(F.lit("a character outside the alphabet")).cast("long")))
@@ -77,7 +111,7 @@ def post_vectors(posts: DataFrame, key: str, text: str, vectors: DataFrame, toke
     """
     words = F.split(plain_words(tag_post(F.coalesce(F.col(text), F.lit("")))), " ")
     tokens = posts.select(key, F.explode(stems(words) if stemmed else words).alias(token))
-    found = mean_pool(token_vectors(tokens, vectors, token, vector, size), key, vector)
+    found = mean_pool(token_vectors(tokens, vectors, token, vector, size), key, vector, size)
     return found.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda c: c["value"]).alias("x"))  # ``size`` cells
 
 

@@ -142,13 +142,13 @@ def j4_identity_labels(spark, sf_dir):
 def _tokens(spark, sf_dir):
     ev = read(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 700).alias("token"))
     vectors = read(spark, sf_dir, "embeddings").where("vec_id < 500").select(F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
-    return samples.token_vectors(ev, vectors, "token", "vector", 64)
+    return samples.token_vectors(ev.repartition("user_id"), vectors, "token", "vector", 64)  # so a task sums some users and not parts of all
 
 
 @query("""with t as (select user_id, event_id % 700 as token from events)
 select user_id, k - 1 as dim, round(avg(coalesce(cast(embedding[k] as double), 0)), 6) as value from t left join (select * from embeddings where vec_id < 500) e on e.vec_id = token, (select unnest(range(1, 65)) as k) group by all""")
 def j5_x15_mean_vectors(spark, sf_dir):
-    return samples.mean_pool(_tokens(spark, sf_dir), "user_id", "vector").select("user_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+    return samples.mean_pool(_tokens(spark, sf_dir), "user_id", "vector", 64).select("user_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
 
 
 @query("""with w as (select conv_id, turn, role, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g')), ' '), lambda x: true) as w from conversations)

@@ -53,3 +53,18 @@ def test_a_strict_alphabet(spark):
 
 def test_the_alphabet_has_a_class_for_each_character():
     assert len(text.SPEECH) == len(set(text.SPEECH)) == 80
+
+
+def test_no_search_of_the_alphabet_for_each_character(spark):
+    rows = spark.createDataFrame([(1, "ab\U0001f600ba")], "id long, t string")
+    found = samples.char_samples(rows, "id", "t", "ab", 2)
+    assert "array_position" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(1, 0, [0, 1], None), (1, 2, [None, 1], 0)]
+
+
+def test_one_row_of_sums_an_owner(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 6.0]), (2, [None, 5.0]), (3, None)], "u long, v array<double>")
+    made = samples.mean_pool(rows, "u", "v", 2)
+    assert sorted(tuple(r) for r in made.collect()) == [(1, 0, 2.0), (1, 1, 4.0), (2, 0, None), (2, 1, 5.0)]
+    with pytest.raises(Exception, match="a vector without 3 values"):
+        samples.mean_pool(rows, "u", "v", 3).collect()
