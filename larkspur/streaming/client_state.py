@@ -20,6 +20,7 @@ import sys
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -40,47 +41,51 @@ class ClientRounds(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", "round long, ts long, id long, value long")
+        self.pending = handle.getListState("pending", "round long, n long, rows binary")  # n messages of a round: ts, id, value
         self.residual = handle.getValueState("residual", "residual long, last_round long")
 
-    def _close(self, round_: int) -> int:
+    def _close(self, round_):
         return (round_ + 1 + self.grace) * DAY_MS
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        late, kept = [], []
         for frame in rows:
-            ts = frame["ts"].astype("datetime64[us]").astype("int64")
-            for r, t, i, v in zip(frame["round"].tolist(), ts.tolist(), frame["id"].tolist(), frame["value"].tolist()):
-                if t >= self._close(r) * 1000:
-                    late.append(("late", key[0], r, i, None, None))
-                else:
-                    kept.append((r, t, i, v))
-        if kept:
-            self.pending.appendList(kept)
-            for r in {x[0] for x in kept}:
+            ts = frame["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+            round_, id_, value = (frame[c].to_numpy("int64") for c in ("round", "id", "value"))
+            late = ts >= self._close(round_) * 1000
+            kept, cells = round_[~late], np.column_stack([ts, id_, value])[~late]
+            rounds, place = np.unique(kept, return_inverse=True)
+            parts = np.split(cells[np.argsort(place, kind="stable")], np.cumsum(np.bincount(place))[:-1]) if len(rounds) else []
+            if parts:
+                self.pending.appendList([(int(r), len(p), p.tobytes()) for r, p in zip(rounds, parts)])
+            for r in rounds.tolist():
                 self.handle.registerTimer(self._close(r))
-        yield pd.DataFrame(late, columns=_COLUMNS)
+            yield self._rows("late", key[0], round_[late], id_[late])
+
+    @staticmethod
+    def _rows(kind, client, rounds, ids, sent=None, residual=None) -> pd.DataFrame:
+        found = pd.DataFrame({"kind": kind, "client_id": client, "round": rounds, "id": ids, "sent": sent, "residual": residual}, columns=_COLUMNS)
+        return found.astype({"sent": "Int64", "residual": "Int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
         held = [tuple(x) for x in self.pending.get()] if self.pending.exists() else []
         due, rest = [x for x in held if self._close(x[0]) <= at], [x for x in held if self._close(x[0]) > at]
         residual = self.residual.get()[0] if self.residual.exists() else 0
-        out, last = [], None
-        for r, _, i, v in sorted(due):
-            if r == last:
-                out.append(("doubled", key[0], r, i, None, None))
-                continue
-            last, whole = r, residual + v
+        last = None
+        for r in sorted({x[0] for x in due}):
+            cells = np.concatenate([np.frombuffer(rows, "int64").reshape(n, 3) for own, n, rows in due if own == r])
+            cells = cells[np.lexsort((cells[:, 2], cells[:, 1], cells[:, 0]))]
+            last, whole = r, residual + int(cells[0, 2])
             sent = whole // self.unit * self.unit
             residual = whole - sent
-            out.append(("sent", key[0], r, i, sent, residual))
+            yield self._rows("sent", key[0], [r], [int(cells[0, 1])], sent, residual)
+            yield self._rows("doubled", key[0], r, cells[1:, 1])
         if last is not None:
             self.residual.update((residual, last))
         self.pending.clear()
         if rest:
             self.pending.put(rest)
-        yield pd.DataFrame(out, columns=_COLUMNS)
+        yield self._rows("sent", key[0], [], [])
 
     def close(self) -> None:
         pass

@@ -104,3 +104,26 @@ def test_masked_rows_say_nothing(round_):
     assert all(plain[r["client_id"], r["pos"]] != r["masked"] for r in rows) and len({r["masked"] for r in rows}) == 54
     parts = messages.first()["message"].split("||")
     assert len(parts) == 5 and int(parts[3], 16) < secret_sharing.PRIME
+
+
+def test_state_rows_are_rounds_not_messages():
+    import pandas as pd
+
+    class Held(list):
+        appendList = list.extend
+
+    class Handle:
+        def getListState(self, name, schema):
+            return Held()
+
+        def getValueState(self, name, schema):
+            return None
+
+        def registerTimer(self, at):
+            pass
+
+    work = client_state.ClientRounds(100, 1)
+    work.init(Handle())
+    frame = pd.DataFrame({"round": [0, 1] * 50, "ts": pd.to_datetime([1] * 100, unit="s"), "id": range(100), "value": [5] * 100})
+    assert all(x.empty for x in work.handleInputRows((7,), iter([frame]), None))
+    assert [(r, n) for r, n, _ in work.pending] == [(0, 50), (1, 50)]
