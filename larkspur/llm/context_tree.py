@@ -162,17 +162,25 @@ class Block:
 
     def counts(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """(different grams in order, how often each stands in a training text)."""
-        keys, times = [], []
+        def merged() -> list[tuple[np.ndarray, np.ndarray]]:
+            key, n = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(key, kind="stable")
+            key, n = key[order], n[order]
+            begin = np.flatnonzero(np.diff(key, prepend=-1))
+            return [(key[begin], np.add.reduceat(n, begin))]
+
+        held, rows, least = [], 0, 2 * _RUN
         for first, key, doc in self.grams(depth):
             both = np.sort(key << 1 | self.train[first + doc])
             begin = np.flatnonzero(np.diff(both >> 1, prepend=-1))
-            keys.append(both[begin] >> 1)
-            times.append(np.add.reduceat(both & 1, begin))
-        key, n = np.concatenate(keys), np.concatenate(times)
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order]
-        begin = np.flatnonzero(np.diff(key, prepend=-1))
-        return key[begin], np.add.reduceat(n, begin)
+            held.append((both[begin] >> 1, np.add.reduceat(both & 1, begin)))
+            rows += len(begin)
+            if rows > least:  # different grams are far fewer than those of all runs together
+                held = merged()
+                rows = len(held[0][0])
+                least = 2 * max(_RUN, rows)
+        return merged()[0]
 
     def words(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
         """(different words by first place, the word of each place, words of each document, times of each word in training texts)."""
@@ -185,8 +193,9 @@ class Block:
             parts.append(np.fromiter(map(known.__getitem__, own), np.int32, len(own)))
             a = b
         at = np.concatenate(parts)
-        blanks = np.concatenate([[0], np.cumsum(np.frombuffer(self.raw, np.uint8) == 32)])
-        n = np.where(self.sizes > 1, blanks[self.starts + self.sizes] - blanks[self.starts] + 1, 0)
+        blanks = np.flatnonzero(np.frombuffer(self.raw, np.uint8) == 32)  # no running total: it takes eight bytes for each byte of the block
+        n = np.diff(np.searchsorted(blanks, self.starts), append=len(blanks)) + (self.sizes > 1)
+        del blanks, parts
         return list(known), at, n, np.bincount(at[np.repeat(self.train, n)], minlength=len(known))
 
 

@@ -204,6 +204,24 @@ def test_context_trees_equal_plain_ones(spark, depth, monkeypatch):
             assert abs(r["base_score"] - sum(log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t))) < 1e-6 * max(1, -s)
 
 
+def test_a_block_takes_little_more_memory_than_its_text():
+    import tracemalloc
+
+    import numpy as np
+
+    own = " ".join(f"word{k % 50:06d}" for k in range(40)).encode() + b"\n"
+    b = object.__new__(context_tree.Block)
+    b.block, b.raw = 0, own * 10_000 + b"\n"  # the last text is empty
+    b.sizes = np.array([len(own)] * 10_000 + [1])
+    b.starts, b.train = np.cumsum(b.sizes) - b.sizes, np.ones(len(b.sizes), bool)
+    tracemalloc.start()
+    words, at, n_words, n = b.words()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(words) == 40 and len(at) == 400_000 and n_words.tolist() == [40] * 10_000 + [0] and n.tolist() == [10_000] * 40
+    assert peak < 8 * len(b.raw)
+
+
 def test_context_trees_without_training_or_rows(spark):
     df = spark.createDataFrame([(1, "ab c"), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in context_tree.score(df, F.lit(True)).collect()}
