@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm._spark import in_batches
-from larkspur.llm.tokens import Coder
+from larkspur.llm.tokens import Coder, held_coder
 
 #: Fixed values of Simple-8b: (ids in a word, bits of each), selectors 1 to 14.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -59,22 +59,23 @@ def pack(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     left = np.repeat(ends, counts) - np.arange(n)  # ids up to the document's end
     widths = _widths(ids) if n and ids.max() >= 1 << 16 else _NARROW[ids.astype(np.int64)]
     choice = np.full(n, _ESCAPE, np.uint8)
-    wide, have = np.concatenate([widths, np.zeros(60, np.uint8)]), 1
+    wide, have = np.concatenate([widths, np.full(60, 64, np.uint8)]), 1  # nothing fits beyond the last id: see below
     for s in range(len(SELECTORS), 0, -1):  # from one id a word to sixty
         count, bits = SELECTORS[s - 1]
         while have < count:
             step = min(have, count - have)
-            wide = np.maximum(wide, np.concatenate([wide[step:], np.zeros(step, np.uint8)]))
+            wide = np.maximum(wide, np.concatenate([wide[step:], np.full(step, 64, np.uint8)]))
             have += step
+        if n and wide.min() > bits:  # nor does it with more ids in fewer bits
+            break
         choice[wide[:n] <= bits] = s
     # Beyond a document's end no id counts, so its last words may be short.
     tail = np.flatnonzero(left < 60)
-    for s in range(len(SELECTORS), 0, -1):
-        count, bits = SELECTORS[s - 1]
-        short = tail[left[tail] <= count]
-        if len(short):
-            top = np.maximum.reduceat(np.append(widths, np.uint8(0)), np.stack([short, short + left[short]], 1).ravel())[::2]
-            choice[short[top <= bits]] = s
+    if len(tail):
+        top = np.maximum.reduceat(np.append(widths, np.uint8(0)), np.stack([tail, tail + left[tail]], 1).ravel())[::2]
+        for s in range(len(SELECTORS), 0, -1):
+            count, bits = SELECTORS[s - 1]
+            choice[tail[(left[tail] <= count) & (top <= bits)]] = s
     steps = np.minimum(_COUNT[choice], left).tolist()
     starts, at = [], 0
     add = starts.append
@@ -144,7 +145,7 @@ def write_store(documents: DataFrame, path: str, coder: Coder, end_id: int | Non
     end = [] if end_id is None else [end_id]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, part, block, first = Coder(shared.value).ids, TaskContext.get().partitionId(), 0, 0
+        code, part, block, first = held_coder(shared.value).ids, TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, block_docs):
                 piece = batch.slice(at, block_docs)

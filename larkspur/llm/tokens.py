@@ -2,7 +2,8 @@
 
 A text is parted at the file's special tokens, the rest split into words by the
 pattern of byte-level BPE, and words become ids: by ``merged``, the merges of the
-file, or by the tokenizers library, of which each different word is asked once.
+file, or by the tokenizers library, whose model is asked for each different word
+once, and again only if a process has forgotten it meanwhile.
 
 Texts of ASCII and Latin letters are split with an equal pattern of the standard
 library.  A text with characters that the standard library's Unicode tables
@@ -16,8 +17,7 @@ import json
 import re
 import sys
 import unicodedata
-from functools import cache, cached_property
-from itertools import chain
+from functools import cache, cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -28,7 +28,7 @@ _SPACE = r"\t-\r "
 SPLIT = rf"'(?:[sdmt]|ll|ve|re)| ?[{_LATIN}]+| ?[0-9]+| ?[^{_SPACE}{_LATIN}0-9]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 FULL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
 _OTHER = re.compile("[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-ɏ]")
-_HELD = 400_000
+_HELD = 200_000
 
 
 @cache
@@ -51,6 +51,21 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+class _Known(dict):
+    """What ``made`` gives for each word; of words not met since two lots of ``_HELD`` were full nothing is kept."""
+
+    def __init__(self, made, older: dict | None = None):
+        super().__init__()
+        self.made, self.older = made, older or {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            found = self.made(word)
+        self[word] = found
+        return found
+
+
 class Coder:
     """Made from the text of a tokenizers file; what it builds stays in the process."""
 
@@ -112,35 +127,33 @@ class Coder:
         return [self.special[p] if p in self.special else split(p) for p in special.split(text)]
 
     @cached_property
-    def _known(self) -> dict[str, bytes]:
-        return {}
+    def _word_ids(self):
+        """The uint32 ids of a word as bytes, by the library's model."""
+        ask, letters = self._library.model.tokenize, {b: c for c, b in byte_letters().items()}
+        blank, shown, packed = letters[32], str.maketrans({chr(b): c for b, c in letters.items()}), [k.to_bytes(4, sys.byteorder) for k in range(len(self.token_bytes))]
+
+        def made(word: str) -> bytes:
+            if word.isascii() and word.isprintable():  # its letters stand for themselves
+                word = word.replace(" ", blank)
+            else:
+                word = word.encode().decode("latin-1").translate(shown)
+            return b"".join([packed[t.id] for t in ask(word)])
+
+        return made
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """uint32 ids of whole texts by the tokenizers library, which is asked once for each different word."""
-        parts = [self.parts(t) for t in texts]
-        known = self._known
-        if len(known) > _HELD:
-            known.clear()
-        new = [w for w in set(chain.from_iterable(p for x in parts if x is not None for p in x if not isinstance(p, int))) if w not in known]
-        # The library takes many words as one text: those that begin with a blank are told apart again wherever
-        # they stand, and those without any blank where line breaks stand between them.
-        spaced = [w for w in new if w[0] == " " and len(w) > 1 and not w[1].isspace()]
-        bare = [w for w in new if not w[0].isspace()]
-        for words, gap, step in ((spaced, "", 1), (bare, "\n", 2)):
-            for k in range(0, len(words), 8192):
-                own = words[k : k + 8192]
-                made = self._library.encode(gap.join(own), add_special_tokens=False)
-                ids, ends = np.array(made.ids, np.uint32).tobytes(), (4 * np.cumsum(np.bincount(made.word_ids, minlength=step * len(own)))).tolist()
-                known.update((w, ids[a:b]) for w, a, b in zip(own, [0, *ends][::step], ends[::step]))
-        rest = [w for w in new if w not in known]
-        known.update(zip(rest, (np.array(e.ids, np.uint32).tobytes() for e in self._library.encode_batch_fast(rest, add_special_tokens=False))))
-        out = []
-        for text, x in zip(texts, parts):
+        """uint32 ids of whole texts by the tokenizers library."""
+        known, out = self.__dict__.setdefault("_known", _Known(self._word_ids)), []
+        for text in texts:
+            x = self.parts(text)
             if x is None:
                 out.append(np.array(self.library_ids(text), np.uint32))
-            else:
-                own = [p.to_bytes(4, sys.byteorder) if isinstance(p, int) else b"".join(map(known.__getitem__, p)) for p in x]
-                out.append(np.frombuffer(b"".join(own), np.uint32))
+                continue
+            own = [p.to_bytes(4, sys.byteorder) if isinstance(p, int) else b"".join(map(known.__getitem__, p)) for p in x]
+            out.append(np.frombuffer(b"".join(own), np.uint32))
+            if len(known) > _HELD:
+                known = self._known = _Known(self._word_ids, known)
+                known.older.older = {}
         return out
 
     def library_ids(self, text: str) -> list[int]:
@@ -187,3 +200,9 @@ class Coder:
                 if x >= 0 and y < n and (pair := (parts[x], parts[y])) in rank:
                     heapq.heappush(todo, (rank[pair], x, *pair))
         return [vocab[p] for p in parts if p is not None]
+
+
+@lru_cache(maxsize=1)
+def held_coder(file_text: str) -> Coder:
+    """The coder of this process: tasks that follow each other use what the ones before have built and asked."""
+    return Coder(file_text)

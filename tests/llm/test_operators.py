@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from larkspur.llm import chat_format, decontaminate, jaccard_join, language_id, lexicon_bpe, line_dedup, perplexity, suffix_dedup, token_store, url_rules
+from larkspur.llm import chat_format, decontaminate, jaccard_join, language_id, lexicon_bpe, line_dedup, perplexity, suffix_dedup, token_store, tokens, url_rules
 from larkspur.llm.queries import HOST_RULES, ORACLE_SQL, QUERIES, tokenizer
 
 DATA = "/root/testdata/sf0.001"
@@ -480,6 +480,20 @@ def test_words_of_all_scripts_equal_the_library():
     assert coder.merged(long.encode()) == coder.library_ids(long)
 
 
+def test_a_process_asks_for_a_frequent_word_once(monkeypatch):
+    monkeypatch.setattr(tokens, "_HELD", 50)
+    coder, asked = tokens.held_coder(tokenizer().file_text), Counter()
+    assert coder is tokens.held_coder(tokenizer().file_text)  # tasks share what they have built
+    made = tokens.Coder(coder.file_text)._word_ids
+    coder = tokens.Coder(coder.file_text)
+    coder.__dict__["_word_ids"] = lambda word: asked.update([word]) or made(word)
+    for k in range(100):  # many more words than are held
+        text = "often" + "".join(f" é{chr(97 + k // 10)}{chr(97 + k % 10)}{chr(97 + j)}" for j in range(5))
+        assert coder.ids([text])[0].tolist() == coder.library_ids(text)
+        assert len(coder._known) + len(coder._known.older) <= 150
+    assert asked["often"] == 1 and len(asked) > 400
+
+
 def test_pipeline_filters_on_odd_rows(spark):
     """The filtering stages on nulls, empty texts, repeated rows and clashing names, held against plain versions."""
     own = "own words of this text that nobody else has written down so far number"
