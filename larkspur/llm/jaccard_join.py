@@ -14,9 +14,10 @@ expanded to members, which are verified on whole sets.
 
 Copies are not expanded into all pairs: in rounds of star links the members of
 each group meet one centre of their own group and of each shingle, which settles
-most components; after that only groups that still lie in different components,
-or whose own members do, are paired, all of them.  So no link between
-components is lost.
+most components.  Rounds go on, with other centres, while many groups that meet
+lie in different components and the last round made them fewer.  After that only
+groups that still lie in different components, or whose own members do, are
+paired, all of them.  So no link between components is lost.
 
 A null or wordless text has an empty set and links with nothing.  Repeated rows
 give repeated results; a null id takes part, and a component's id is the least
@@ -145,7 +146,7 @@ def _posted(shared, bits: int):
 
 def similar_components(
     documents: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text",
-    star_rounds: int = 1, crowd_least: int = 8, few_pairs: int = 100_000,
+    star_rounds: int = 1, most_rounds: int = 6, few_apart: int = 8, crowd_least: int = 8, few_pairs: int = 100_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: documents link from ``percent`` % Jaccard similarity on.
 
@@ -208,14 +209,25 @@ def similar_components(
     sketch = [f"s{k}" for k in range(4)]
     labels = active.withColumn("root", F.col("node"))
     links = spark.createDataFrame([], "a long, b long")
-    for turn in range(star_rounds + 1):
+    most_apart, last = few_apart * active.count(), None
+
+    def meetings(whole: DataFrame) -> float:
+        """How often two groups of different components, or of several ones, stand under one shingle."""
+        own = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("grp"))
+        each = places.select("token", "grp").join(whole.select("grp", own.alias("own")), "grp").groupBy("token", "own").agg(F.count("*").cast("double").alias("c"))
+        return each.groupBy("token").agg((F.pow(F.sum("c"), F.lit(2)) - F.sum(F.col("c") * F.col("c"))).alias("n")).agg(F.sum("n") / 2).first()[0] or 0.0
+
+    for turn in range(max(star_rounds, most_rounds) + 1):
         # Roots of a group's members, and the sketch of the node that names it: the sketch of all where there is one member.
         whole = checkpointed(labels.groupBy("grp").agg(
             F.min("root").alias("low"), F.max("root").alias("high"), F.first("n").alias("n"), F.first("members").alias("members"), F.first("shares").alias("shares"),
             *[F.max(F.when(F.col("node") == F.col("grp"), F.col(c))).alias(c) for c in sketch], F.max(F.when(F.col("node") == F.col("grp"), F.col("root"))).alias("root"),
         ))
         kinds = places.select("token", "grp").join(whole.select("grp", "low", "high"), "grp").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("many")).where("low < high")
-        final = turn == star_rounds
+        final = turn >= star_rounds
+        if final and turn < most_rounds:
+            left = meetings(whole)
+            final, last = left <= most_apart or (last is not None and left > 0.9 * last), left
         if not final:
             kinds = kinds.where(F.col("many") > crowd_least)
         at = places.join(kinds.select("token"), "token").select("token", "grp", "next").join(whole, "grp")
@@ -237,7 +249,7 @@ def similar_components(
             pairs = pairs.join(labels.alias("z"), F.col("h") == F.col("z.grp")).where(f"x.root <> z.root and (g <> h or x.node < z.node) and {fits.replace('y.', 'z.')}")
             pairs = pairs.select(F.col("x.node").alias("a"), F.col("z.node").alias("b"))
         else:
-            first = F.xxhash64("grp", F.lit(turn)) if turn % 2 else -F.col("shares")
+            first = F.xxhash64("grp", F.lit(turn)) if turn else -F.col("shares")
             centre = at.groupBy("token").agg(F.min(F.struct(first.alias("d"), "grp")).alias("c")).select("token", F.col("c.grp").alias("h"))
             near = at.select("token", F.col("grp").alias("g")).join(centre, "token").select("g", "h").where("g <> h").distinct()
             # Members of each group against the node that names the centre, of another group or of their own.
@@ -247,6 +259,8 @@ def similar_components(
         links = checkpointed(links.union(verified(pairs)))
         roots = connected_components(links)
         labels = checkpointed(active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        if final:
+            break
 
     known = signed.select("doc_id", "n", "node")
     linked = labels.where("node <> root").select("node", "root")

@@ -480,6 +480,27 @@ def test_words_of_all_scripts_equal_the_library():
     assert coder.merged(long.encode()) == coder.library_ids(long)
 
 
+def test_many_near_copies_meet_few_centres(spark, monkeypatch):
+    """Most pairs of a crowd link, but a first round settles nothing: further ones do, and not all pairs are formed."""
+    rng, links, found = random.Random(5), [], jaccard_join.connected_components
+    monkeypatch.setattr(jaccard_join, "connected_components", lambda made: links.append(made.count()) or found(made))
+    base, rows = [f"word{k}" for k in range(200)], []
+    for k in range(120):
+        own = list(base)
+        for at in rng.sample(range(200), rng.choice([1, 2, 2, 3])):
+            own[at] = f"other{k}x{at}"
+        rows.append((k, " ".join(own)))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.similar_components(df, 5, 80, star_rounds=0).collect()}
+    assert got == dict(enumerate(root)) and max(links) < 10 * len(rows)
+
+
 def test_a_process_asks_for_a_frequent_word_once(monkeypatch):
     monkeypatch.setattr(tokens, "_HELD", 50)
     coder, asked = tokens.held_coder(tokenizer().file_text), Counter()
