@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm._graph import connected_components
-from larkspur.llm._spark import bit_filter, checkpointed, filter_bits, in_batches
+from larkspur.llm._spark import bit_filter, checkpointed, filter_bits, gathered, in_batches
 from larkspur.llm._words import NOT_SPACE, as_bytes, byte_table, mix, runs, words_of
 
 _TABLE = byte_table(NOT_SPACE)
@@ -189,16 +189,19 @@ def similar_components(
     sketches = signed.where("n > 0").groupBy("node").agg(*[F.first(f"s{k}").alias(f"s{k}") for k in range(4)])
     active = grouped.join(crowded.select("grp", "members", F.coalesce("shares", F.lit(0)).alias("shares")), "grp")
     active = checkpointed(active.join(sketches, "node"))
+    nodes = active.count()
+    active = gathered(active, nodes, 5000)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = checkpointed(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        ends = pairs.select("a").union(pairs.select("b")).distinct()
-        bits = filter_bits(ends.count(), 25)
-        asked = spark.sparkContext.broadcast(bit_filter(ends, "a", bits))
+        many = pairs.count()
+        pairs = gathered(pairs, many, 20_000)
+        bits = filter_bits(min(2 * many, nodes), 25)
+        asked = spark.sparkContext.broadcast(bit_filter(pairs.select(F.explode(F.array("a", "b")).alias("a")), "a", bits))
         sets = in_batches(rows.select("text"), _members(size, asked, bits), "node long, members array<long>").groupBy("node").agg(F.first("members").alias("members"))
         left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
         # One set of each pair goes to the other's place: sets by node are where they are made, so only these move.
-        near = F.broadcast(pairs) if pairs.count() <= few_pairs else pairs  # 16 bytes each
+        near = F.broadcast(pairs) if many <= few_pairs else pairs  # 16 bytes each
         both = left.join(near, "a").join(right, "b")
         common = F.size(F.array_intersect("sa", "sb"))
         return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
@@ -209,7 +212,7 @@ def similar_components(
     sketch = [f"s{k}" for k in range(4)]
     labels = active.withColumn("root", F.col("node"))
     links = spark.createDataFrame([], "a long, b long")
-    most_apart, last = few_apart * active.count(), None
+    most_apart, last = few_apart * nodes, None
 
     def meetings(whole: DataFrame) -> float:
         """How often two groups of different components, or of several ones, stand under one shingle."""
@@ -258,6 +261,7 @@ def similar_components(
             pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.grp").alias("b"))
         links = checkpointed(links.union(verified(pairs)))
         roots = connected_components(links)
+        links = roots.where("node <> root").toDF("a", "b")
         labels = checkpointed(active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
         if final:
             break

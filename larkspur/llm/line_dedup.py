@@ -448,6 +448,7 @@ def line_links(rows: DataFrame, least: int, edits: int, crowd: int, group: int)
         links = verified(pairs, "short")
         if not waiting.isEmpty():
             roots = connected_components(links)
+            links = roots.where("node <> root").toDF("a", "b")
             known = lines.join(roots, lines["id"] == roots["node"], "left").select("short", "id", "tally", "size", F.coalesce("root", "id").alias("root"))
             waits = waiting.join(known, "short").select("key", "role", "side", "id", "root", "tally", "size").repartition("key").sortWithinPartitions("key")
             links = verified(checkpointed(in_batches(waits, _apart(edits, group), "a long, b long").distinct()), "id")

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from larkspur.llm import chat_format, decontaminate, jaccard_join, language_id, lexicon_bpe, line_dedup, perplexity, suffix_dedup, token_store, tokens, url_rules
+from larkspur.llm import _graph, chat_format, decontaminate, jaccard_join, language_id, lexicon_bpe, line_dedup, perplexity, suffix_dedup, token_store, tokens, url_rules
 from larkspur.llm.queries import HOST_RULES, ORACLE_SQL, QUERIES, tokenizer
 
 DATA = "/root/testdata/sf0.001"
@@ -501,6 +501,35 @@ def test_many_near_copies_meet_few_centres(spark, monkeypatch):
     assert got == dict(enumerate(root)) and max(links) < 10 * len(rows)
 
 
+def test_components_of_few_links_need_few_tasks(spark, monkeypatch):
+    """One task settles links that fit it; of more, tasks keep stars, and rounds over all of them do the rest."""
+    rng, context = random.Random(8), spark.sparkContext
+    pairs = [(k, k + 1) for k in range(400)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(300)] + [(7, 7), (2000, 2000), (None, 3), (5, None), (2, 1)] + [(3000, 3001)] * 3
+    root: dict[int, int] = {}
+
+    def least(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        if a is not None and b is not None and a != b:
+            a, b = least(a), least(b)
+            root[max(a, b)] = min(a, b)
+    rng.shuffle(pairs)
+    links = spark.createDataFrame(pairs, "a long, b long").repartition(8).localCheckpoint()
+    context.setJobGroup("components", "")
+    assert sorted(map(tuple, _graph.connected_components(links).collect())) == sorted((x, least(x)) for x in root)
+    context.setJobGroup("", "")
+    tracker = context.statusTracker()
+    stages = {s for job in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(job).stageIds}
+    assert sum(tracker.getStageInfo(s).numTasks for s in stages) <= 20
+    for most in (50, 3):
+        monkeypatch.setattr(_graph, "_TASK_LINKS", most)
+        assert sorted(map(tuple, _graph.connected_components(links).collect())) == sorted((x, least(x)) for x in root)
+    assert _graph.connected_components(links.limit(0)).count() == 0
+
+
 def test_a_process_asks_for_a_frequent_word_once(monkeypatch):
     monkeypatch.setattr(tokens, "_HELD", 50)
     coder, asked = tokens.held_coder(tokenizer().file_text), Counter()
