@@ -75,11 +75,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every row; a null text has no ids, repeated rows have equal ones."""
     ship(spark)
-    made = lexicon_bpe.encode(docs.select("doc_id", "text"), queries.tokenizer(), keep=True)
-    return made.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.col("ids").cast("array<int>").alias("ids"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    made = lexicon_bpe.encode(docs.select("doc_id", "text"), queries.tokenizer(), keep=["ids"])
+    return made.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [

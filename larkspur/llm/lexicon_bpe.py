@@ -3,7 +3,8 @@
 Spark counts words over the whole corpus; the most frequent become a lexicon: a
 minimal acyclic automaton whose common endings are shared, with numbers on its
 arcs that add up to a word's place in a table of id lists.  Tasks map it into
-memory from a file and run the different words of a batch through it together.
+memory from a file and run the different words of some texts through it together;
+what they hold at a time is bounded by a few hundred KB of text, or by one text.
 Words that it doesn't hold, of any script, are merged exactly, by the file's own
 merges.  The lexicon changes speed only.
 
@@ -21,8 +22,7 @@ import hashlib
 import mmap
 import tempfile
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm._spark import in_batches
-from larkspur.llm._words import as_bytes
+from larkspur.llm._words import as_bytes, runs
 from larkspur.llm.tokens import Coder
 
 #: Letters and digits stay; all else parts words.
 _PART = bytes(x if 48 <= x < 58 or 65 <= x < 91 or 97 <= x < 123 or x > 127 else 32 for x in range(256))
-_HELD = 250_000
+#: Words that a task remembers, twice; characters of the texts that it encodes together, unless one text has more.
+_HELD, _STEP = 60_000, 1 << 19
 
 
 def frequent_words(documents: DataFrame, text_col: str = "text", top: int = 50_000, share: float = 2e-6) -> list[bytes]:
@@ -167,6 +168,7 @@ class LexiconCoder:
         self.coder, self.transducer = coder, transducer
         self.found = self.missed = 0  # different words that the lexicon holds, and that had to be merged
         self._known: dict[str, tuple[int, bytes, bytes]] = {}
+        self._older: dict[str, tuple[int, bytes, bytes]] = {}
 
     def entry(self, ids: Iterable[int]) -> tuple[int, bytes, bytes]:
         """(how many, decimal ids, decoded bytes) of the ids of a piece."""
@@ -174,8 +176,10 @@ class LexiconCoder:
         return len(ids), ",".join(map(str, ids)).encode(), b"".join([token[i] for i in ids])
 
     def _learn(self, words: set[str]) -> None:
-        if len(self._known) > _HELD:
-            self._known.clear()
+        if len(self._known) > _HELD:  # words not met since the last time are forgotten
+            self._older, self._known = self._known, {}
+        if self._older:
+            self._known |= {w: self._older[w] for w in words & self._older.keys()}
         new = [w for w in words if w not in self._known]
         raw = [w.encode() for w in new]
         for word, piece, ids in zip(new, raw, self.transducer.look_up(raw)):
@@ -201,35 +205,42 @@ class LexiconCoder:
             yield out
 
 
-def encode(documents: DataFrame, coder: Coder, top: int = 50_000, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) or, with ``keep``, (doc_id, ids, decoded), for each row."""
+def encode(documents: DataFrame, coder: Coder, top: int = 50_000, id_col: str = "doc_id", text_col: str = "text", keep: bool | Collection[str] = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) for each row; with ``keep`` also ``ids`` and ``decoded``, or those of them that it names."""
     spark = documents.sparkSession
     rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     frequent = frequent_words(rows, "text", top)
     model = spark.sparkContext.broadcast((coder.file_text, Transducer.build({w: coder.merged(w) for w in frequent}).to_bytes()))
     kind = rows.schema["doc_id"].dataType.simpleString()
+    whole = [c for c in ("ids", "decoded") if keep is True or keep and c in keep]
+
+    def encoded(run: LexiconCoder, texts: list[str]) -> dict[str, pa.Array]:
+        n, digests, lists, decoded = [], ([], []), [], []
+        for pieces in run.encode(texts):
+            counts, ids, raw = zip(*pieces) if pieces else ((), (), ())
+            n.append(sum(counts))
+            ids, text = b",".join([x for x in ids if x]), b"".join(raw).decode("utf-8", "replace")
+            digests[0].append(hashlib.sha256(ids).hexdigest())
+            digests[1].append(hashlib.sha256(text.encode()).hexdigest())
+            if "ids" in whole:
+                lists.append(np.fromstring(ids, np.int32, sep=","))
+            if "decoded" in whole:
+                decoded.append(text)
+        out = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(digests[0], pa.string()), "decoded_sha256": pa.array(digests[1], pa.string())}
+        if "ids" in whole:
+            ends = np.cumsum([0] + [len(x) for x in lists], dtype=np.int32)
+            out["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists)))
+        if "decoded" in whole:
+            out["decoded"] = pa.array(decoded, pa.string())
+        return out
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file_text, lexicon = model.value
         run = LexiconCoder(Coder(file_text), Transducer.mapped(lexicon))  # goes with the task, not with the worker
         for batch in batches:
-            n, left, right = [], [], []
             texts = batch.column("text").to_pylist()
-            for pieces in chain.from_iterable(run.encode(texts[k : k + 256]) for k in range(0, len(texts), 256)):
-                counts, ids, decoded = zip(*pieces) if pieces else ((), (), ())
-                n.append(sum(counts))
-                ids, decoded = b",".join([x for x in ids if x]), b"".join(decoded).decode("utf-8", "replace")
-                if keep:
-                    left.append([int(x) for x in ids.split(b",")] if ids else [])
-                    right.append(decoded)
-                else:
-                    left.append(hashlib.sha256(ids).hexdigest())
-                    right.append(hashlib.sha256(decoded.encode()).hexdigest())
-            out = {"doc_id": batch.column("doc_id")}
-            if keep:
-                out |= {"ids": pa.array(left, pa.list_(pa.int64())), "decoded": pa.array(right, pa.string())}
-            else:
-                out |= {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(left, pa.string()), "decoded_sha256": pa.array(right, pa.string())}
-            yield pa.RecordBatch.from_pydict(out)
-
-    return in_batches(rows, work, f"doc_id {kind}, " + ("ids array<long>, decoded string" if keep else "n_tokens long, ids_sha256 string, decoded_sha256 string"))
+            for a, b in runs(texts, _STEP):
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a)} | encoded(run, texts[a:b]))
+
+    kinds = {"ids": "array<int>", "decoded": "string"}
+    return in_batches(rows, work, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {c} {kinds[c]}" for c in whole))

@@ -160,46 +160,49 @@ class Coder:
         return self._library.encode(text, add_special_tokens=False).ids
 
     @cached_property
-    def _merges(self) -> tuple[dict[tuple[str, str], int], dict[str, int], list[str], bool]:
+    def _merges(self) -> tuple[dict[int, int], list[int | None], dict[str, int] | None]:
+        """The pairs of ids that merge, each as one number, with rank and id of what they become; the id of each byte; words that are whole by the file."""
         model = self._file["model"]
-        pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
-        letters = [c for c, _ in sorted(byte_letters().items(), key=lambda x: x[1])]
-        return {p: k for k, p in enumerate(pairs)}, model["vocab"], letters, bool(model.get("ignore_merges"))
+        pairs, vocab = (m.split(" ") if isinstance(m, str) else m for m in model["merges"]), model["vocab"]
+        bytes_of = sorted(byte_letters().items(), key=lambda x: x[1])
+        return {vocab[a] << 32 | vocab[b]: k << 32 | vocab[a + b] for k, (a, b) in enumerate(pairs)}, [vocab.get(c) for c, _ in bytes_of], vocab if model.get("ignore_merges") else None
 
     def merged(self, piece: bytes) -> list[int]:
         """Ids of one word: the pair of least rank is merged first, the leftmost of equals; n log n in a long word's bytes."""
-        rank, vocab, letters, whole = self._merges
-        parts: list[str | None] = [letters[b] for b in piece]
-        if whole and "".join(parts) in vocab:
-            return [vocab["".join(parts)]]
+        made, byte_ids, whole = self._merges
+        if whole is not None:
+            letters = {b: c for c, b in byte_letters().items()}
+            if (word := "".join([letters[b] for b in piece])) in whole:
+                return [whole[word]]
+        parts = [byte_ids[b] for b in piece]
         if len(parts) <= 48:  # few pairs: looking through all of them costs less than a heap
-            far = len(rank)
-            order = [rank.get(p, far) for p in zip(parts, parts[1:])]
+            far, get = len(made) << 32, made.get
+            order = [get(a << 32 | b, far) for a, b in zip(parts, parts[1:])]
             while order and (least := min(order)) < far:
                 k = order.index(least)
-                parts[k : k + 2] = [parts[k] + parts[k + 1]]
-                del order[k]
+                parts[k] = new = least & 0xFFFFFFFF
+                del parts[k + 1], order[k]
                 if k:
-                    order[k - 1] = rank.get((parts[k - 1], parts[k]), far)
+                    order[k - 1] = get(parts[k - 1] << 32 | new, far)
                 if k < len(order):
-                    order[k] = rank.get((parts[k], parts[k + 1]), far)
-            return [vocab[p] for p in parts]
+                    order[k] = get(new << 32 | parts[k + 1], far)
+            return parts
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n))
-        todo = [(rank[p], k, *p) for k, p in enumerate(zip(parts, parts[1:])) if p in rank]
+        todo = [(made[p], k, p) for k, p in enumerate(a << 32 | b for a, b in zip(parts, parts[1:])) if p in made]
         heapq.heapify(todo)
         while todo:
-            _, k, a, b = heapq.heappop(todo)
+            least, k, p = heapq.heappop(todo)
             j = after[k]
-            if parts[k] != a or j >= n or parts[j] != b:
+            if j >= n or parts[k] < 0 or parts[k] << 32 | parts[j] != p:
                 continue
-            parts[k], parts[j] = a + b, None
+            parts[k], parts[j] = least & 0xFFFFFFFF, -1
             after[k] = after[j]
             before[after[j]] = k
             for x, y in ((before[k], k), (k, after[k])):
-                if x >= 0 and y < n and (pair := (parts[x], parts[y])) in rank:
-                    heapq.heappush(todo, (rank[pair], x, *pair))
-        return [vocab[p] for p in parts if p is not None]
+                if x >= 0 and y < n and (pair := parts[x] << 32 | parts[y]) in made:
+                    heapq.heappush(todo, (made[pair], x, pair))
+        return [p for p in parts if p >= 0]
 
 
 @lru_cache(maxsize=1)

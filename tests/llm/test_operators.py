@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -10,6 +11,7 @@ import corpus_pipeline
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -558,3 +560,40 @@ def test_pipeline_filters_on_odd_rows(spark):
     ids = sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, repeated, DATA).collect())
     assert ids == [1, 2, 3, 4, 5, 6]
     assert corpus_pipeline.dedup_lines(spark, df.limit(0), DATA).count() == corpus_pipeline.drop_near_duplicates(spark, df.limit(0), DATA).count() == 0
+
+
+def test_encoding_holds_little_of_a_batch(spark, monkeypatch):
+    """A task's memory follows a part of a batch and the words it remembers, not all ids of the batch and all words before."""
+    work = []
+    monkeypatch.setattr(lexicon_bpe, "in_batches", lambda df, made, schema: work.append(made))
+    lexicon_bpe.encode(spark.createDataFrame([(1, "a text of a few words")], "doc_id long, text string"), tokenizer(), keep=True)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(1000)) for _ in range(1400)) for _ in range(400)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array(range(400)), "text": pa.array(texts)})] * 2
+    made = work[0](iter(batches))
+    first = next(made)
+    tracemalloc.start()
+    try:
+        got = [first.num_rows] + [b.num_rows for b in made]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(got) == 800 and most < 50e6, most
+    coder = tokenizer()
+    for text, ids in list(zip(texts, first["ids"].to_pylist()))[:5]:
+        assert ids == coder.library_ids(text)
+
+
+def test_words_in_use_are_not_forgotten(monkeypatch):
+    """Beyond the bound, words of before the last turn go; those met since then stay, and ids are the same."""
+    monkeypatch.setattr(lexicon_bpe, "_HELD", 50)
+    coder = tokenizer()
+    run = lexicon_bpe.LexiconCoder(coder, lexicon_bpe.Transducer.build({}))
+    for k in range(39):
+        text = "often " + " ".join(f"w{chr(97 + j)}{chr(97 + k % 26)}{'x' * (k // 26)}" for j in range(20))
+        assert [int(x) for _, ids, _ in next(run.encode([text])) for x in ids.split(b",")] == coder.library_ids(text)
+        assert len(run._known) < 400
+    asked = []
+    monkeypatch.setattr(coder, "merged", lambda piece: asked.append(piece) or [1])
+    next(run.encode(["often"]))
+    assert not asked
