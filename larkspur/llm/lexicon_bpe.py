@@ -47,18 +47,19 @@ def frequent_words(documents: DataFrame, text_col: str = "text", top: int = 50_0
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, total = Counter(), 0
+        counts, total, most = Counter(), 0, 100_000
         for batch in batches:
             for text in as_bytes(batch.column("text")):
                 words = text.translate(_PART).split()
                 total += len(words)
                 counts.update(words)
-            if len(counts) > 500_000:
-                counts = Counter({w: c for w, c in counts.items() if c > share * total})
+                if len(counts) > most:
+                    counts = Counter({w: c for w, c in counts.items() if c > max(1, share * total)})
+                    most = max(100_000, 2 * len(counts))
         kept = [(w, c) for w, c in counts.items() if c >= max(2, share * total)]
         yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in kept], pa.binary()), "n": pa.array([c for _, c in kept], pa.int64())})
 
-    counted = documents.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(work, "word binary, n long")
+    counted = in_batches(documents.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), work, "word binary, n long")
     best = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(top)
     return [b" " + bytes(r["word"]) for r in best.collect()]
 
@@ -182,9 +183,11 @@ class LexiconCoder:
             self._known |= {w: self._older[w] for w in words & self._older.keys()}
         new = [w for w in words if w not in self._known]
         raw = [w.encode() for w in new]
-        for word, piece, ids in zip(new, raw, self.transducer.look_up(raw)):
+        found = self.transducer.look_up(raw)
+        merged = iter(self.coder.merged_all([piece for piece, ids in zip(raw, found) if ids is None]))
+        for word, ids in zip(new, found):
             self.found, self.missed = self.found + (ids is not None), self.missed + (ids is None)
-            self._known[word] = self.entry(self.coder.merged(piece) if ids is None else ids)
+            self._known[word] = self.entry(next(merged) if ids is None else ids)
 
     def _parts(self, text: str) -> list:
         """The text's words in lists, and the entries of what is no word, in order."""

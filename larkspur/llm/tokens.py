@@ -205,6 +205,58 @@ class Coder:
         return [p for p in parts if p >= 0]
 
 
+    @cached_property
+    def _sorted_merges(self) -> tuple[np.ndarray, np.ndarray]:
+        made = self._merges[0]
+        keys = np.fromiter(made, np.int64, len(made))
+        order = np.argsort(keys)
+        return keys[order], np.fromiter(made.values(), np.int64, len(made))[order]
+
+    def merged_all(self, pieces: list[bytes], lot: int = 4096) -> list[list[int]]:
+        """``merged`` of each of many words; short ones of like length go through the merges together, one merge of each at a time."""
+        made, byte_ids, whole = self._merges
+        if whole is not None or not made or None in byte_ids:
+            return [self.merged(p) for p in pieces]
+        out: list[list[int]] = [[]] * len(pieces)
+        keys, becomes = self._sorted_merges
+        ids_of, far = np.array(byte_ids, np.int64), len(made) << 32
+
+        def looked_up(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            pair = np.where(b < 0, -1, a << 32 | b)
+            at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+            return np.where(keys[at] == pair, becomes[at], far)
+
+        order = sorted(range(len(pieces)), key=lambda k: len(pieces[k]))
+        while order and len(pieces[order[-1]]) > 48:
+            k = order.pop()
+            out[k] = self.merged(pieces[k])
+        for first in range(0, len(order), lot):
+            own = np.array(order[first : first + lot])
+            sizes = np.array([len(pieces[k]) for k in own])
+            wide = int(sizes[-1]) + 1
+            parts = np.full((len(own), wide), -1, np.int64)
+            parts[np.arange(wide) < sizes[:, None]] = ids_of[np.frombuffer(b"".join([pieces[k] for k in own]), np.uint8)]
+            ranks = looked_up(parts[:, :-1], parts[:, 1:])
+            while len(own):
+                row, k = np.arange(len(own)), ranks.argmin(axis=1)
+                least = ranks[row, k]
+                going = least < far
+                for i, ids in zip(own[~going].tolist(), parts[~going].tolist()):
+                    out[i] = ids[: ids.index(-1)]
+                if not going.all():
+                    own, parts, ranks, k, least, row = own[going], parts[going], ranks[going], k[going], least[going], row[: going.sum()]
+                if not len(own):
+                    break
+                at, new = np.arange(parts.shape[1] - 1), least & 0xFFFFFFFF
+                parts = np.take_along_axis(parts, at + (at > k[:, None]), 1)
+                parts[row, k] = new
+                ranks = np.take_along_axis(ranks, at[:-1] + (at[:-1] >= k[:, None]), 1)
+                ranks[row, k] = looked_up(new, parts[row, k + 1])
+                left = row[k > 0]
+                ranks[left, k[left] - 1] = looked_up(parts[left, k[left] - 1], new[left])
+        return out
+
+
 @lru_cache(maxsize=1)
 def held_coder(file_text: str) -> Coder:
     """The coder of this process: tasks that follow each other use what the ones before have built and asked."""

@@ -593,7 +593,12 @@ def test_words_in_use_are_not_forgotten(monkeypatch):
         text = "often " + " ".join(f"w{chr(97 + j)}{chr(97 + k % 26)}{'x' * (k // 26)}" for j in range(20))
         assert [int(x) for _, ids, _ in next(run.encode([text])) for x in ids.split(b",")] == coder.library_ids(text)
         assert len(run._known) < 400
-    asked = []
-    monkeypatch.setattr(coder, "merged", lambda piece: asked.append(piece) or [1])
+    merged = run.missed
     next(run.encode(["often"]))
-    assert not asked
+    assert run.missed == merged
+
+
+def test_words_merged_together_equal_those_merged_alone():
+    coder, rng = tokenizer(), random.Random(6)
+    words = [b"", b"a", b" ", b" the", "日本".encode()] + [bytes(rng.choice(b" aeinorst\xc3\xa9\xff") for _ in range(rng.randint(1, 60))) for _ in range(3000)]
+    assert coder.merged_all(words, lot=100) == [coder.merged(w) for w in words] and coder.merged_all([]) == []
