@@ -564,13 +564,13 @@ def test_pipeline_filters_on_odd_rows(spark):
 
 def test_encoding_holds_little_of_a_batch(spark, monkeypatch):
     """A task's memory follows a part of a batch and the words it remembers, not all ids of the batch and all words before."""
-    work = []
-    monkeypatch.setattr(lexicon_bpe, "in_batches", lambda df, made, schema: work.append(made))
+    work, held = [], lexicon_bpe.in_batches
+    monkeypatch.setattr(lexicon_bpe, "in_batches", lambda df, made, schema: work.append(made) or held(df, made, schema))
     lexicon_bpe.encode(spark.createDataFrame([(1, "a text of a few words")], "doc_id long, text string"), tokenizer(), keep=True)
     rng = random.Random(8)
     texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(1000)) for _ in range(1400)) for _ in range(400)]
     batches = [pa.RecordBatch.from_pydict({"doc_id": pa.array(range(400)), "text": pa.array(texts)})] * 2
-    made = work[0](iter(batches))
+    made = work[-1](iter(batches))
     first = next(made)
     tracemalloc.start()
     try:
