@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -60,3 +61,15 @@ def test_no_names_through_the_driver(spark):
 
 def test_prefix_pairs(twins):
     twins("j19_runs_by_prefix")
+
+
+def test_short_names_keep_their_pairs(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    spark.createDataFrame([(k,) for k in range(32, 67)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(k, 32 + k % 35) for k in range(320)] + [(999, None)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    of = lambda owner, k: hashlib.md5(f"{owner}run".encode()).hexdigest()[: 1 + k % 32]
+    runs, past = [(c, of(c, c)) for c in range(32, 67)], [(o, of(32 + o % 35, o)) for o in range(320)]
+    want = sorted((c, o, r, h) for c, r in runs for o, h in past if r.startswith(h) or h.startswith(r))
+    assert any(len(r) <= 3 and len(h) <= 30 for _, _, r, h in want)
+    assert sorted(tuple(r) for r in queries()["j19_runs_by_prefix"](spark, str(tmp_path)).select("c_custkey", "o_orderkey", "run", "history_run").collect()) == want
