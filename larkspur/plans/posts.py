@@ -76,7 +76,8 @@ def s7_post_vectors(spark, sf_dir):
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", "embedding").join(ranked.select("word", "vec_id"), "vec_id").select("word", "embedding")
     posts = datasets.top_owners(said.where("role <> 'system'"), "conv_id", 25, 4).select(F.struct("conv_id", "turn", (F.col("role") == "user").cast("int").alias("y")).alias("post"), "text")
     made = samples.post_vectors(posts, "post", "text", vectors, "word", "embedding", 64, stemmed=False)
-    return made.select("post.*", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+    # A small mean below zero is -0.0 in SQL, which Spark's rounding makes 0.0.
+    return made.select("post.*", F.transform("x", lambda v: F.signum(v) * F.round(F.abs(v), 6)).alias("x"))
 
 
 _WIDTH = 80

@@ -68,3 +68,20 @@ def test_one_row_of_sums_an_owner(spark):
     assert sorted(tuple(r) for r in made.collect()) == [(1, 0, 2.0), (1, 1, 4.0), (2, 0, None), (2, 1, 5.0)]
     with pytest.raises(Exception, match="a vector without 3 values"):
         samples.mean_pool(rows, "u", "v", 3).collect()
+
+
+def test_small_means_keep_their_sign(spark, tmp_path):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    said = [(1, k, "user", "up down" if k == 1 else "up") for k in range(6)]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    vectors = [(0, [-3e-7, 3e-7, -2.5e-6, 0.0] + [-0.5] * 60), (1, [3e-7, -9e-7, 1.5, 0.0] + [0.5] * 60)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    db = duckdb.connect()
+    for t in ("conversations", "embeddings"):
+        db.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(map(repr, db.sql(oracle_sql()["s7_post_vectors"]).fetchall()))
+    assert any("-0.0," in w for w in want)
+    assert sorted(repr(tuple(r)) for r in queries()["s7_post_vectors"](spark, str(tmp_path)).select("conv_id", "turn", "y", "x").collect()) == want
