@@ -73,3 +73,17 @@ def test_short_names_keep_their_pairs(spark, tmp_path):
     want = sorted((c, o, r, h) for c, r in runs for o, h in past if r.startswith(h) or h.startswith(r))
     assert any(len(r) <= 3 and len(h) <= 30 for _, _, r, h in want)
     assert sorted(tuple(r) for r in queries()["j19_runs_by_prefix"](spark, str(tmp_path)).select("c_custkey", "o_orderkey", "run", "history_run").collect()) == want
+
+
+def test_prefixes_are_made_after_dealing(spark, monkeypatch):
+    monkeypatch.setattr(settings, "_LEAST_ROWS", 4)
+    rng = random.Random(5)
+    runs = [(n, k / 10) for k, n in enumerate(_names(rng, 60) + ["ab\U0001f600", "\u00e9", "\u00e9a", "z"])]
+    past = [(n, k, "x") for k, n in enumerate(_names(rng, 150) + ["ab\U0001f600\uffff", "\u00e9", "abababab" * 4, "z"])]
+    made = settings.with_history(spark.createDataFrame(runs, RUNS), spark.createDataFrame(past, PAST))
+    want = sorted((n, lr, h, at) for n, lr in runs for h, at, _ in past if None not in (n, h) and (n.startswith(h) or h.startswith(n)))
+    assert sorted(tuple(r) for r in made.select("run", "lr", "history_run", "at").collect()) == want
+    cells = {r["c"] for r in made.select(settings._cell("run", ["a", "ab", "b", "bb"]).alias("c")).distinct().collect()}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.split("Initial Plan")[-1].split("\n") if "Exchange" in x]
+    assert cells == set(range(5)) and len(dealt) == 4 and not any("_p#" in x.split("REPARTITION")[0] for x in dealt) and "Sort" not in plan
